@@ -19,15 +19,15 @@ def melt_features(
 
 def melt_packed(df: DataFrame, ids: Sequence[str], groups: Sequence[str]) -> DataFrame:
     """Packed groups to (ids..., feature, value); no column per feature is planned."""
-    parts = [
-        F.transform(
-            named(g),
-            lambda v, i, g=g: F.struct(
-                F.concat(F.lit(f"{g}-"), i.cast("string")).alias("feature"), v.alias("value")
+    def cells_of(group: str) -> Column:
+        return F.transform(
+            named(group),
+            lambda v, i: F.struct(
+                F.concat(F.lit(f"{group}-"), i.cast("string")).alias("feature"), v.alias("value")
             ),
         )
-        for g in groups
-    ]
+
+    parts = [cells_of(g) for g in groups]
     cells = F.concat(*parts) if len(parts) > 1 else parts[0]
     return df.select(*[named(c) for c in ids], F.inline(cells))
 

@@ -245,13 +245,13 @@ def _(spark, d):
 
 @query(
     "replace_value",
-    "select doc_id, case when quality = 1 then 0 else quality end as quality_zeroed, nullif(toxic, 1) as toxic_na from labels",
+    "select doc_id, case when quality = 1 then 0 else quality end as quality_zeroed, nullif(toxic, 1)::double as toxic_na from labels",
 )
 def _(spark, d):
     return table(spark, d, "labels").select(
         "doc_id",
         C.replace_value(F.col("quality"), 1, 0).alias("quality_zeroed"),
-        F.nullif(F.col("toxic"), F.lit(1)).alias("toxic_na"),
+        F.nullif(F.col("toxic"), F.lit(1)).cast("double").alias("toxic_na"),
     )
 
 
@@ -326,12 +326,13 @@ def _(spark, d):
 # ---- joins
 @query(
     "join_targets",
-    "select d.doc_id, lang, source, n_chars, quality as target_quality, toxic as target_toxic "
+    "select d.doc_id, lang, source, n_chars, quality::double as target_quality, toxic::double as target_toxic "
     "from documents d left join labels using (doc_id)",
 )
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return J.join_targets(docs, table(spark, d, "labels"), "doc_id")
+    joined = J.join_targets(docs, table(spark, d, "labels"), "doc_id")
+    return joined.withColumns({c: F.col(c).cast("double") for c in ("target_quality", "target_toxic")})
 
 
 @query(
