@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("columns", "profiles")
+_MODULES = ("columns", "profiles", "rows", "features", "learning")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
