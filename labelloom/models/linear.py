@@ -34,7 +34,7 @@ def logistic(strength: float, n_rows: int, label: str = "y", max_iter: int = 500
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-7,
+        tol=1e-6,
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from labelloom.models.linear import logistic
 from labelloom.roles import named
 
-WORKERS = 4
+WORKERS = 8  # jobs in flight; each one still spreads over the whole cluster
 
 
 def in_pool(spark, tasks: Sequence[Callable[[], object]], workers: int = WORKERS) -> list:

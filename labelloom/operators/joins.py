@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.roles import named
-from labelloom.session import settle
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Measured size of a settled frame against the broadcast limits."""
-    text = F.length(F.to_json(F.struct(*[named(c) for c in df.columns])))
-    n, size = df.select(F.count(F.lit(1)), F.sum(text)).first()
-    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+def frozen_if_small(table: DataFrame) -> DataFrame | None:
+    """A local copy of ``table`` if it is within the broadcast limits, else None.
+
+    At most ``BROADCAST_ROWS`` + 1 rows are read, so asking costs little even
+    when the answer is no.
+    """
+    rows = table.limit(BROADCAST_ROWS + 1).toArrow()
+    if rows.num_rows > BROADCAST_ROWS or rows.nbytes > BROADCAST_BYTES:
+        return None
+    return table.sparkSession.createDataFrame(rows, table.schema)
 
 
 def lookup_join(
@@ -26,12 +30,12 @@ def lookup_join(
 ) -> DataFrame:
     """Join an aggregated lookup table to a large frame.
 
-    The table is computed once. It is broadcast only if its measured size is
-    within the limits; beyond them the join shuffles on the key, where
-    adaptive execution splits skewed partitions.
+    The table is broadcast only if its measured size is within the limits;
+    beyond them the join shuffles on the key, where adaptive execution splits
+    skewed partitions.
     """
-    ready = settle(table)
-    return df.join(F.broadcast(ready) if fits_broadcast(ready) else ready, on, how)
+    small = frozen_if_small(table)
+    return df.join(table if small is None else F.broadcast(small), on, how)
 
 
 def join_targets(

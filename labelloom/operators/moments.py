@@ -6,8 +6,9 @@ the per-fold ones, so five training sets cost one scan instead of five.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,30 +43,36 @@ def combine(parts: Iterable[Moments]) -> Moments:
     return Moments(n, mean, m2)
 
 
-def fold_moments(df: DataFrame, column: str, by: str | None = None) -> dict[int, Moments]:
-    """Moments of a packed column per value of ``by`` (one entry, 0, without it)."""
+def fold_moments_of(
+    df: DataFrame, columns: Sequence[str], by: str | None = None
+) -> dict[str, dict[int, Moments]]:
+    """Moments of several packed columns per value of ``by``, all in one pass."""
     part = named(by) if by else F.lit(0)
-    vec = array_to_vector(named(column))
-    stats = Summarizer.metrics("count", "mean", "variance").summary(vec)
-    rows = (
-        df.filter(named(column).isNotNull())
-        .groupBy(part.alias("__by"))
-        .agg(stats.alias("s"))
-        .select(
-            "__by",
-            F.col("s.count").alias("n"),
-            vector_to_array(F.col("s.mean")).alias("mean"),
-            vector_to_array(F.col("s.variance")).alias("var"),
-        )
-        .collect()  # one row per fold
-    )
-    out = {}
+    metrics = Summarizer.metrics("count", "mean", "variance")
+    aggs = [metrics.summary(array_to_vector(named(c))).alias(f"s{i}") for i, c in enumerate(columns)]
+    complete = reduce(lambda a, b: a & b, [named(c).isNotNull() for c in columns])
+    fields = []
+    for i in range(len(columns)):
+        fields += [
+            F.col(f"s{i}.count").alias(f"n{i}"),
+            vector_to_array(F.col(f"s{i}.mean")).alias(f"mean{i}"),
+            vector_to_array(F.col(f"s{i}.variance")).alias(f"var{i}"),
+        ]
+    grouped = df.filter(complete).groupBy(part.alias("__by")).agg(*aggs)
+    rows = grouped.select("__by", *fields).collect()  # one row per fold
+    out: dict[str, dict[int, Moments]] = {c: {} for c in columns}
     for r in rows:
-        var = np.nan_to_num(np.array(r["var"]))
-        out[r["__by"]] = Moments(r["n"], np.array(r["mean"]), var * (r["n"] - 1))
+        for i, c in enumerate(columns):
+            n, var = r[f"n{i}"], np.nan_to_num(np.array(r[f"var{i}"]))
+            out[c][r["__by"]] = Moments(n, np.array(r[f"mean{i}"]), var * (n - 1))
     return out
 
 
+def fold_moments(df: DataFrame, column: str, by: str | None = None) -> dict[int, Moments]:
+    """Moments of a packed column per value of ``by`` (one entry, 0, without it)."""
+    return fold_moments_of(df, [column], by)[column]
+
+
 def moments(df: DataFrame, column: str) -> Moments:
     return fold_moments(df, column)[0]
 

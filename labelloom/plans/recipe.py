@@ -12,8 +12,8 @@ from labelloom.functions.arrays import scale
 from labelloom.functions.rowstats import STATS, row_stats
 from labelloom.operators.columns import combine_categories
 from labelloom.operators.encoders import category_levels, integer_encode, level_codes, level_counts
-from labelloom.operators.joins import lookup_join
-from labelloom.operators.moments import Moments, fold_moments, moments, train_moments
+from labelloom.operators.joins import frozen_if_small, lookup_join
+from labelloom.operators.moments import Moments, fold_moments_of, train_moments
 from labelloom.operators.pca import PcaFit, fit_pca, fit_pca_folds, pca_scores
 from labelloom.roles import named
 from labelloom.session import settle
@@ -98,7 +98,8 @@ class CountEncode:
     per_fold = True
 
     def fit(self, df: DataFrame) -> Apply:
-        tables = {c: settle(t) for c, t in level_counts(df, self.columns).items()}
+        tables = level_counts(df, self.columns)
+        tables = {c: frozen_if_small(t) or settle(t) for c, t in tables.items()}
 
         def apply(d: DataFrame) -> DataFrame:
             for c, t in tables.items():
@@ -175,11 +176,11 @@ class Scale:
 
     def fit(self, df: DataFrame) -> Apply:
         packed = self._packed(df)
-        return self._apply({g: moments(packed, g) for g in self._names()})
+        return self._apply({g: m[0] for g, m in fold_moments_of(packed, self._names()).items()})
 
     def fit_folds(self, df: DataFrame, folds: Sequence[int]) -> dict[int, Apply]:
         packed = self._packed(df)
-        per = {g: fold_moments(packed, g, "kfold") for g in self._names()}
+        per = fold_moments_of(packed, self._names(), "kfold")
         return {
             f: self._apply({g: train_moments(m, f) for g, m in per.items()}) for f in folds
         }

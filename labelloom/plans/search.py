@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
@@ -20,6 +21,19 @@ from labelloom.roles import HIDDEN, named
 RESULT_SCHEMA = "class string, clf string, ordinal int, params string, fold int, score double"
 
 
+@contextmanager
+def _persisted(df: DataFrame):
+    """Keep ``df`` for the duration of a search, unless the caller already does."""
+    own = df.storageLevel == StorageLevel.NONE
+    if own:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        if own:
+            df.unpersist()
+
+
 def grid_search(
     df: DataFrame,
     key: str,
@@ -29,36 +43,40 @@ def grid_search(
     folds: Sequence[int] = range(5),
     done: DataFrame | None = None,
     workers: int = WORKERS,
+    folds_at_once: int = 2,
 ) -> DataFrame:
     """Class log-loss of every class x classifier x combination x fold.
 
     ``df`` holds the key, ``kfold``, the raw features and one 0/1 column per
     class. The features of a fold are computed once and shared by all its fits,
-    which run from a small pool. Combinations present in ``done`` are skipped,
-    so an interrupted search can go on.
+    which run from a small pool; ``folds_at_once`` bounds how many copies of
+    the matrix are kept. Combinations present in ``done`` are skipped, so an
+    interrupted search can go on.
     """
     validate_grid(grid)
-    spark = df.sparkSession
-    known = set()
+    spark, folds = df.sparkSession, list(folds)
     earlier = []
     if done is not None:
         earlier = [tuple(r) for r in done.select(*RESULT_COLUMNS).collect()]  # result rows only
-        known = {(r[0], r[1], r[3], r[4]) for r in earlier}
-    fitted = recipe.fit_folds(df, list(folds))
-    sizes = {r["kfold"]: r["count"] for r in df.groupBy("kfold").count().collect()}
-    n = sum(sizes.values())
+    known = {(r[0], r[1], r[3], r[4]) for r in earlier}
     out = list(earlier)
-    for f in folds:
-        frame = recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes])
-        frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-        tasks = []
-        for clf, ordinal, params in combinations(grid):
-            for c in classes:
-                if (c, clf, params_text(params), f) in known:
-                    continue
-                tasks.append(_fold_task(frame, key, c, clf, ordinal, params, f, n - sizes.get(f, 0)))
-        out += in_pool(spark, tasks, workers)
-        frame.unpersist()
+    with _persisted(df):
+        sizes = {r["kfold"]: r["count"] for r in df.groupBy("kfold").count().collect()}
+        n = sum(sizes.values())
+        fitted = recipe.fit_folds(df, folds)
+        for at in range(0, len(folds), folds_at_once):
+            frames, tasks = [], []
+            for f in folds[at : at + folds_at_once]:
+                frame = recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes])
+                frames.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+                for clf, ordinal, params in combinations(grid):
+                    for c in classes:
+                        if (c, clf, params_text(params), f) not in known:
+                            n_train = n - sizes.get(f, 0)
+                            tasks.append(_fold_task(frame, key, c, clf, ordinal, params, f, n_train))
+            out += in_pool(spark, tasks, workers)
+            for frame in frames:
+                frame.unpersist()
     return spark.createDataFrame(out, RESULT_SCHEMA)
 
 
@@ -79,11 +97,12 @@ def _fold_task(frame, key, c, clf, ordinal, params, fold, n_train):
 
 def cv_run(
     df: DataFrame, key: str, classes: Sequence[str], recipe: Recipe, clf: str, params: Mapping,
-    folds: Sequence[int] = range(5),
+    folds: Sequence[int] = range(5), folds_at_once: int = 2,
 ) -> DataFrame:
     """One classifier and one parameter set over all folds: (class, fold, score)."""
     grid = {clf: {k: [v] for k, v in params.items()}}
-    return grid_search(df, key, classes, recipe, grid, folds).select("class", "fold", "score")
+    found = grid_search(df, key, classes, recipe, grid, folds, folds_at_once=folds_at_once)
+    return found.select("class", "fold", "score")
 
 
 def multilabel_cv(
@@ -95,27 +114,29 @@ def multilabel_cv(
     recipe: Recipe,
     strength: float = 1.0,
     folds: Sequence[int] = range(5),
+    folds_at_once: int = 2,
 ) -> DataFrame:
     """(fold, score): all classes fitted one-vs-rest, the row maximum kept, the
     hidden class dropped, then the multilabel log-loss over all labels."""
-    spark = df.sparkSession
-    fitted = recipe.fit_folds(df, list(folds))
-    out = []
-    for f in folds:
-        frame = recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes])
-        frame = frame.withColumn("features", array_to_vector("x")).persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
-        train, valid = frame.filter(F.col("kfold") != f), frame.filter(F.col("kfold") == f)
-        models = fit_ovr(train, classes, [strength] * len(classes), train.count())
-        scored = score_ovr(valid.select(key, "features"), models)
-        kept = scored.withColumn("probs", keep_argmax(F.col("probs")))
-        p = predictions_long(kept, key, classes).filter(F.col("label") != HIDDEN)
-        truth = positives.join(valid.select(key), key, "left_semi")
-        score = multilabel_log_loss(p, truth, key, valid.count(), n_labels).first()["log_loss"]
-        out.append((int(f), score))
-        frame.unpersist()
-    return spark.createDataFrame(out, "fold int, score double")
+    with _persisted(df):
+        fitted = recipe.fit_folds(df, list(folds))
+
+        def one_fold(f: int):
+            frame = recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes])
+            frame = frame.withColumn("features", array_to_vector("x"))
+            with _persisted(frame):
+                train, valid = frame.filter(F.col("kfold") != f), frame.filter(F.col("kfold") == f)
+                models = fit_ovr(train, classes, [strength] * len(classes), train.count())
+                scored = score_ovr(valid.select(key, "features"), models)
+                kept = scored.withColumn("probs", keep_argmax(F.col("probs")))
+                p = predictions_long(kept, key, classes).filter(F.col("label") != HIDDEN)
+                truth = positives.join(valid.select(key), key, "left_semi")
+                loss = multilabel_log_loss(p, truth, key, valid.count(), n_labels)
+                return int(f), loss.first()["log_loss"]
+
+        tasks = [lambda f=f: one_fold(f) for f in folds]
+        out = in_pool(df.sparkSession, tasks, folds_at_once)
+    return df.sparkSession.createDataFrame(out, "fold int, score double")
 
 
 def greedy_feature_sets(
@@ -126,15 +147,17 @@ def greedy_feature_sets(
     clf: str,
     params: Mapping,
     folds: Sequence[int] = range(5),
+    folds_at_once: int = 2,
 ) -> DataFrame:
     """Try feature sets in order, keep one when it lowers the mean score:
     (step, name, mean_score, kept)."""
     spark: SparkSession = df.sparkSession
     best, rows = float("inf"), []
-    for i, (name, recipe) in enumerate(candidates):
-        scores = cv_run(df, key, classes, recipe, clf, params, folds)
-        mean = fold_mean(scores, []).first()["mean_score"]
-        kept = mean < best
-        best = min(best, mean)
-        rows.append((i, name, mean, kept))
+    with _persisted(df):
+        for i, (name, recipe) in enumerate(candidates):
+            scores = cv_run(df, key, classes, recipe, clf, params, folds, folds_at_once)
+            mean = fold_mean(scores, []).first()["mean_score"]
+            kept = mean < best
+            best = min(best, mean)
+            rows.append((i, name, mean, kept))
     return spark.createDataFrame(rows, "step int, name string, mean_score double, kept boolean")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import columns as C
@@ -14,6 +17,7 @@ from labelloom.operators.reshape import melt_packed
 from labelloom.operators.results import align_runs, result_cell, tuned_strength
 from labelloom.operators.splits import stratified_kfold
 from labelloom.models.linear import logistic
+from labelloom.models.ovr import in_pool
 from labelloom.queries.frames import (
     CELLS,
     FEATURES,
@@ -122,14 +126,15 @@ def _(spark, d):
     rows = assemble_vector(rows, ["c", "g"]).withColumn("y", (F.col("label") == 0).cast("double"))
     rows = rows.select("vec_id", "kfold", "y", "features").persist()
     path = scratch_path(spark, "models")
-    out = None
-    for fold in range(5):
+
+    def one_fold(fold: int):
         train = rows.filter(F.col("kfold") != fold)
         save_model(Pipeline(stages=[logistic(1.0, train.count())]).fit(train), path, fold)
         scored = load_model(path, fold).transform(rows.filter(F.col("kfold") == fold))
-        part = scored.select("vec_id", "kfold", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return scored.select("vec_id", "kfold", "prediction")
+
+    parts = in_pool(spark, [lambda f=f: one_fold(f) for f in range(5)])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

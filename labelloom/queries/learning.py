@@ -367,7 +367,7 @@ def _(spark, d):
     top = [row["label"] for row in top_classes(spark, d).collect()]
     best = top[0]
     df = order_cv(spark, d, [best])
-    return cv_run(df, "o_orderkey", [best], BASE, "log_reg", {"C": 1.0})
+    return cv_run(df, "o_orderkey", [best], BASE, "log_reg", {"C": 1.0}, folds_at_once=5)
 
 
 def embedding_cv(spark, d):
@@ -387,7 +387,7 @@ def _(spark, d):
         "knn": {"n_neighbors": [4], "p": [2]},
         "nb": {"dummy_param": [None]},
     }
-    return grid_search(df, "vec_id", classes, SCALED, grid)
+    return grid_search(df, "vec_id", classes, SCALED, grid, folds_at_once=5)
 
 
 @query("multilabel_cv")
@@ -400,7 +400,7 @@ def _(spark, d):
     y = T.ovr_targets(ids, truth, "doc_id", classes)
     df = df.drop("quality", "toxic").join(folds, "doc_id").join(y, "doc_id")
     recipe = Recipe([OneHot(["lang"]), Scale(scalars=["n_chars", "n_words"])], ["onehot", "scalars"])
-    return multilabel_cv(df, "doc_id", classes, truth, 2, recipe)
+    return multilabel_cv(df, "doc_id", classes, truth, 2, recipe, folds_at_once=5)
 
 
 @query(
@@ -482,7 +482,7 @@ def _(spark, d):
             ),
         ),
     ]
-    return greedy_feature_sets(df, "vec_id", classes[:1], candidates, "nb", {"dummy_param": None})
+    return greedy_feature_sets(df, "vec_id", classes[:1], candidates, "nb", {"dummy_param": None}, folds_at_once=5)
 
 
 # ---- scored output: labelled documents are the training part, the others the test part
