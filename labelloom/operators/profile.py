@@ -26,7 +26,7 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def count_share(df: DataFrame, col: str) -> DataFrame:
     """Count per level with the table total and the share."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = counts.agg(F.sum("n")).scalar()  # reuses the shuffle of the counts
     return counts.withColumn("total", total).withColumn("perc", F.col("n") / F.col("total"))
 
 

@@ -150,18 +150,22 @@ def empty_predictions(keys: DataFrame, key: str, names: Sequence[str]) -> DataFr
     return keys.select(key, *[F.lit(0.0).alias(v) for v in names])
 
 
-def class_balance(targets: DataFrame, folds: DataFrame, key: str) -> DataFrame:
-    """Positives per class and fold."""
-    return (
-        targets.join(folds, key)
-        .groupBy("class", "kfold")
-        .agg(F.sum("y").cast("bigint").alias("positives"), F.count(F.lit(1)).alias("n"))
+def class_balance(
+    targets: DataFrame, folds: DataFrame, key: str, classes: Sequence[str]
+) -> DataFrame:
+    """Positives per class and fold from the 0/1 columns: (kfold, n, class, positives).
+
+    The sums are taken on the wide rows; only the totals are turned long.
+    """
+    sums = targets.join(folds, key).groupBy("kfold").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(named(c)).cast("bigint").alias(c) for c in classes],
     )
+    return sums.unpivot(["kfold", "n"], [named(c) for c in classes], "class", "positives")
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:
     """Balanced weights n / (classes * n_class): (y, n_class, weight)."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n_class"))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    k = df.select(y).distinct().agg(F.count(F.lit(1))).scalar()
-    return counts.withColumn("weight", n / (k * F.col("n_class")))
+    size = counts.agg(F.sum("n_class") / F.count(F.lit(1))).scalar()
+    return counts.withColumn("weight", size / F.col("n_class"))

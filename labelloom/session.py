@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: dict[str, list[str]] = {}  # application id -> settled tables
+
+
 def local_session(app: str = "labelloom", cores: str = "8") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own settings."""
     return (
@@ -18,7 +21,6 @@ def local_session(app: str = "labelloom", cores: str = "8") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.scheduler.mode", "FAIR")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -47,10 +49,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and cut its lineage.
+    """Write ``df`` to the shared folder once and go on from the written table.
 
     Needed where a later step relies on values that are not the same when a
-    lost partition is computed again (range boundaries, generated ids).
+    lost partition is computed again (range boundaries, generated ids). The
+    lineage ends at the files, and readers get column pruning and file sizes.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_settled(spark: SparkSession) -> int:
+    """Delete the tables this application has settled; frames built on them become
+    unreadable. Returns how many were removed."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
