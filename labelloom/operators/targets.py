@@ -66,21 +66,23 @@ def topk_classes(
     """The k most frequent classes (k + 1 with the hidden class among the candidates).
 
     Ties go to the smaller vocabulary position, the hidden class last. The
-    hidden count is rows minus labelled rows, so no label row is generated.
+    labels are gathered per key (no more than the vocabulary holds) and matched
+    to the keys once, so one pass over the positives counts both the labels
+    and the rows without any.
     """
     seen, words = positives, vocabulary
     if skip_label is not None:
         seen = positives.filter(F.col("label") != skip_label)
         words = vocabulary.filter(F.col("label") != skip_label)
-    totals = label_totals(seen, words).select("pos", "label", "n")
     if not hidden:
+        totals = label_totals(seen, words).select("pos", "label", "n")
         return totals.orderBy(F.col("n").desc(), "pos").limit(k)
-    n_hidden = hidden_class(keys, seen, key).agg(F.count(F.lit(1)).alias("n"))
-    extra = n_hidden.select(
-        F.lit(2**31 - 1).cast("int").alias("pos"), F.lit(HIDDEN).alias("label"), "n"
-    )
-    both = totals.select(F.col("pos").cast("int"), "label", "n").unionByName(extra)
-    return both.orderBy(F.col("n").desc(), "pos").limit(k + 1)
+    per_key = seen.groupBy(key).agg(F.collect_set("label").alias("labels"))
+    rows = keys.select(key).join(per_key, key, "left")
+    each = rows.select(F.explode(F.coalesce("labels", F.array(F.lit(HIDDEN)))).alias("label"))
+    last = keys.sparkSession.createDataFrame([(2**31 - 1, HIDDEN)], "pos int, label string")
+    names = words.select(F.col("pos").cast("int").alias("pos"), "label").unionByName(last)
+    return label_totals(each, names).orderBy(F.col("n").desc(), "pos").limit(k + 1)
 
 
 def classes_over(totals: DataFrame, minimum: int) -> DataFrame:

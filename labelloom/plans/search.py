@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.rowstats import keep_argmax
 from labelloom.models.factory import fit_predict
+from labelloom.models.neighbours import neighbours
 from labelloom.models.ovr import WORKERS, fit_ovr, in_pool, predictions_long, score_ovr
-from labelloom.operators.metrics import class_log_loss, multilabel_log_loss
+from labelloom.operators.metrics import cell_loss, class_log_loss, multilabel_log_loss
 from labelloom.operators.results import combinations, fold_mean, params_text, validate_grid
 from labelloom.plans.recipe import Recipe
 from labelloom.roles import HIDDEN, named
@@ -44,14 +45,16 @@ def grid_search(
     done: DataFrame | None = None,
     workers: int = WORKERS,
     folds_at_once: int = 2,
+    results_path: str | None = None,
 ) -> DataFrame:
     """Class log-loss of every class x classifier x combination x fold.
 
     ``df`` holds the key, ``kfold``, the raw features and one 0/1 column per
     class. The features of a fold are computed once and shared by all its fits,
     which run from a small pool; ``folds_at_once`` bounds how many copies of
-    the matrix are kept. Combinations present in ``done`` are skipped, so an
-    interrupted search can go on.
+    the matrix are kept. Combinations present in ``done`` are skipped and every
+    finished group of folds is added to ``results_path``, so an interrupted
+    search can go on from there.
     """
     validate_grid(grid)
     spark, folds = df.sparkSession, list(folds)
@@ -69,12 +72,24 @@ def grid_search(
             for f in folds[at : at + folds_at_once]:
                 frame = recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes])
                 frames.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
-                for clf, ordinal, params in combinations(grid):
-                    for c in classes:
-                        if (c, clf, params_text(params), f) not in known:
-                            n_train = n - sizes.get(f, 0)
-                            tasks.append(_fold_task(frame, key, c, clf, ordinal, params, f, n_train))
-            out += in_pool(spark, tasks, workers)
+                todo = [
+                    (clf, ordinal, params, c)
+                    for clf, ordinal, params in combinations(grid)
+                    for c in classes
+                    if (c, clf, params_text(params), f) not in known
+                ]
+                near = [t for t in todo if t[0] == "knn"]
+                for p in {t[2].get("p", 2) for t in near}:
+                    group = [t for t in near if t[2].get("p", 2) == p]
+                    tasks.append(_neighbour_task(frame, key, group, p, f))
+                for clf, ordinal, params, c in todo:
+                    if clf != "knn":
+                        n_train = n - sizes.get(f, 0)
+                        tasks.append(_fold_task(frame, key, c, clf, ordinal, params, f, n_train))
+            found = [row for rows in in_pool(spark, tasks, workers) for row in rows]
+            if results_path and found:
+                spark.createDataFrame(found, RESULT_SCHEMA).write.mode("append").parquet(results_path)
+            out += found
             for frame in frames:
                 frame.unpersist()
     return spark.createDataFrame(out, RESULT_SCHEMA)
@@ -90,7 +105,40 @@ def _fold_task(frame, key, c, clf, ordinal, params, fold, n_train):
     def run():
         scored = fit_predict(clf, params, train, valid, key, n_train)
         score = class_log_loss(scored, []).first()["log_loss"]
-        return (c, clf, ordinal, params_text(params), int(fold), score)
+        return [(c, clf, ordinal, params_text(params), int(fold), score)]
+
+    return run
+
+
+def _neighbour_task(frame, key, todo, p, fold):
+    """All neighbour counts and classes of one fold from a single search."""
+    train, valid = frame.filter(F.col("kfold") != fold), frame.filter(F.col("kfold") == fold)
+    classes = sorted({c for _, _, _, c in todo})
+    sizes = sorted({params["n_neighbors"] for _, _, params, _ in todo})
+
+    def run():
+        near = neighbours(train, valid, key, "x", max(sizes), p)
+        held = train.select(F.col(key).alias("neighbour"), *[named(c) for c in classes])
+        votes = near.join(held, "neighbour").groupBy(key).agg(
+            *[
+                (F.sum(F.when(F.col("rank") <= k, named(c))) / k).alias(f"p{k}_{i}")
+                for k in sizes
+                for i, c in enumerate(classes)
+            ]
+        )
+        scored = votes.join(valid.select(key, *[named(c) for c in classes]), key)
+        losses = scored.agg(
+            *[
+                F.avg(cell_loss(named(c), F.col(f"p{k}_{i}"))).alias(f"p{k}_{i}")
+                for k in sizes
+                for i, c in enumerate(classes)
+            ]
+        ).first()
+        at = {c: i for i, c in enumerate(classes)}
+        return [
+            (c, clf, o, params_text(ps), int(fold), losses[f"p{ps['n_neighbors']}_{at[c]}"])
+            for clf, o, ps, c in todo
+        ]
 
     return run
 

@@ -29,9 +29,11 @@ def with_(*parts: str) -> str:
 
 # -- feature groups: embeddings, dimensions 1-16 as c and 17-64 as g
 def features(spark, d) -> DataFrame:
-    x = F.transform("embedding", lambda v: v.cast("double"))
+    def dims(start: int, length: int) -> Column:
+        return F.transform(F.slice("embedding", start, length), lambda v: v.cast("double"))
+
     return table(spark, d, "embeddings").select(
-        "vec_id", F.slice(x, 1, 16).alias("c"), F.slice(x, 17, 48).alias("g"), "label"
+        "vec_id", dims(1, 16).alias("c"), dims(17, 48).alias("g"), "label"
     )
 
 

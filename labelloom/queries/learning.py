@@ -17,7 +17,8 @@ from labelloom.operators import targets as T
 from labelloom.operators.encoders import assemble_vector
 from labelloom.operators.splits import multilabel_stratified_kfold, train_valid_split
 from labelloom.plans import scoring as P
-from labelloom.plans.recipe import Combine, CountEncode, OneHot, Pca, Recipe, RowStats, Scale
+from labelloom.plans.project import feature_recipes
+from labelloom.plans.recipe import OneHot, Recipe, Scale
 from labelloom.plans.search import cv_run, greedy_feature_sets, grid_search, multilabel_cv
 from labelloom.queries.features import feature_folds
 from labelloom.queries.frames import (
@@ -45,7 +46,7 @@ from labelloom.queries.frames import (
 )
 from labelloom.queries.profiles import CATS, TOPK_SQL, TOTALS, top_classes
 from labelloom.queries.registry import query
-from labelloom.roles import HIDDEN, named
+from labelloom.roles import HIDDEN, Roles
 
 # ---- models: embedding label 0 against the rest, fitted outside fold 0, applied to fold 0
 
@@ -458,31 +459,10 @@ def _(spark, d):
     df, classes = embedding_cv(spark, d)
     df = df.withColumn("half", F.when(F.get("c", F.lit(0)) > 0, "up").otherwise("down"))
     df = df.withColumn("side", F.when(F.get("g", F.lit(0)) > 0, "left").otherwise("right"))
-    steps = [RowStats(["c", "g"]), Combine(["half", "side"])]
-    onehot = OneHot(["half", "side", "combined"])
-    counts = CountEncode(["half", "side", "combined"])
-    names = ["half_counts", "side_counts", "combined_counts"]
-    base = [OneHot(["half", "side"]), Scale(["c", "g"])]
-    candidates = [
-        ("baseline", Recipe(base, ["onehot", "c", "g"])),
-        ("row statistics", Recipe([steps[0], base[0], Scale(["c", "g", "stats"])], ["onehot", "c", "g", "stats"])),
-        ("combined category", Recipe([*steps, onehot, Scale(["c", "g", "stats"])], ["onehot", "c", "g", "stats"])),
-        (
-            "level counts",
-            Recipe(
-                [*steps, onehot, counts, Scale(["c", "g", "stats"], scalars=names)],
-                ["onehot", "c", "g", "stats", "scalars"],
-            ),
-        ),
-        (
-            "components",
-            Recipe(
-                [*steps, onehot, Pca(["c", "g"]), Scale(["c", "g", "stats", "pcc", "pcg"])],
-                ["onehot", "c", "g", "stats", "pcc", "pcg"],
-            ),
-        ),
-    ]
-    return greedy_feature_sets(df, "vec_id", classes[:1], candidates, "nb", {"dummy_param": None}, folds_at_once=5)
+    roles = Roles("vec_id", ("half", "side"), ("c", "g"))
+    return greedy_feature_sets(
+        df, "vec_id", classes[:1], feature_recipes(roles), "nb", {"dummy_param": None}, folds_at_once=5
+    )
 
 
 # ---- scored output: labelled documents are the training part, the others the test part
