@@ -12,7 +12,7 @@ from labelloom.functions.arrays import scale
 from labelloom.functions.rowstats import STATS, row_stats
 from labelloom.operators.columns import combine_categories
 from labelloom.operators.encoders import category_levels, integer_encode, level_codes, level_counts
-from labelloom.operators.joins import frozen_if_small, lookup_join
+from labelloom.operators.joins import frozen_if_small
 from labelloom.operators.moments import Moments, fold_moments_of, train_moments
 from labelloom.operators.pca import PcaFit, fit_pca, fit_pca_folds, pca_scores
 from labelloom.roles import named
@@ -21,6 +21,12 @@ from labelloom.session import settle
 Apply = Callable[[DataFrame], DataFrame]
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A lookup table computed once: marked for broadcast only if it is small."""
+    small = frozen_if_small(table)
+    return settle(table) if small is None else F.broadcast(small)
+
+
 @dataclass(frozen=True)
 class RowStats:
     """Per-row statistics of the groups, packed as one array column ``stats``."""
@@ -29,6 +35,14 @@ class RowStats:
     stats: Sequence[str] = tuple(STATS)
     per_fold = False
 
+    @property
+    def reads(self) -> set[str]:
+        return set(self.groups)
+
+    @property
+    def writes(self) -> set[str]:
+        return {"stats"}
+
     def fit(self, df: DataFrame) -> Apply:
         names = [f"{g}_{s}" for g in self.groups for s in self.stats]
 
@@ -48,6 +62,14 @@ class Combine:
     name: str = "combined"
     per_fold = False
 
+    @property
+    def reads(self) -> set[str]:
+        return set(self.columns)
+
+    @property
+    def writes(self) -> set[str]:
+        return {self.name}
+
     def fit(self, df: DataFrame) -> Apply:
         return lambda d: d.withColumn(self.name, combine_categories(self.columns))
 
@@ -60,6 +82,14 @@ class OneHot:
     name: str = "onehot"
     per_fold = False
 
+    @property
+    def reads(self) -> set[str]:
+        return set(self.columns)
+
+    @property
+    def writes(self) -> set[str]:
+        return {self.name}
+
     def fit(self, df: DataFrame) -> Apply:
         levels = category_levels(df, self.columns)
         flags = []
@@ -76,9 +106,19 @@ class OneHot:
 
 @dataclass(frozen=True)
 class IntegerCode:
+    """Zero-based code per level as ``<col>_code``, null for unseen levels."""
+
     columns: Sequence[str]
     per_fold = False
 
+    @property
+    def reads(self) -> set[str]:
+        return set(self.columns)
+
+    @property
+    def writes(self) -> set[str]:
+        return {f"{c}_code" for c in self.columns}
+
     def fit(self, df: DataFrame) -> Apply:
         codes = {c: level_codes(df, c) for c in self.columns}
 
@@ -97,17 +137,38 @@ class CountEncode:
     columns: Sequence[str]
     per_fold = True
 
-    def fit(self, df: DataFrame) -> Apply:
-        tables = level_counts(df, self.columns)
-        tables = {c: frozen_if_small(t) or settle(t) for c, t in tables.items()}
+    @property
+    def reads(self) -> set[str]:
+        return set(self.columns)
+
+    @property
+    def writes(self) -> set[str]:
+        return {f"{c}_counts" for c in self.columns}
 
+    def _apply(self, tables: dict[str, DataFrame]) -> Apply:
         def apply(d: DataFrame) -> DataFrame:
             for c, t in tables.items():
-                d = lookup_join(d, t, c, "left")
+                d = d.join(t, c, "left")
             return d.fillna(0, [f"{c}_counts" for c in tables])
 
         return apply
 
+    def fit(self, df: DataFrame) -> Apply:
+        return self._apply({c: sized(t) for c, t in level_counts(df, self.columns).items()})
+
+    def fit_folds(self, df: DataFrame, folds: Sequence[int]) -> dict[int, Apply]:
+        """One count per level with a column per fold: the rows outside that fold."""
+        out: dict[int, dict[str, DataFrame]] = {f: {} for f in folds}
+        for c in self.columns:
+            outside = [F.sum((F.col("kfold") != f).cast("bigint")).alias(f"__{f}") for f in folds]
+            counts = df.groupBy(c).agg(*outside)
+            small = frozen_if_small(counts)
+            base = settle(counts) if small is None else small
+            for f in folds:
+                t = base.select(c, F.col(f"__{f}").alias(f"{c}_counts"))
+                out[f][c] = t if small is None else F.broadcast(t)
+        return {f: self._apply(t) for f, t in out.items()}
+
 
 @dataclass(frozen=True)
 class Pca:
@@ -122,6 +183,14 @@ class Pca:
     replace: bool = False
     per_fold = True
 
+    @property
+    def reads(self) -> set[str]:
+        return set(self.groups)
+
+    @property
+    def writes(self) -> set[str]:
+        return {f"{self.prefix}{g}" for g in self.groups}
+
     def _apply(self, fits: dict[str, PcaFit]) -> Apply:
         def apply(d: DataFrame) -> DataFrame:
             for g, fit in fits.items():
@@ -157,6 +226,25 @@ class Scale:
     ddof: int = 0
     per_fold = True
 
+    @property
+    def reads(self) -> set[str]:
+        return {*self.groups, *self.scalars}
+
+    @property
+    def writes(self) -> set[str]:
+        return set(self._names())
+
+    def clean_part(self, dirty: set[str]) -> Scale | None:
+        """The columns no earlier step made fold-dependent."""
+        groups = [g for g in self.groups if g not in dirty]
+        scalars = () if dirty & set(self.scalars) else self.scalars
+        return Scale(groups, scalars, self.ddof) if groups or scalars else None
+
+    def dirty_part(self, dirty: set[str]) -> Scale | None:
+        groups = [g for g in self.groups if g in dirty]
+        scalars = self.scalars if dirty & set(self.scalars) else ()
+        return Scale(groups, scalars, self.ddof) if groups or scalars else None
+
     def _packed(self, d: DataFrame) -> DataFrame:
         if not self.scalars:
             return d
@@ -211,30 +299,42 @@ class Recipe:
             current = apply(current)
         return FittedRecipe(applies)
 
+    def leading(self) -> tuple[Recipe, Recipe]:
+        """The steps that fit the same on every fold, and the rest."""
+        n = next((i for i, s in enumerate(self.steps) if s.per_fold), len(self.steps))
+        return Recipe(self.steps[:n], self.features), Recipe(self.steps[n:], self.features)
+
     def fit_folds(self, df: DataFrame, folds: Sequence[int]) -> dict[int, FittedRecipe]:
-        """One fitted recipe per fold. While all folds still share the same
-        features, fold statistics come from one pass over all rows; after the
-        first fold-dependent step each fold fits on its own training rows.
+        """One fitted recipe per fold.
+
+        Columns that are the same for all folds are fitted from one pass over
+        all rows (statistics of the other folds are total minus own fold);
+        only columns an earlier step made fold-dependent need a pass per fold.
         """
         applies: dict[int, list[Apply]] = {f: [] for f in folds}
-        shared: DataFrame | None = df
+        shared, dirty = df, set()
         current = {f: df for f in folds}
+
+        def add(fits: dict[int, Apply]) -> None:
+            for f in folds:
+                applies[f].append(fits[f])
+                current[f] = fits[f](current[f])
+
         for step in self.steps:
-            if shared is not None and not step.per_fold:
+            if not step.per_fold and not step.reads & dirty:
                 apply = step.fit(shared)
                 shared = apply(shared)
-                for f in folds:
-                    applies[f].append(apply)
-                    current[f] = shared
+                add({f: apply for f in folds})
                 continue
-            if shared is not None and hasattr(step, "fit_folds"):
-                fits = step.fit_folds(shared, folds)
-            else:
-                fits = {f: step.fit(current[f].filter(F.col("kfold") != f)) for f in folds}
-            shared = None
-            for f in folds:
-                applies[f].append(fits[f])
-                current[f] = fits[f](current[f])
+            parts = [step]
+            if isinstance(step, Scale):
+                parts = [p for p in (step.clean_part(dirty), step.dirty_part(dirty)) if p]
+            for part in parts:
+                if part.reads & dirty or not hasattr(part, "fit_folds"):
+                    add({f: part.fit(current[f].filter(F.col("kfold") != f)) for f in folds})
+                else:
+                    add(part.fit_folds(shared, folds))
+            dirty |= step.writes
         return {f: FittedRecipe(a) for f, a in applies.items()}
 
     def matrix(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:

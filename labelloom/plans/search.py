@@ -63,7 +63,8 @@ def grid_search(
         earlier = [tuple(r) for r in done.select(*RESULT_COLUMNS).collect()]  # result rows only
     known = {(r[0], r[1], r[3], r[4]) for r in earlier}
     out = list(earlier)
-    with _persisted(df):
+    first, recipe = recipe.leading()  # what all folds share is computed once
+    with _persisted(first.fit(df).transform(df)) as df:
         sizes = {r["kfold"]: r["count"] for r in df.groupBy("kfold").count().collect()}
         n = sum(sizes.values())
         fitted = recipe.fit_folds(df, folds)
@@ -166,7 +167,8 @@ def multilabel_cv(
 ) -> DataFrame:
     """(fold, score): all classes fitted one-vs-rest, the row maximum kept, the
     hidden class dropped, then the multilabel log-loss over all labels."""
-    with _persisted(df):
+    first, recipe = recipe.leading()
+    with _persisted(first.fit(df).transform(df)) as df:
         fitted = recipe.fit_folds(df, list(folds))
 
         def one_fold(f: int):
