@@ -6,7 +6,7 @@ once however many statistics are asked for, and no Python runs per row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,15 +61,24 @@ def row_stat(x: Column, stat: str) -> Column:
     return build(x) if stat in ORDER_FREE else let(F.sort_array(x), build)
 
 
-def row_stats(df: DataFrame, groups: Sequence[str], stats: Sequence[str] = tuple(STATS)) -> DataFrame:
-    """Append ``<group>_<stat>`` columns, groups in the given order."""
+def row_stats(
+    df: DataFrame,
+    groups: Sequence[str],
+    stats: Sequence[str] | Mapping[str, Callable[[Column], Column]] = tuple(STATS),
+) -> DataFrame:
+    """Append ``<group>_<stat>`` columns, groups in the given order.
+
+    ``stats`` are names of the statistics above, or own builders by name; a
+    builder gets the sorted array.
+    """
+    builders = stats if isinstance(stats, Mapping) else {n: STATS[n] for n in stats}
     packed = df
     for g in groups:
         bundle = let(
-            F.sort_array(named(g)), lambda s: F.struct(*[STATS[n](s).alias(n) for n in stats])
+            F.sort_array(named(g)), lambda s: F.struct(*[f(s).alias(n) for n, f in builders.items()])
         )
         packed = packed.withColumn(f"__{g}", bundle)
-    flat = [F.col(f"__{g}").getField(n).alias(f"{g}_{n}") for g in groups for n in stats]
+    flat = [F.col(f"__{g}").getField(n).alias(f"{g}_{n}") for g in groups for n in builders]
     return packed.select(*[named(c) for c in df.columns], *flat)
 
 

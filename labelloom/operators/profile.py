@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,6 +78,20 @@ def column_stats(df: DataFrame, group: str, prefix: str | None = None) -> DataFr
     return wide.unpivot("feature", ["min", "max", "mean", "sd"], "stat", "value")
 
 
+def column_aggregates(
+    df: DataFrame, cols: Sequence[str], aggs: Mapping[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Any aggregate functions over any columns in one pass: (feature, stat, value)."""
+    cells = [
+        F.struct(
+            F.lit(c).alias("feature"), F.lit(name).alias("stat"), fn(named(c)).cast("double").alias("value")
+        )
+        for c in cols
+        for name, fn in aggs.items()
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """count, mean, std, min, exact quartiles and max per group."""
     basic = df.groupBy(*by).agg(

@@ -145,9 +145,13 @@ def _(spark, d):
     return out.select("o_orderkey", "kfold", *counts)
 
 
-# ---- principal components; the SQL squares the correlation matrix until one axis is left
-def pca_sql(group: str, d: int) -> str:
-    """Tables {g}_axes(axis, value, loading list) and {g}_z(vec_id, z list) of two axes."""
+# ---- principal components; the SQL squares the correlation matrix until one axis
+# is left, takes it off and goes on with the next
+AXES = ["one", "two", "three", "four", "five"]
+
+
+def pca_sql(g: str, d: int, train: str, rows: str, axes: int = 2) -> str:
+    """Tables {g}_z(vec_id, z) of scaled rows and, per axis, {g}_<axis>(v) and {g}_<axis>_value."""
     square = "[[list_dot_product(r, s) / sqrt(list_sum([list_dot_product(t, t) for t in a])) for s in a] for r in a]"
     pick = f"[a[i][i] for i in range(1, {d} + 1)]"
 
@@ -161,27 +165,44 @@ def pca_sql(group: str, d: int) -> str:
 {name} as (
   select case when list_max(v) >= -list_min(v) then v else [-x for x in v] end as v from {name}_unit),
 {name}_value as (
-  select list_dot_product([list_dot_product(r, v) for r in a], v) as value from {source}, {name})"""
-
-    g = group
-    return f"""{g}_fit as (select pos, avg(v) as m, stddev_pop(v) as s from cells where grp = '{g}' group by 1),
-{g}_cells as (select vec_id, pos, (v - m) / s as z from cells join {g}_fit using (pos) where grp = '{g}'),
-{g}_z as (select vec_id, list(z order by pos) as z from {g}_cells group by 1),
-{g}_pairs as (
-  select a.pos as i, b.pos as j, sum(a.z * b.z) / (select count(*) from {g}_z) as s
-  from {g}_cells a join {g}_cells b using (vec_id) group by 1, 2),
-{g}_rows as (select i, list(s order by j) as row from {g}_pairs group by 1),
-{g}_corr as (select list(row order by i) as a from {g}_rows),
-{axis(f'{g}_one', f'{g}_corr')},
-{g}_rest as (
+  select list_dot_product([list_dot_product(r, v) for r in a], v) as value from {source}, {name}),
+{name}_rest as (
   select [[a[i][j] - value * v[i] * v[j] for j in range(1, {d} + 1)] for i in range(1, {d} + 1)] as a
-  from {g}_corr, {g}_one, {g}_one_value),
-{axis(f'{g}_two', f'{g}_rest')}"""
+  from {source}, {name}, {name}_value)"""
+
+    sources = [f"{g}_corr", *[f"{g}_{n}_rest" for n in AXES]]
+    steps = ",\n".join(axis(f"{g}_{n}", src) for n, src in zip(AXES[:axes], sources))
+    return f"""{g}_fit as (select pos, avg(v) as m, stddev_pop(v) as s from ({train}) group by 1),
+{g}_train as (select vec_id, pos, (v - m) / s as z from ({train}) join {g}_fit using (pos)),
+{g}_rows as (select vec_id, pos, (v - m) / s as z from ({rows}) join {g}_fit using (pos)),
+{g}_z as (select vec_id, list(z order by pos) as z from {g}_rows group by 1),
+{g}_pairs as (
+  select a.pos as i, b.pos as j, sum(a.z * b.z) / (select count(distinct vec_id) from {g}_train) as s
+  from {g}_train a join {g}_train b using (vec_id) group by 1, 2),
+{g}_lines as (select i, list(s order by j) as line from {g}_pairs group by 1),
+{g}_corr as (select list(line order by i) as a from {g}_lines),
+{steps}"""
 
 
-def pca_with(*groups: str) -> str:
+def pca_with(*groups: str, axes: int = 2) -> str:
     widths = {"c": 16, "g": 48}
-    return "with recursive " + ", ".join([FEATURES, CELLS, *[pca_sql(g, widths[g]) for g in groups]]) + " "
+    parts = []
+    for g in groups:
+        cells = f"select vec_id, pos, v from cells where grp = '{g}'"
+        parts.append(pca_sql(g, widths[g], cells, cells, axes))
+    return "with recursive " + ", ".join([FEATURES, CELLS, *parts]) + " "
+
+
+def pca_folds_sql() -> str:
+    parts, out = [], []
+    for f in range(5):
+        cells = "select vec_id, pos, v from cells join folds using (vec_id) where grp = 'c' and kfold"
+        parts.append(pca_sql(f"c{f}", 16, f"{cells} <> {f}", f"{cells} = {f}"))
+        out.append(
+            f"select vec_id, {f} as kfold, round(list_dot_product(z, c{f}_one.v), 5) as c_pc1, "
+            f"round(list_dot_product(z, c{f}_two.v), 5) as c_pc2 from c{f}_z, c{f}_one, c{f}_two"
+        )
+    return "with recursive " + ", ".join([FEATURES, CELLS, FOLDS, *parts]) + " union all ".join(out)
 
 
 @query(
@@ -201,7 +222,7 @@ def _(spark, d):
     return out.select("vec_id", *[r(n, 5).alias(n) for n in names])
 
 
-@query("pca_features_out_of_fold")
+@query("pca_features_out_of_fold", pca_folds_sql())
 def _(spark, d):
     x = feature_folds(spark, d)
     fits = K.fit_pca_folds(x, "c")
@@ -211,7 +232,7 @@ def _(spark, d):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("vec_id", "kfold", "c_pc1", "c_pc2")
+    return out.select("vec_id", "kfold", r("c_pc1", 5).alias("c_pc1"), r("c_pc2", 5).alias("c_pc2"))
 
 
 @query("pca_threshold")
@@ -251,10 +272,18 @@ def _(spark, d):
     return rows.orderBy(F.col("contribution").desc(), "variable").limit(15)
 
 
-@query("pca_variance")
+@query(
+    "pca_variance",
+    pca_with("g", axes=5)
+    + " union all ".join(
+        f"select {i + 1} as axis, round(value, 7) as eigenvalue, round(value / 48, 8) as share from g_{n}_value"
+        for i, n in enumerate(AXES)
+    ),
+)
 def _(spark, d):
     x = features(spark, d)
-    return K.variance_shares(x, K.fit_pca(x, "g"), 5)
+    shares = K.variance_shares(x, K.fit_pca(x, "g"), 5)
+    return shares.select("axis", r("eigenvalue", 7).alias("eigenvalue"), r("share", 8).alias("share"))
 
 
 @query(

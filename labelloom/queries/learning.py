@@ -22,6 +22,7 @@ from labelloom.plans.recipe import OneHot, Recipe, Scale
 from labelloom.plans.search import cv_run, greedy_feature_sets, grid_search, multilabel_cv
 from labelloom.queries.features import feature_folds
 from labelloom.queries.frames import (
+    CELLS,
     FEATURES,
     FOLD_SCORES,
     FOLDS,
@@ -391,6 +392,45 @@ def _(spark, d):
     return grid_search(df, "vec_id", classes, SCALED, grid, folds_at_once=5)
 
 
+# the whole search in SQL for the classifiers it can express: scale outside the
+# fold, neighbours and naive Bayes, log-loss per class and fold
+@query(
+    "grid_search_exact",
+    with_(
+        FEATURES,
+        CELLS,
+        FOLDS,
+        "fold as (select distinct kfold as f from folds)",
+        "raw as (select vec_id, kfold, (case grp when 'c' then 0 else 16 end) + pos as pos, v from cells join folds using (vec_id))",
+        "fit as (select f, pos, avg(v) as m, stddev_pop(v) as s from fold join raw on kfold <> f group by 1, 2)",
+        "z as (select f, vec_id, kfold, pos, (v - m) / s as v from raw join fit using (pos))",
+        "rows as (select f, vec_id, kfold, list(v order by pos) as x from z group by 1, 2, 3)",
+        "truth as (select vec_id, c as class, (label = c::int)::int as y from embeddings, (values ('0'), ('1')) t(c))",
+        "near as (select q.f, q.vec_id, t.vec_id as neighbour, row_number() over (partition by q.vec_id "
+        "order by list_distance(q.x, t.x), t.vec_id) as rank from rows q join rows t on q.f = t.f and q.kfold = q.f and t.kfold <> t.f)",
+        "knn as (select f, near.vec_id, class, 'knn' as clf, k as ordinal, 'n_neighbors=' || (2 * k + 2) || ',p=2' as params, "
+        "sum(y) / (2 * k + 2) as p from near join truth on truth.vec_id = neighbour, range(2) t(k) where rank <= 2 * k + 2 "
+        "group by 1, 2, 3, k)",
+        "stats as (select f, class, y, pos, avg(v) as m, var_pop(v) as s, count(*) as n from z join truth using (vec_id) "
+        "where kfold <> f group by 1, 2, 3, 4)",
+        "extra as (select f, 1e-9::double * max(s) as e from (select f, pos, var_pop(v) as s from z where kfold <> f group by 1, 2) "
+        "group by 1)",
+        "joint as (select z.f, z.vec_id, class, y, any_value(ln(n)) - 0.5 * sum(ln(2 * pi() * (s + e)) + (v - m) * (v - m) / (s + e)) as j "
+        "from z join stats using (f, pos) join extra using (f) where kfold = z.f group by 1, 2, 3, 4)",
+        "nb as (select f, vec_id, class, 'nb' as clf, 0 as ordinal, 'dummy_param=None' as params, "
+        "1 / (1 + exp(max(case when y = 0 then j end) - max(case when y = 1 then j end))) as p from joint group by 1, 2, 3)",
+        "scored as (select * from knn union all select * from nb)",
+    )
+    + f"select class, clf, ordinal::int as ordinal, params, f as fold, round(avg({LOSS}), 7) as score "
+    "from scored join truth using (vec_id, class) group by 1, 2, 3, 4, 5",
+)
+def _(spark, d):
+    df, classes = embedding_cv(spark, d)
+    grid = {"knn": {"n_neighbors": [2, 4], "p": [2]}, "nb": {"dummy_param": [None]}}
+    found = grid_search(df, "vec_id", classes, SCALED, grid, folds_at_once=5)
+    return found.withColumn("score", r("score", 7))
+
+
 @query("multilabel_cv")
 def _(spark, d):
     df = text_features(spark, d).join(table(spark, d, "labels"), "doc_id")

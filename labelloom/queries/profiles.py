@@ -106,6 +106,21 @@ def _(spark, d):
     return P.column_stats(x, "c").unionByName(P.column_stats(x, "g")).withColumn("value", r("value", 9))
 
 
+@query(
+    "column_aggregates",
+    with_(SAMPLES)
+    + " union all ".join(
+        f"select '{c}' as feature, '{stat}' as stat, round({sql}, 4) as value from samples"
+        for c in NUMS
+        for stat, sql in (("sum", f"cast(sum(cast({c} as decimal(18,2))) as double)"), ("max", f"max({c})::double"))
+    ),
+)
+def _(spark, d):
+    rows = samples(spark, d).select(*[F.col(c).cast("decimal(18,2)").alias(c) for c in NUMS])
+    out = P.column_aggregates(rows, NUMS, {"sum": F.sum, "max": F.max})
+    return out.withColumn("value", r("value", 4))
+
+
 @query(
     "describe",
     with_(SAMPLES)
@@ -311,11 +326,33 @@ def _(spark, d):
     return means.withColumn("mean_score", r("mean_score", 9))
 
 
-@query("proportion_ci")
+TAIL = (
+    "list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})) "
+    "for i in range({start}, n + 1)])"
+)
+
+
+# the SQL bisects on the binomial tail sum
+@query(
+    "proportion_ci",
+    f"""with recursive counts as (
+  select lang, cast(sum(toxic) as bigint) as x, count(*) as n from documents join labels using (doc_id) group by 1),
+halves as (
+  select lang, x, n, 0 as step, 0.0::double as a, 1.0::double as b, 0.0::double as c, 1.0::double as d from counts
+  union all
+  select lang, x, n, step + 1,
+         case when t1 < 0.025 then (a + b) / 2 else a end, case when t1 < 0.025 then b else (a + b) / 2 end,
+         case when t2 < 0.975 then (c + d) / 2 else c end, case when t2 < 0.975 then d else (c + d) / 2 end
+  from (select *, {TAIL.format(p='((a + b) / 2)', start='x')} as t1, {TAIL.format(p='((c + d) / 2)', start='x + 1')} as t2
+        from halves where step < 60))
+select lang, x, n, round(case when x = 0 then 0 else a end, 8) as lwr, round(case when x = n then 1 else c end, 8) as upr
+from halves where step = 60""",
+)
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
     rows = docs.join(table(spark, d, "labels"), "doc_id")
-    return P.proportion_ci(rows, ["lang"], "toxic")
+    out = P.proportion_ci(rows, ["lang"], "toxic")
+    return out.withColumns({"lwr": r("lwr", 8), "upr": r("upr", 8)})
 
 
 # ---- reshape
@@ -436,7 +473,8 @@ def _(spark, d):
     return P.reorder_levels(table(spark, d, "part"), "p_type", "p_retailprice")
 
 
-@query("shuffle")
+# the SQL names the rows only: a permutation holds each of them once
+@query("shuffle", "select o_orderkey, o_orderstatus from orders")
 def _(spark, d):
     return O.shuffle_rows(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 7)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIDDEN = "hidden_class"
+HIDDEN = "hidden_class"  # fixed value: name of the class of rows without labels
 
 
 @dataclass(frozen=True)

@@ -61,3 +61,10 @@ def test_keep_argmax_leaves_one_entry(spark):
     df = spark.createDataFrame([([0.2, 0.7, 0.7],), ([0.9, 0.1, 0.3],)], "p array<double>")
     got = [r[0] for r in df.select(keep_argmax(F.col("p"))).collect()]
     assert got == [[0.0, 0.7, 0.0], [0.9, 0.0, 0.0]]
+
+
+def test_own_statistics(spark):
+    df = spark.createDataFrame([(1, [3.0, 1.0, 2.0])], "id int, x array<double>")
+    own = {"median": lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int")), "n": F.size}
+    row = row_stats(df, ["x"], own).first()
+    assert (row["x_median"], row["x_n"]) == (2.0, 3)
