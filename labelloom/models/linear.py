@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def logistic(strength: float, n_rows: int, label: str = "y", max_iter: int = 500) -> LogisticRegression:
+def logistic(
+    strength: float, n_rows: int, label: str = "y", max_iter: int = 500, tol: float = 1e-6
+) -> LogisticRegression:
     """L2 logistic regression for the objective C * loss + |w|^2 / 2.
 
     MLlib minimises mean loss + regParam |w|^2 / 2, so regParam = 1 / (C n);
@@ -34,7 +36,7 @@ def logistic(strength: float, n_rows: int, label: str = "y", max_iter: int = 500
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-6,
+        tol=tol,
     )
 
 

@@ -32,13 +32,13 @@ def in_pool(spark, tasks: Sequence[Callable[[], object]], workers: int = WORKERS
 
 
 def fit_ovr(
-    train: DataFrame, classes: Sequence[str], strengths: Sequence[float], n_rows: int
+    train: DataFrame, classes: Sequence[str], strengths: Sequence[float], n_rows: int, tol: float = 1e-6
 ) -> list:
     """One logistic model per class column; ``train`` should be persisted."""
 
     def task(c: str, strength: float):
         target = train.select("features", named(c).cast("double").alias("y"))
-        return lambda: logistic(strength, n_rows).fit(target)
+        return lambda: logistic(strength, n_rows, tol=tol).fit(target)
 
     return in_pool(train.sparkSession, [task(c, s) for c, s in zip(classes, strengths)])
 

@@ -22,22 +22,28 @@ def _score(
     classes: Sequence[str],
     recipe: Recipe,
     strengths: Sequence[float],
+    tol: float,
 ) -> DataFrame:
     fitted = recipe.fit(train)
     frame = recipe.matrix(fitted.transform(train), [key, *classes])
     frame = frame.withColumn("features", array_to_vector("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    models = fit_ovr(frame, classes, strengths, frame.count())
+    models = fit_ovr(frame, classes, strengths, frame.count(), tol)
     frame.unpersist()
     rows = recipe.matrix(fitted.transform(test), [key])
     return score_ovr(rows.withColumn("features", array_to_vector("x")), models)
 
 
 def score_baseline(
-    train: DataFrame, test: DataFrame, key: str, classes: Sequence[str], recipe: Recipe
+    train: DataFrame,
+    test: DataFrame,
+    key: str,
+    classes: Sequence[str],
+    recipe: Recipe,
+    tol: float = 1e-6,
 ) -> DataFrame:
     """Sparse predictions (key, label, p): only the largest probability of a row
     survives, the hidden class is dropped."""
-    scored = _score(train, test, key, classes, recipe, [1.0] * len(classes))
+    scored = _score(train, test, key, classes, recipe, [1.0] * len(classes), tol)
     kept = scored.withColumn("probs", keep_argmax(F.col("probs")))
     return drop_hidden(predictions_long(kept, key, classes))
 
@@ -49,9 +55,10 @@ def score_tuned(
     classes: Sequence[str],
     recipe: Recipe,
     strengths: dict[str, float],
+    tol: float = 1e-6,
 ) -> DataFrame:
     """As the baseline with one strength per class, matched by name, no masking."""
-    scored = _score(train, test, key, classes, recipe, [strengths[c] for c in classes])
+    scored = _score(train, test, key, classes, recipe, [strengths[c] for c in classes], tol)
     return drop_hidden(predictions_long(scored, key, classes))
 
 

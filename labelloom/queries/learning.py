@@ -20,7 +20,7 @@ from labelloom.plans import scoring as P
 from labelloom.plans.project import feature_recipes
 from labelloom.plans.recipe import OneHot, Recipe, Scale
 from labelloom.plans.search import cv_run, greedy_feature_sets, grid_search, multilabel_cv
-from labelloom.queries.features import feature_folds
+from labelloom.queries.features import LEVELS, feature_folds
 from labelloom.queries.frames import (
     CELLS,
     FEATURES,
@@ -31,6 +31,7 @@ from labelloom.queries.frames import (
     PREDICTIONS,
     RUN_NAMES,
     RUNS,
+    SAMPLES,
     VOCABULARY,
     features,
     fold_scores,
@@ -45,8 +46,10 @@ from labelloom.queries.frames import (
     vocabulary,
     with_,
 )
-from labelloom.queries.profiles import CATS, TOPK_SQL, TOTALS, top_classes
+from labelloom.queries.logistic import logistic_sql, proba
+from labelloom.queries.profiles import CATS, NUMS, TOPK_SQL, TOTALS, top_classes
 from labelloom.queries.registry import query
+from labelloom.queries.rows import SIGNATURES
 from labelloom.roles import HIDDEN, Roles
 
 # ---- models: embedding label 0 against the rest, fitted outside fold 0, applied to fold 0
@@ -63,10 +66,33 @@ def _scored(model, valid):
     return model.transform(valid).select("vec_id", F.col("y").cast("int").alias("y"), p.alias("p"))
 
 
-@query("logreg_ovr")
+EMBEDDED = """embedded as materialized (
+  select vec_id, kfold, label, list_concat(c, g, [1.0::double]) as x from features join folds using (vec_id))"""
+
+
+def _rounded(df, digits=4):
+    return df.withColumn("p", r("p", digits))
+
+
+@query(
+    "logreg_ovr",
+    "with recursive "
+    + ", ".join(
+        [
+            FEATURES,
+            FOLDS,
+            EMBEDDED,
+            "strength as (select 'zero' as model, 1.0::double as c)",
+            "train as materialized (select 'zero' as model, x, (label = 0)::int as y from embedded where kfold <> 0)",
+            logistic_sql(64, 80),
+        ]
+    )
+    + f"select vec_id, (label = 0)::int as y, round({proba('w', 'x')}, 4) as p from embedded, weights where kfold = 0",
+)
 def _(spark, d):
     train, valid = _binary(spark, d)
-    return _scored(logistic(1.0, train.count()).fit(train), valid)
+    model = logistic(1.0, train.count(), tol=1e-9).fit(train)
+    return _rounded(_scored(model, valid))
 
 
 @query("logreg_multinomial")
@@ -150,7 +176,7 @@ def _(spark, d):
     with_(
         FEATURES,
         FOLDS,
-        "train as (select label, generate_subscripts(c, 1) as pos, unnest(c) as v from features join folds using (vec_id) "
+        "train as materialized (select label, generate_subscripts(c, 1) as pos, unnest(c) as v from features join folds using (vec_id) "
         "where kfold <> 0)",
         "extra as (select 1e-9::double * max(s) as e from (select var_pop(v) as s from train group by pos))",
         "fit as (select label, list(m order by pos) as m, list(s + e order by pos) as s, any_value(n) as n from "
@@ -171,16 +197,31 @@ def _(spark, d):
     return long.select("vec_id", F.get(names, F.col("pos")).alias("class"), r("p", 8).alias("p"))
 
 
-@query("ovr_fit_predict")
+@query(
+    "ovr_fit_predict",
+    "with recursive "
+    + ", ".join(
+        [
+            FEATURES,
+            FOLDS,
+            EMBEDDED,
+            "strength as (select model, 1.0::double as c from (values ('0'), ('1'), ('2')) t(model))",
+            "train as materialized (select model, x, (label = model::int)::int as y from embedded, strength where kfold <> 0)",
+            logistic_sql(64, 80),
+        ]
+    )
+    + f"select vec_id, model as label, round({proba('w', 'x')}, 4) as p from embedded, weights where kfold = 0",
+)
 def _(spark, d):
     classes = [str(i) for i in range(3)]
     rows = assemble_vector(feature_folds(spark, d), ["c", "g"])
     rows = rows.withColumns({c: (F.col("label") == int(c)).cast("int") for c in classes})
     train, valid = train_valid_split(rows, 0)
     train = train.select("features", *classes).persist()
-    models = fit_ovr(train, classes, [1.0] * 3, train.count())
+    models = fit_ovr(train, classes, [1.0] * 3, train.count(), tol=1e-9)
     train.unpersist()
-    return predictions_long(score_ovr(valid.select("vec_id", "features"), models), "vec_id", classes)
+    scored = score_ovr(valid.select("vec_id", "features"), models)
+    return _rounded(predictions_long(scored, "vec_id", classes))
 
 
 @query(
@@ -358,18 +399,50 @@ def order_cv(spark, d, classes):
     return samples(spark, d).join(folds, "o_orderkey").join(y, "o_orderkey")
 
 
-NUMS = ["o_totalprice", "c_acctbal", "n_lines", "qty"]
 BASE = Recipe([OneHot(CATS), Scale(scalars=NUMS)], ["onehot", "scalars"])
 
 
-@query("cv_run")
+CV_SQL = [
+    SAMPLES,
+    POSITIVES,
+    VOCABULARY,
+    TOTALS,
+    TOPK_SQL,
+    SIGNATURES,
+    "top as (select label as class from topk order by n desc, pos limit 1)",
+    "truth as (select s.o_orderkey, kfold, class, case when class = 'hidden_class' then (p.n is null)::int else "
+    "coalesce(list_contains(p.labels, class), false)::int end as y, s.* exclude (o_orderkey) from samples s "
+    "join label_folds using (o_orderkey) left join (select o_orderkey, count(*) as n, list(label) as labels from positives "
+    "group by 1) p using (o_orderkey), top)",
+    "fold as (select distinct kfold as f from label_folds)",
+    "fit as (select f, "
+    + ", ".join(f"avg({c}) as {c}_m, stddev_pop({c}) as {c}_s" for c in NUMS)
+    + " from fold join truth on kfold <> f group by f)",
+    "matrix as materialized (select f, o_orderkey, kfold, class, y, ["
+    + ", ".join(f"({c} = '{v}')::int::double" for c, vs in LEVELS.items() for v in vs)
+    + ", "
+    + ", ".join(f"({c} - {c}_m) / {c}_s" for c in NUMS)
+    + ", 1.0::double] as x from truth, fit)",
+    "strength as (select f as model, 1.0::double as c from fold)",
+    "train as materialized (select f as model, x, y from matrix where kfold <> f)",
+]
+
+
+@query(
+    "cv_run",
+    "with recursive "
+    + ", ".join([*CV_SQL, logistic_sql(17, 60)])
+    + f", scored as (select class, f as fold, y, {proba('w', 'x')} as p from matrix join weights on model = f where kfold = f) "
+    + f"select class, fold, round(avg({LOSS}), 6) as score from scored group by 1, 2",
+)
 def _(spark, d):
     """Hidden class among the 13 most frequent, balanced folds, one-hot and
     scaling per fold, logistic regression, class log-loss per fold."""
     top = [row["label"] for row in top_classes(spark, d).collect()]
     best = top[0]
     df = order_cv(spark, d, [best])
-    return cv_run(df, "o_orderkey", [best], BASE, "log_reg", {"C": 1.0}, folds_at_once=5)
+    found = cv_run(df, "o_orderkey", [best], BASE, "log_reg", {"C": 1.0}, folds_at_once=5)
+    return found.withColumn("score", r("score", 6))
 
 
 def embedding_cv(spark, d):
@@ -519,19 +592,54 @@ def _documents(spark, d):
     return docs.join(y, "doc_id"), docs.join(labels, "doc_id", "left_anti")
 
 
-@query("score_baseline")
+DOC_SQL = [
+    "docs as (select doc_id, lang, source, n_chars::double as n_chars, len(string_split(text, ' '))::double as n_words, "
+    "quality, toxic from documents left join labels using (doc_id))",
+    "fit as (select avg(n_chars) as m1, stddev_pop(n_chars) as s1, avg(n_words) as m2, stddev_pop(n_words) as s2 "
+    "from docs where quality is not null)",
+    "matrix as materialized (select docs.*, ["
+    + ", ".join(f"(lang = '{v}')::int::double" for v in ("de", "en", "es", "fr"))
+    + ", "
+    + ", ".join(f"(source = 'src{i}')::int::double" for i in range(20))
+    + ", (n_chars - m1) / s1, (n_words - m2) / s2, 1.0::double] as x from docs, fit)",
+    "train as materialized (select model, x, case model when 'quality' then quality when 'toxic' then toxic "
+    "else (quality + toxic = 0)::int end as y from matrix, strength where quality is not null)",
+    logistic_sql(26, 200),
+    f"scored as (select doc_id, model, {proba('w', 'x')} as p from matrix, weights where quality is null)",
+]
+
+
+def _strengths(**c: float) -> str:
+    values = ", ".join(f"('{k}', {v}::double)" for k, v in c.items())
+    return f"strength as (select model, c from (values {values}) t(model, c))"
+
+
+@query(
+    "score_baseline",
+    "with recursive "
+    + ", ".join([_strengths(quality=1.0, toxic=1.0, hidden_class=1.0), *DOC_SQL])
+    + "select doc_id, round(max(case when model = 'quality' and p = best then p else 0 end), 4) as quality, "
+    "round(max(case when model = 'toxic' and p = best then p else 0 end), 4) as toxic "
+    "from (select *, max(p) over (partition by doc_id) as best from scored) group by doc_id",
+)
 def _(spark, d):
     train, test = _documents(spark, d)
-    scored = P.score_baseline(train, test, "doc_id", DOC_CLASSES, DOC_RECIPE)
-    return P.submission_wide(scored, test, "doc_id", ["quality", "toxic"])
+    scored = P.score_baseline(train, test, "doc_id", DOC_CLASSES, DOC_RECIPE, tol=1e-9)
+    return P.submission_wide(_rounded(scored), test, "doc_id", ["quality", "toxic"])
 
 
-@query("score_tuned")
+@query(
+    "score_tuned",
+    "with recursive "
+    + ", ".join([_strengths(quality=0.1, toxic=1.0, hidden_class=10.0), *DOC_SQL])
+    + "select doc_id, round(max(case when model = 'quality' then p end), 4) as quality, "
+    "round(max(case when model = 'toxic' then p end), 4) as toxic from scored group by doc_id",
+)
 def _(spark, d):
     train, test = _documents(spark, d)
     strengths = {"quality": 0.1, "toxic": 1.0, HIDDEN: 10.0}
-    scored = P.score_tuned(train, test, "doc_id", DOC_CLASSES, DOC_RECIPE, strengths)
-    return P.submission_wide(scored, test, "doc_id", ["quality", "toxic"])
+    scored = P.score_tuned(train, test, "doc_id", DOC_CLASSES, DOC_RECIPE, strengths, tol=1e-9)
+    return P.submission_wide(_rounded(scored), test, "doc_id", ["quality", "toxic"])
 
 
 @query(
