@@ -40,8 +40,10 @@ def logistic(
     )
 
 
-def multinomial(strength: float, n_rows: int, label: str = "y", max_iter: int = 500) -> LogisticRegression:
-    return logistic(strength, n_rows, label, max_iter).setFamily("multinomial")
+def multinomial(
+    strength: float, n_rows: int, label: str = "y", max_iter: int = 500, tol: float = 1e-6
+) -> LogisticRegression:
+    return logistic(strength, n_rows, label, max_iter, tol).setFamily("multinomial")
 
 
 def gradient_norm(df: DataFrame, model: LogisticRegressionModel, strength: float) -> float:

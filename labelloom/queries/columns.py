@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from labelloom.models.ovr import in_pool
 from labelloom.queries.frames import (
     CELLS,
     FEATURES,
+    FOLDS,
     POSITIVES,
     POSITIVES_FINE,
     RUN_NAMES,
@@ -36,6 +38,7 @@ from labelloom.queries.frames import (
     table,
     with_,
 )
+from labelloom.queries.logistic import logistic_sql, proba
 from labelloom.queries.registry import query
 from labelloom.roles import unpack
 from labelloom.session import scratch_path
@@ -116,7 +119,23 @@ def _(spark, d):
     return cells.select("class_name", tuned_strength(F.col("cell")).alias("strength"))
 
 
-@query("model_store")
+@query(
+    "model_store",
+    "with recursive "
+    + ", ".join(
+        [
+            FEATURES,
+            FOLDS,
+            "embedded as materialized (select vec_id, kfold, (label = 0)::int as y, list_concat(c, g, [1.0::double]) as x "
+            "from features join folds using (vec_id))",
+            "strength as (select f as model, 1.0::double as c from range(5) t(f))",
+            "train as materialized (select model, x, y from embedded join strength on kfold <> model)",
+            logistic_sql(64, 80),
+        ]
+    )
+    + f"select vec_id, kfold, (list_dot_product(w, x) > 0)::int::double as prediction, round({proba('w', 'x')}, 4) as p "
+    "from embedded join weights on model = kfold",
+)
 def _(spark, d):
     from pyspark.ml import Pipeline
 
@@ -129,9 +148,10 @@ def _(spark, d):
 
     def one_fold(fold: int):
         train = rows.filter(F.col("kfold") != fold)
-        save_model(Pipeline(stages=[logistic(1.0, train.count())]).fit(train), path, fold)
+        save_model(Pipeline(stages=[logistic(1.0, train.count(), tol=1e-9)]).fit(train), path, fold)
         scored = load_model(path, fold).transform(rows.filter(F.col("kfold") == fold))
-        return scored.select("vec_id", "kfold", "prediction")
+        p = vector_to_array("probability")[1]
+        return scored.select("vec_id", "kfold", "prediction", r(p, 4).alias("p"))
 
     parts = in_pool(spark, [lambda f=f: one_fold(f) for f in range(5)])
     return reduce(DataFrame.unionByName, parts)

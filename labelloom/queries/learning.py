@@ -46,7 +46,7 @@ from labelloom.queries.frames import (
     vocabulary,
     with_,
 )
-from labelloom.queries.logistic import logistic_sql, proba
+from labelloom.queries.logistic import logistic_sql, proba, softmax_sql
 from labelloom.queries.profiles import CATS, NUMS, TOPK_SQL, TOTALS, top_classes
 from labelloom.queries.registry import query
 from labelloom.queries.rows import SIGNATURES
@@ -95,12 +95,29 @@ def _(spark, d):
     return _rounded(_scored(model, valid))
 
 
-@query("logreg_multinomial")
+@query(
+    "logreg_multinomial",
+    "with recursive "
+    + ", ".join(
+        [
+            FEATURES,
+            FOLDS,
+            EMBEDDED,
+            "penalty as (select 1.0::double as c)",
+            "train as materialized (select vec_id as id, label, x from embedded where kfold <> 0)",
+            softmax_sql(64, 10, 160),
+        ]
+    )
+    + "select vec_id, e.label, w.label::int as class, round(exp(list_dot_product(w, x)) / "
+    "sum(exp(list_dot_product(w, x))) over (partition by vec_id), 4) as p from embedded e, weights w where kfold = 0",
+)
 def _(spark, d):
     train, valid = _binary(spark, d)
-    model = multinomial(1.0, train.count(), "label").fit(train)
-    return model.transform(valid).select(
-        "vec_id", "label", F.posexplode(vector_to_array("probability")).alias("class", "p")
+    model = multinomial(1.0, train.count(), "label", tol=1e-9).fit(train)
+    return _rounded(
+        model.transform(valid).select(
+            "vec_id", "label", F.posexplode(vector_to_array("probability")).alias("class", "p")
+        )
     )
 
 
@@ -454,7 +471,58 @@ def embedding_cv(spark, d):
 SCALED = Recipe([Scale(["c", "g"])], ["c", "g"])
 
 
-@query("grid_search")
+# the whole search in SQL: scale outside the fold, neighbours and naive Bayes,
+# log-loss per class and fold
+SEARCH_SQL = [
+    FEATURES,
+    CELLS,
+    FOLDS,
+    "fold as (select distinct kfold as f from folds)",
+    "raw as (select vec_id, kfold, (case grp when 'c' then 0 else 16 end) + pos as pos, v from cells join folds using (vec_id))",
+    "fit as (select f, pos, avg(v) as m, stddev_pop(v) as s from fold join raw on kfold <> f group by 1, 2)",
+    "z as (select f, vec_id, kfold, pos, (v - m) / s as v from raw join fit using (pos))",
+    "rows as (select f, vec_id, kfold, list(v order by pos) as x from z group by 1, 2, 3)",
+    "truth as (select vec_id, c as class, (label = c::int)::int as y from embeddings, (values ('0'), ('1')) t(c))",
+    "near as (select q.f, q.vec_id, t.vec_id as neighbour, row_number() over (partition by q.vec_id "
+    "order by list_distance(q.x, t.x), t.vec_id) as rank from rows q join rows t on q.f = t.f and q.kfold = q.f and t.kfold <> t.f)",
+    "knn as (select f, near.vec_id, class, 'knn' as clf, k as ordinal, 'n_neighbors=' || (2 * k + 2) || ',p=2' as params, "
+    "sum(y) / (2 * k + 2) as p from near join truth on truth.vec_id = neighbour, range(2) t(k) where rank <= 2 * k + 2 "
+    "group by 1, 2, 3, k)",
+    "stats as (select f, class, y, pos, avg(v) as m, var_pop(v) as s, count(*) as n from z join truth using (vec_id) "
+    "where kfold <> f group by 1, 2, 3, 4)",
+    "extra as (select f, 1e-9::double * max(s) as e from (select f, pos, var_pop(v) as s from z where kfold <> f group by 1, 2) "
+    "group by 1)",
+    "joint as (select z.f, z.vec_id, class, y, any_value(ln(n)) - 0.5 * sum(ln(2 * pi() * (s + e)) + (v - m) * (v - m) / (s + e)) as j "
+    "from z join stats using (f, pos) join extra using (f) where kfold = z.f group by 1, 2, 3, 4)",
+    "nb as (select f, vec_id, class, 'nb' as clf, 0 as ordinal, 'dummy_param=None' as params, "
+    "1 / (1 + exp(max(case when y = 0 then j end) - max(case when y = 1 then j end))) as p from joint group by 1, 2, 3)",
+]
+SCORE_SQL = (
+    f"select class, clf, ordinal::int as ordinal, params, f as fold, round(avg({LOSS}), 6) as score "
+    "from scored join truth using (vec_id, class) group by 1, 2, 3, 4, 5"
+)
+
+
+@query(
+    "grid_search",
+    "with recursive "
+    + ", ".join(
+        [
+            *SEARCH_SQL,
+            "matrix as materialized (select f, vec_id, kfold, list_append(x, 1.0::double) as x from rows)",
+            "combos as (select f || '/' || class || '/' || o as model, f, class, o, c::double as c from fold, "
+            "(values ('0'), ('1')) t(class), (values (0, 0.001), (1, 0.01)) u(o, c))",
+            "strength as (select model, c from combos)",
+            "train as materialized (select model, x, y from combos join matrix using (f) join truth using (vec_id, class) "
+            "where kfold <> f)",
+            logistic_sql(64, 60),
+            "lr as (select f, vec_id, class, 'log_reg' as clf, o as ordinal, 'penalty=l2,C=' || c as params, "
+            f"{proba('w', 'x')} as p from combos join weights using (model) join matrix using (f) where kfold = f)",
+            "scored as (select * from knn where ordinal = 1 union all select * from nb union all select * from lr)",
+        ]
+    )
+    + SCORE_SQL.replace("ordinal::int as ordinal", "(case clf when 'knn' then 0 else ordinal end)::int as ordinal"),
+)
 def _(spark, d):
     df, classes = embedding_cv(spark, d)
     grid = {
@@ -462,40 +530,15 @@ def _(spark, d):
         "knn": {"n_neighbors": [4], "p": [2]},
         "nb": {"dummy_param": [None]},
     }
-    return grid_search(df, "vec_id", classes, SCALED, grid, folds_at_once=5)
+    found = grid_search(df, "vec_id", classes, SCALED, grid, folds_at_once=5)
+    return found.withColumn("score", r("score", 6))
 
 
-# the whole search in SQL for the classifiers it can express: scale outside the
-# fold, neighbours and naive Bayes, log-loss per class and fold
 @query(
     "grid_search_exact",
-    with_(
-        FEATURES,
-        CELLS,
-        FOLDS,
-        "fold as (select distinct kfold as f from folds)",
-        "raw as (select vec_id, kfold, (case grp when 'c' then 0 else 16 end) + pos as pos, v from cells join folds using (vec_id))",
-        "fit as (select f, pos, avg(v) as m, stddev_pop(v) as s from fold join raw on kfold <> f group by 1, 2)",
-        "z as (select f, vec_id, kfold, pos, (v - m) / s as v from raw join fit using (pos))",
-        "rows as (select f, vec_id, kfold, list(v order by pos) as x from z group by 1, 2, 3)",
-        "truth as (select vec_id, c as class, (label = c::int)::int as y from embeddings, (values ('0'), ('1')) t(c))",
-        "near as (select q.f, q.vec_id, t.vec_id as neighbour, row_number() over (partition by q.vec_id "
-        "order by list_distance(q.x, t.x), t.vec_id) as rank from rows q join rows t on q.f = t.f and q.kfold = q.f and t.kfold <> t.f)",
-        "knn as (select f, near.vec_id, class, 'knn' as clf, k as ordinal, 'n_neighbors=' || (2 * k + 2) || ',p=2' as params, "
-        "sum(y) / (2 * k + 2) as p from near join truth on truth.vec_id = neighbour, range(2) t(k) where rank <= 2 * k + 2 "
-        "group by 1, 2, 3, k)",
-        "stats as (select f, class, y, pos, avg(v) as m, var_pop(v) as s, count(*) as n from z join truth using (vec_id) "
-        "where kfold <> f group by 1, 2, 3, 4)",
-        "extra as (select f, 1e-9::double * max(s) as e from (select f, pos, var_pop(v) as s from z where kfold <> f group by 1, 2) "
-        "group by 1)",
-        "joint as (select z.f, z.vec_id, class, y, any_value(ln(n)) - 0.5 * sum(ln(2 * pi() * (s + e)) + (v - m) * (v - m) / (s + e)) as j "
-        "from z join stats using (f, pos) join extra using (f) where kfold = z.f group by 1, 2, 3, 4)",
-        "nb as (select f, vec_id, class, 'nb' as clf, 0 as ordinal, 'dummy_param=None' as params, "
-        "1 / (1 + exp(max(case when y = 0 then j end) - max(case when y = 1 then j end))) as p from joint group by 1, 2, 3)",
-        "scored as (select * from knn union all select * from nb)",
-    )
-    + f"select class, clf, ordinal::int as ordinal, params, f as fold, round(avg({LOSS}), 7) as score "
-    "from scored join truth using (vec_id, class) group by 1, 2, 3, 4, 5",
+    "with "
+    + ", ".join([*SEARCH_SQL, "scored as (select * from knn union all select * from nb) "])
+    + SCORE_SQL.replace("), 6)", "), 7)"),
 )
 def _(spark, d):
     df, classes = embedding_cv(spark, d)
@@ -504,7 +547,40 @@ def _(spark, d):
     return found.withColumn("score", r("score", 7))
 
 
-@query("multilabel_cv")
+MULTI_SQL = [
+    "ids as (select doc_id, lang, n_chars::double as n_chars, len(string_split(text, ' '))::double as n_words, quality, toxic "
+    "from documents join labels using (doc_id))",
+    "pos as (select doc_id, 'quality' as label from labels where quality = 1 union all select doc_id, 'toxic' from labels where toxic = 1)",
+    "counts as (select label, count(*) as n from pos group by label)",
+    "strata as (select doc_id, arg_min(label, (n, label)) as stratum, string_agg(label, ',' order by label) as signature "
+    "from pos join counts using (label) group by doc_id)",
+    "tagged as materialized (select ids.*, cast((row_number() over (order by coalesce(stratum, ''), coalesce(signature, ''), doc_id) - 1) % 5 "
+    "as integer) as kfold from ids left join strata using (doc_id))",
+    "fold as (select distinct kfold as f from tagged)",
+    "fit as (select f, avg(n_chars) as m1, stddev_pop(n_chars) as s1, avg(n_words) as m2, stddev_pop(n_words) as s2 "
+    "from fold join tagged on kfold <> f group by f)",
+    "matrix as materialized (select f, tagged.*, ["
+    + ", ".join(f"(lang = '{v}')::int::double" for v in ("de", "en", "es", "fr"))
+    + ", (n_chars - m1) / s1, (n_words - m2) / s2, 1.0::double] as x from tagged, fit)",
+    "combos as (select f || '/' || class as model, f, class from fold, (values ('quality'), ('toxic'), ('hidden_class')) t(class))",
+    "strength as (select model, 1.0::double as c from combos)",
+    "train as materialized (select model, x, case class when 'quality' then quality when 'toxic' then toxic "
+    "else (quality + toxic = 0)::int end as y from combos join matrix using (f) where kfold <> f)",
+    logistic_sql(6, 200),
+    f"p0 as (select f, doc_id, class, quality, toxic, {proba('w', 'x')} as p from combos join weights using (model) "
+    "join matrix using (f) where kfold = f)",
+    "p1 as (select f, doc_id, class, case class when 'quality' then quality else toxic end as y, "
+    "case when p = max(p) over (partition by doc_id) then p else 0 end as p from p0)",
+]
+
+
+@query(
+    "multilabel_cv",
+    "with recursive "
+    + ", ".join(MULTI_SQL)
+    + f"select f as fold, round(avg(loss), 5) as score from (select f, class, avg({LOSS}) as loss from p1 "
+    "where class <> 'hidden_class' group by 1, 2) group by f",
+)
 def _(spark, d):
     df = text_features(spark, d).join(table(spark, d, "labels"), "doc_id")
     truth = T.positives_from_wide(table(spark, d, "labels"), "doc_id", ["quality", "toxic"])
@@ -514,7 +590,8 @@ def _(spark, d):
     y = T.ovr_targets(ids, truth, "doc_id", classes)
     df = df.drop("quality", "toxic").join(folds, "doc_id").join(y, "doc_id")
     recipe = Recipe([OneHot(["lang"]), Scale(scalars=["n_chars", "n_words"])], ["onehot", "scalars"])
-    return multilabel_cv(df, "doc_id", classes, truth, 2, recipe, folds_at_once=5)
+    found = multilabel_cv(df, "doc_id", classes, truth, 2, recipe, folds_at_once=5)
+    return found.withColumn("score", r("score", 5))
 
 
 @query(

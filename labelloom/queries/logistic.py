@@ -45,3 +45,37 @@ weights as (select model, w from lr_steps where step = {steps})"""
 
 def proba(w: str, x: str) -> str:
     return f"(1 / (1 + exp(-list_dot_product({w}, {x}))))"
+
+
+def softmax_sql(d: int, classes: int, steps: int) -> str:
+    """Multinomial form: from train(id, label, x) and penalty(c) to weights(label, w).
+
+    The curvature of every class block is bounded by X'X / 2 + penalty.
+    """
+    n = d + 1
+    return f"""sm_long as materialized (select id, k as i, x[k] as v from train, range(1, {n + 1}) t(k)),
+sm_pairs as (select a.i, b.i as j, sum(a.v * b.v) / 2 as s from sm_long a join sm_long b using (id) group by 1, 2),
+sm_lines as (
+  select i, list(s + case when i = j and i <= {d} then 1 / c else 0 end order by j) as line from sm_pairs, penalty group by 1),
+sm_bound as materialized (select list(line order by i) as a from sm_lines),
+sm_inverse as (
+  select 0 as step, a, [[v / pow(list_max([list_sum([abs(u) for u in q]) for q in a]), 2) for v in r] for r in a] as b from sm_bound
+  union all
+  select step + 1, a, [[b[i][j] + b[j][i] - (list_dot_product(b[i], ab[j]) + list_dot_product(b[j], ab[i])) / 2
+         for j in range(1, {n + 1})] for i in range(1, {n + 1})]
+  from (select step, a, b, [[list_dot_product(r, s) for r in a] for s in b] as ab from sm_inverse where step < 40)),
+sm_ready as materialized (select b from sm_inverse where step = 40),
+sm_steps as (
+  select 0 as step, label, [0.0::double for i in range({n})] as w from range({classes}) t(label)
+  union all
+  select step + 1, label, [w[i] - list_dot_product(b[i], g) for i in range(1, {n + 1})]
+  from (select label, any_value(step) as step, any_value(w) as w,
+               list(gk + case when k <= {d} then w[k] / c else 0 end order by k) as g
+        from (select label, k, any_value(step) as step, any_value(w) as w, sum(e * xk) as gk
+              from (select label, step, w, e, unnest(x) as xk, generate_subscripts(x, 1) as k
+                    from (select s.label, s.step, s.w, t.x, exp(list_dot_product(s.w, t.x)) /
+                                 sum(exp(list_dot_product(s.w, t.x))) over (partition by t.id) - (t.label = s.label)::int as e
+                          from sm_steps s, train t where s.step < {steps}))
+              group by label, k), penalty
+        group by label), sm_ready),
+weights as materialized (select label, w from sm_steps where step = {steps})"""
