@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from math import exp, lgamma, log
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+# ship the helpers below with the UDF, so executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz)."""

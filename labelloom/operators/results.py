@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,18 +38,29 @@ def combinations(grid: Mapping[str, Mapping[str, Sequence]]) -> list[tuple[str,
 
 
 def param_grid(classes: DataFrame, grid: Mapping[str, Mapping[str, Sequence]]) -> DataFrame:
-    """Search space: every class with every combination, (class, clf, ordinal, params)."""
-    combos = F.array(
-        *[
-            F.struct(
-                F.lit(clf).alias("clf"),
-                F.lit(i).alias("ordinal"),
-                F.lit(params_text(p)).alias("params"),
+    """Search space: every class with every combination, (class, clf, ordinal, params).
+
+    Each parameter list is exploded in turn, so a grid of hundreds of thousands
+    of combinations is generated by the executors and not written into the plan.
+    """
+    parts = []
+    for clf, params in grid.items():
+        rows = classes.select(
+            "class",
+            F.lit(clf).alias("clf"),
+            F.lit(0).alias("ordinal"),
+            F.lit(None).cast("string").alias("params"),
+        )
+        for name, values in params.items():
+            texts = F.array(*[F.lit(params_text({name: v})) for v in values])
+            rows = rows.select("*", F.posexplode(texts).alias("__i", "__t")).select(
+                "class",
+                "clf",
+                (F.col("ordinal") * len(values) + F.col("__i")).alias("ordinal"),
+                F.concat_ws(",", "params", "__t").alias("params"),
             )
-            for clf, i, p in combinations(grid)
-        ]
-    )
-    return classes.select("class", F.inline(combos))
+        parts.append(rows)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def params_text(params: Mapping) -> str:

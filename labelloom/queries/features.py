@@ -9,7 +9,7 @@ from labelloom.operators import pca as K
 from labelloom.operators.columns import bucket_tail, filter_eq
 from labelloom.operators.reshape import melt_packed
 from labelloom.operators.splits import stratified_kfold
-from labelloom.plans.recipe import IntegerCode, Pca, Recipe, RowStats, Scale
+from labelloom.plans.recipe import IntegerCode, Pca, Recipe, RowStats, Scale, column_count
 from labelloom.queries.frames import (
     CELLS,
     FEATURES,
@@ -362,4 +362,4 @@ def _(spark, d):
         ["scalars", "pcg", "pcc"],
     )
     m = recipe.matrix(recipe.fit(x).transform(x), ["vec_id", "kind_code"])
-    return m.select("vec_id", "kind_code", F.lit(66).alias("columns_before"), (F.size("x") + 1).alias("columns_after"))
+    return m.select("vec_id", "kind_code", F.lit(column_count(x, ["c", "g"]) + 2).alias("columns_before"), (F.size("x") + 1).alias("columns_after"))

@@ -133,6 +133,17 @@ def test_the_large_grid_has_the_expected_size():
     assert len(R.combinations(grid)) == 336_000
 
 
+def test_search_space_is_generated_in_grid_order(spark):
+    classes = spark.createDataFrame([("a",), ("b",)], "class string")
+    sizes = [5, 7, 8, 4, 5, 5, 3, 4]
+    large = {"xgb": {f"p{i}": list(range(n)) for i, n in enumerate(sizes)}}
+    space = R.param_grid(classes, large)
+    assert space.count() == 2 * 336_000 and space.select("ordinal").distinct().count() == 336_000
+    small = {"knn": {"n_neighbors": [2, 4], "p": [2, 3]}, "nb": {"dummy_param": [None]}}
+    got = sorted((r["clf"], r["ordinal"], r["params"]) for r in R.param_grid(classes, small).collect() if r["class"] == "a")
+    assert got == sorted((c, i, R.params_text(p)) for c, i, p in R.combinations(small))
+
+
 def test_text_cells_are_parsed(spark):
     cells = ["[('l2', 0.001), 0.57]", "[('l2', 100), 0.02]", "[('l2', 1e-05), 0.1]"]
     df = spark.createDataFrame([(c,) for c in cells], "cell string")

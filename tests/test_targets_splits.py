@@ -48,6 +48,17 @@ def test_totals_hold_labels_nobody_has(spark, tiny_labels):
     assert {r["label"]: r["n"] for r in T.label_totals(pos, vocab).collect()} == {"a": 1, "b": 3, "z": 0}
 
 
+def test_hidden_rows_as_a_label_and_the_count_cut_off(tiny_labels):
+    wide, vocab = tiny_labels
+    pos = T.positives_from_wide(wide, "id", ["a", "b", "z"])
+    rows = T.with_hidden(wide, pos, "id")
+    assert rows.filter(F.col("label") == HIDDEN).select("id").collect()[0]["id"] == 1
+    over = T.classes_over(T.label_totals(pos, vocab), 2)
+    assert sorted(r["label"] for r in over.collect()) == ["b", "z"]
+    empty = T.empty_predictions(wide, "id", ["a", "b"])
+    assert empty.columns == ["id", "a", "b"] and empty.filter("a <> 0 or b <> 0").count() == 0
+
+
 def test_ovr_targets(tiny_labels):
     wide, _ = tiny_labels
     pos = T.positives_from_wide(wide, "id", ["a", "b", "z"])
