@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.operators.joins import frozen_if_small
 from labelloom.roles import HIDDEN
+from labelloom.session import settle
 
 # fixed values: classifier names a grid may use
 CLASSIFIERS = ("log_reg", "svm", "rf", "dt", "knn", "nb", "xgb")
@@ -42,7 +44,10 @@ def param_grid(classes: DataFrame, grid: Mapping[str, Mapping[str, Sequence]]) -
 
     Each parameter list is exploded in turn, so a grid of hundreds of thousands
     of combinations is generated by the executors and not written into the plan.
+    The class list is computed once for all classifiers.
     """
+    small = frozen_if_small(classes)
+    classes = settle(classes) if small is None else small
     parts = []
     for clf, params in grid.items():
         rows = classes.select(
