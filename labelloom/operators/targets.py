@@ -152,17 +152,22 @@ def empty_predictions(keys: DataFrame, key: str, names: Sequence[str]) -> DataFr
 
 
 def class_balance(
-    targets: DataFrame, folds: DataFrame, key: str, classes: Sequence[str]
+    positives: DataFrame, folds: DataFrame, key: str, classes: Sequence[str]
 ) -> DataFrame:
-    """Positives per class and fold from the 0/1 columns: (kfold, n, class, positives).
+    """Positives per class and fold: (kfold, n, class, positives).
 
-    The sums are taken on the wide rows; only the totals are turned long.
+    Only label rows meet the fold table, never keys x classes; pairs without
+    any positive are filled in on the class x fold totals. Pass the positives
+    of :func:`with_hidden` to count the hidden class.
     """
-    sums = targets.join(folds, key).groupBy("kfold").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(named(c)).cast("bigint").alias(c) for c in classes],
+    hits = positives.join(folds, key).groupBy("kfold", F.col("label").alias("class")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    sizes = folds.groupBy("kfold").agg(F.count(F.lit(1)).alias("n"))
+    cells = sizes.withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
+    return cells.join(hits, ["kfold", "class"], "left").select(
+        "kfold", "n", "class", F.coalesce("__n", F.lit(0)).cast("bigint").alias("positives")
     )
-    return sums.unpivot(["kfold", "n"], [named(c) for c in classes], "class", "positives")
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:

@@ -43,7 +43,6 @@ from labelloom.queries.frames import (
     samples,
     table,
     text_features,
-    vocabulary,
     with_,
 )
 from labelloom.queries.logistic import logistic_sql, proba, softmax_sql

@@ -25,7 +25,6 @@ from labelloom.queries.frames import (
     features,
     fold_scores,
     keys,
-    ordered_vocabulary,
     positives,
     positives_fine,
     r,

@@ -168,8 +168,7 @@ def label_folds(spark, d, seed=None):
 )
 def _(spark, d):
     classes = [row["label"] for row in vocabulary(spark, d).collect()]
-    wide = T.ovr_targets(keys(spark, d), positives(spark, d), "o_orderkey", classes)
-    return T.class_balance(wide, label_folds(spark, d), "o_orderkey", classes)
+    return T.class_balance(positives(spark, d), label_folds(spark, d), "o_orderkey", classes)
 
 
 # ---- splits

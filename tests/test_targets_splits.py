@@ -74,6 +74,14 @@ def test_onehot_and_weights(spark):
     assert {r["label"]: r["weight"] for r in w} == {"a": 1.5, "b": 0.75}
 
 
+def test_class_balance_holds_empty_cells(spark, tiny_labels):
+    wide, _ = tiny_labels
+    pos = T.with_hidden(wide, T.positives_from_wide(wide, "id", ["a", "b", "z"]), "id")
+    folds = spark.createDataFrame([(i, i % 2) for i in range(1, 7)], "id int, kfold int")
+    got = {(r["class"], r["kfold"]): (r["positives"], r["n"]) for r in T.class_balance(pos, folds, "id", ["b", HIDDEN]).collect()}
+    assert got == {("b", 0): (2, 3), ("b", 1): (1, 3), (HIDDEN, 0): (0, 3), (HIDDEN, 1): (1, 3)}
+
+
 def fold_counts(df, label):
     counts = Counter((r[label], r["kfold"]) for r in df.collect())
     return [[counts[(v, f)] for f in range(5)] for v in sorted({v for v, _ in counts})]
