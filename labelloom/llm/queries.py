@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import quality
+from labelloom.llm import jaccard, quality
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.linked(_read(spark, folder, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return found
