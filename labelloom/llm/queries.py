@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import jaccard, quality
+from labelloom.llm import jaccard, quality, tokens, warc
+
+
+TOKEN_LIMIT = 2048
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -30,10 +39,39 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    counted = tokens.with_tokens(docs, _tokenizer("word_bpe_49k.json"))
+    return counted.select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+    )
+
+
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(_read(spark, folder, "pages")).select(
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"), F.col("original").alias("refers_to"),
+    )
+
+
+WARC_SQL = """
+with p as (
+    select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages
+), g as (
+    select d, max(page_id) as newest from p where n >= 1000 group by d
+)
+select page_id, n as payload_bytes, p.d as payload_digest,
+    case when n >= 1000 and page_id is distinct from newest then 'revisit' else 'response' end as record_type,
+    case when n >= 1000 and page_id is distinct from newest then newest end as refers_to
+from p left join g on p.d = g.d and n >= 1000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": WARC_SQL}
