@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import jaccard, quality, tokens, warc
+from labelloom.llm import chat, jaccard, mixing, nearest, pages, pieces, quality, tokens, urls, warc
 
 
 TOKEN_LIMIT = 2048
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -41,7 +41,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text")
-    counted = tokens.with_tokens(docs, _tokenizer("word_bpe_49k.json"))
+    counted = tokens.with_tokens(docs, tokenizer("word_bpe_49k.json"))
     return counted.select(
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
@@ -68,10 +68,148 @@ from p left join g on p.d = g.d and n >= 1000
 """
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pages.with_text(_read(spark, folder, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Each assistant turn is a call that waits for the one before; the turn that follows is its result."""
+    turns = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    name = F.when(F.col("turn") < 3, F.lit("answer")).otherwise(F.lit("follow_up"))
+    call = lambda t: F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), t)
+    said = turns.filter("role = 'assistant'")
+    size = F.char_length(F.coalesce("text", F.lit("")))
+    calls = said.select(
+        "conv_id", call(F.col("turn")).alias("call_id"), name.alias("name"),
+        F.format_string('{ "turn": %d,  "n_chars": %d }', "turn", size).alias("arguments"),
+        call(F.col("turn") - 2).alias("after"),
+    )
+    results = turns.filter("role = 'user'").select(
+        call(F.col("turn") - 1).alias("call_id"), F.concat(F.lit("chars "), size).alias("content")
+    )
+    schemas = spark.sql(
+        "select * from values ('answer', 'turn', 'integer', true, 0D, 2D), ('answer', 'n_chars', 'integer', true, 100D, null), "
+        "('follow_up', 'turn', 'integer', true, 3D, null), ('follow_up', 'n_chars', 'integer', true, 1D, 1000D) "
+        "as t(name, field, type, required, low, high)"
+    )
+    return chat.linked(calls, results, schemas)
+
+
+CHAT_SQL = """
+with recursive said as (
+    select conv_id, turn, case when turn < 3 then 'answer' else 'follow_up' end as name,
+        length(coalesce(text, '')) as n
+    from conversations where role = 'assistant' and conv_id is not null and turn is not null
+), every as (
+    select conv_id, turn, min(name) as name, count(*) as n_calls,
+        min('{ "turn": ' || turn || ',  "n_chars": ' || n || ' }') as args,
+        min_by(n, '{ "turn": ' || turn || ',  "n_chars": ' || n || ' }') as n
+    from said group by conv_id, turn
+), answers as (
+    select conv_id, turn - 1 as turn, min('chars ' || length(coalesce(text, ''))) as content, count(*) as n_results
+    from conversations where role = 'user' group by all
+), chain as (
+    select conv_id, turn, 0::bigint as depth from every e
+    where not exists (from every p where p.conv_id = e.conv_id and p.turn = e.turn - 2)
+    union all
+    select e.conv_id, e.turn, depth + 1 from chain c join every e on e.conv_id = c.conv_id and e.turn = c.turn + 2
+), checked as (
+    select *, concat_ws('; ',
+        case when name = 'answer' and n < 100 or name = 'follow_up' and (n < 1 or n > 1000)
+            then 'n_chars: out of range' end,
+        case when name = 'answer' and turn < 0 then 'turn: out of range' end) as errors
+    from every
+)
+select conv_id, 'c' || conv_id || '-' || turn as call_id, name, depth, coalesce(n_results, 0) as n_results, n_calls,
+    errors = '' as valid, errors,
+    '{"arguments":{"n_chars":' || n || ',"turn":' || turn || '},"id":"c' || conv_id || '-' || turn || '","name":"' || name
+        || '"' || coalesce(',"result":"' || content || '"', '') || '}' as canonical
+from checked left join answers using (conv_id, turn) left join chain using (conv_id, turn)
+"""
+
+
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts of the pages enter and leave lists on dates that follow from their first page; a page's
+    number gives its fetch date."""
+    start = F.to_date(F.lit("2024-01-01"))
+    captures = _read(spark, folder, "pages").select(
+        "page_id", "url", F.date_add(start, (F.col("page_id") % 360).cast("int")).alias("fetched")
+    )
+    hosts = captures.groupBy(urls.host(F.col("url")).alias("pattern")).agg(
+        (F.min("page_id") % 180).cast("int").alias("day"), F.count(F.lit(1)).alias("n")
+    ).filter("pattern <> ''")
+    dated = lambda rows, pattern, action, later: rows.select(
+        pattern.alias("pattern"), F.lit(action).alias("action"), F.date_add(start, F.col("day") + later).alias("since")
+    )
+    own = F.col("pattern")
+    spam = hosts.filter(own.rlike("casino|bets|pills|ads-track"))
+    entries = (
+        dated(spam, own, "block", 0)
+        .unionByName(dated(spam, own, "remove", 60))
+        .unionByName(dated(spam, own, "block", 120))
+        .unionByName(dated(hosts.filter("n % 3 = 0"), own, "allow", 30))
+        .unionByName(dated(hosts.filter("n % 5 = 0"), F.concat(own, F.lit("/en/")), "block", 90))
+    )
+    out = urls.decided(captures, entries, "page_id", "url", "fetched")
+    return out.select(F.col("id").alias("page_id"), "url", "host", "n_active", "pattern", "decision")
+
+
+URL_SQL = """
+with captures as (
+    select distinct page_id, url, date '2024-01-01' + (page_id % 360)::int as fetched,
+        lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host
+    from pages
+), hosts as (
+    select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as pattern,
+        date '2024-01-01' + (min(page_id) % 180)::int as day, count(*) as n
+    from pages group by 1 having pattern <> ''
+), spam as (
+    select * from hosts where regexp_matches(pattern, 'casino|bets|pills|ads-track')
+), entries as (
+    select pattern, 'block' as action, day as since from spam
+    union all select pattern, 'remove', day + 60 from spam
+    union all select pattern, 'block', day + 120 from spam
+    union all select pattern, 'allow', day + 30 from hosts where n % 3 = 0
+    union all select pattern || '/en/', 'block', day + 90 from hosts where n % 5 = 0
+), dated as (
+    select pattern, since, max(action) as action from entries group by all
+), spans as (
+    select *, lead(since) over (partition by pattern order by since) as until from dated
+), met as (
+    select c.page_id, c.url, c.host, s.pattern, s.action
+    from captures c left join spans s
+        on s.action <> 'remove' and fetched >= since and (until is null or fetched < until)
+        and (s.pattern = c.host or s.pattern = c.host || '/en/' and contains(lower(c.url), c.host || '/en/'))
+)
+select page_id, url, coalesce(host, '') as host, count(pattern) as n_active,
+    arg_max(pattern, (length(pattern), action)) as pattern,
+    coalesce(arg_max(action, (length(pattern), action)), 'none') as decision
+from met group by page_id, url, host
+"""
+
+
+def op1_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(_read(spark, folder, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def op2_mixing_weights(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mixed(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "p_clean", "p_low", "p_toxic", "rate", "copies")
+
+
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.sampled(_read(spark, folder, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+    return found.select(
+        F.col("key").alias("doc_id"), "sample", F.size("ids").cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_digest"), "log_prob", "value", "log_inclusion",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": WARC_SQL}
+    return {"op6_chat_formatting": CHAT_SQL, "op7_url_filters": URL_SQL, "op10_warc": WARC_SQL}
