@@ -8,10 +8,12 @@ and only on shingles that two texts hold. A candidate pair must pass the
 
 - length filter (sizes within the threshold of each other),
 - positional filter (what can still follow the first common shingle suffices),
-- suffix filter (the sizes of 64 slices of the token space bound the difference of the sets),
+- suffix filter (the sizes of 16 slices of the token space bound the difference of the sets),
 
-and is then verified once on the whole sets. Counting frequencies in a third of
-the space keeps the shuffle small and loses nothing: any fixed order is exact.
+and is then verified once on the whole sets. The filter runs twice. Over all
+texts, frequencies are counted in a third of the space, which keeps the shuffle
+small and loses nothing, as any fixed order is exact. Over the texts that remain,
+every shingle is ranked, so what a text shares with no other one comes first.
 
 Copies: texts with the same set form one class, and its smallest id stands for
 it. A frequent prefix shingle is first paired with one hub only; all pairs are
@@ -37,7 +39,7 @@ from labelloom.session import settle
 SHINGLE = 4
 PERCENT = 85
 COUNTED = 3  # one in so many hashes is ranked by frequency
-SLICES = 64
+SLICES = 16
 
 
 def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,16 +65,16 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
-def sent_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, doc, n, r, fixed): counted shingles (fixed 0) and, where they are fewer than the prefix, the next ones.
+def sent_tokens(sets: DataFrame, percent: int, one_in: int) -> DataFrame:
+    """(h, doc, n, r, fixed): counted shingles (one in ``one_in``) (fixed 0) and, where they are fewer than the prefix, the next ones.
 
     Filters come after the generator only: pushed below it, they would repeat the hashing.
     """
-    counted = F.filter("s", lambda x: F.pmod(x, F.lit(COUNTED)) == 0)
+    counted = F.filter("s", lambda x: F.pmod(x, F.lit(one_in)) == 0)
     prefix = (F.col("n") - needed(F.col("n"), percent) + 1).cast("int")
     t = sets.select("doc", "s", "n", counted.alias("c"), prefix.alias("p"))
     t = t.select("doc", "s", "n", "c", F.size("c").alias("r"), (F.col("p") - F.size("c")).alias("lack"))
-    others = F.sort_array(F.filter("s", lambda x: F.pmod(x, F.lit(COUNTED)) != 0))
+    others = F.sort_array(F.filter("s", lambda x: F.pmod(x, F.lit(one_in)) != 0))
     more = F.when(F.col("lack") > 0, F.slice(others, F.lit(1), F.greatest("lack", F.lit(0))))
     t = t.select("doc", "n", "c", "r", F.coalesce(more, F.array().cast("array<long>")).alias("more"))
     token = F.concat(
@@ -83,9 +85,9 @@ def sent_tokens(sets: DataFrame, percent: int) -> DataFrame:
     return t.select("token.h", "doc", "n", "r", "token.fixed").filter("h is not null")
 
 
-def postings(sets: DataFrame, percent: int) -> DataFrame:
+def postings(sets: DataFrame, percent: int, one_in: int) -> DataFrame:
     """(h, doc, n, pos): prefix shingles that at least two texts hold, at their places in the order."""
-    tokens = sent_tokens(sets, percent)
+    tokens = sent_tokens(sets, percent, one_in)
     shared = settle(
         tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     )
@@ -153,17 +155,20 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     sets = shingled(docs, key, text)
     member = settle(classes(sets))
     reps = member.filter("n > 0 and doc = rep").select("doc").distinct()
-    posted = postings(sets.filter("doc is not null"), percent).join(reps, "doc", "left_semi")
-    posted = settle(posted.distinct())
+    wide = postings(sets.filter("doc is not null"), percent, COUNTED).join(reps, "doc", "left_semi")
+    wide = settle(wide.select("h", "doc"))
+    met = wide.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
+    wanted = wide.join(met, "h", "left_semi").select("doc").distinct()
+    kept = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
+    kept = settle(shingled(kept, "doc", "text").withColumn("slices", slice_sizes(F.col("s"))))
+    # only these texts can link: their shingles are now all ranked, by how many of these texts hold them
+    posted = settle(postings(kept, percent, 1).distinct())
     several = posted.groupBy("h").agg(F.min(F.struct("alone", "doc", "n", "pos")).alias("hub"), F.count("*").alias("m"))
     hubs = several.filter("m > 1").select("h", "hub.doc", "hub.n", "hub.pos")
     first = posted.alias("x").join(hubs.alias("y"), "h").filter(may_link("x", "y", percent))
     ends = lambda df: df.select(
         F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")
     ).filter("a < b").distinct()
-    wanted = posted.join(hubs.select("h"), "h", "left_semi").select("doc").distinct()
-    kept = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
-    kept = settle(shingled(kept, "doc", "text").withColumn("slices", slice_sizes(F.col("s"))))
     links = settle(verified(ends(first), kept, percent))
     label = components(links, "a", "b")
     # what the hubs did not connect: all pairs of one shingle that lie in different components
