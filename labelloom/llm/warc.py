@@ -45,7 +45,8 @@ def marked(pages: DataFrame, key: str, url: str, payload: str, least: int = LEAS
         .filter("copies > 1")
         .select("digest", "newest")
     )
-    joined = rows.join(several, "digest", "left")
+    # written first: its size is then known, and Spark need not shuffle the payloads where it is small
+    joined = rows.join(settle(several), "digest", "left")
     older = large & F.col("newest").isNotNull() & ~F.col("id").eqNullSafe(F.col("newest"))
     return joined.select("id", "url", "payload", "digest", F.when(older, F.col("newest")).alias("original"))
 
