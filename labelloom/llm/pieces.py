@@ -33,8 +33,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.llm.texts import numbered
+
 SAMPLES = 2
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 3_000_000  # texts that share a lattice
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "key long, sample int, ids array<int>, log_prob double, value double, log_inclusion double"
@@ -221,8 +223,8 @@ def segment(vocabulary: Vocabulary, texts: list[str], seeds: np.ndarray, k: int)
     cutter = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
     split = [cutter.findall(vocabulary.model.normalize(t)) if t else [] for t in texts]
     sizes = np.array([len(s) for s in split], dtype=np.int64)
-    codes, kinds = pd.factorize(np.array([w for s in split for w in s], dtype=object))
-    lattice = Lattice(vocabulary, list(kinds))
+    codes, kinds = numbered(w for s in split for w in s)
+    lattice = Lattice(vocabulary, kinds)
     length = np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds))
     roots = lattice.root[codes]
     finals = roots + length[codes]

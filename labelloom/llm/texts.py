@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +47,10 @@ def index_range(size: Column) -> Column:
 def packed(df: DataFrame, text: str) -> DataFrame:
     """(row, text): the input row as one struct, so that no working column can clash with one of its columns."""
     return df.select(F.struct("*").alias("row"), whole(text).alias("text"))
+
+
+def numbered(items: Iterable[str]) -> tuple[np.ndarray, list[str]]:
+    """A number per item, and the distinct items in that order. (pandas' factorize ends strings at a NUL.)"""
+    seen: dict[str, int] = {}
+    codes = np.fromiter((seen.setdefault(x, len(seen)) for x in items), dtype=np.int64)
+    return codes, list(seen)

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelloom.llm.texts import numbered
+
 CHUNK_CHARS = 2_000_000  # texts merged together
 MEMO = 300_000  # pre-tokens whose counts are remembered
 NO_RANK = np.iinfo(np.int64).max
@@ -117,11 +119,11 @@ class Merger:
         total = np.array([s for _, s in found], dtype=np.int64)
         if not sizes.sum():
             return total
-        codes, kinds = pd.factorize(np.array([w for ws, _ in found for w in ws], dtype=object))
+        codes, kinds = numbered(w for ws, _ in found for w in ws)
         fresh = [k for k in kinds if k not in self.memo]
         if len(self.memo) + len(fresh) > MEMO:
             self.memo.clear()
-            fresh = list(kinds)
+            fresh = kinds
         if fresh:
             self.memo.update(zip(fresh, self.merged_sizes(fresh).tolist(), strict=True))
         per_kind = np.array([self.memo[k] for k in kinds], dtype=np.int64)
