@@ -71,18 +71,30 @@ def weights(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFram
         """Log ratio of the shares of documents that hold a word, and its size in standard errors."""
         mine, clean = F.col(f"n{i}") + 0.5, F.col("n0") + 0.5
         value = F.log(mine / (F.col(f"k{i}") + 1)) - F.log(clean / (F.col("k0") + 1))
-        return value, F.when(F.col(f"k{i}") > 0, F.abs(value) / F.sqrt(1 / mine + 1 / clean)).otherwise(0.0)
-
-    kept = lambda i: F.when(ratio(i)[1] >= SIGNIFICANT, ratio(i)[0]).otherwise(0.0)
+        # two-proportion test with the pooled share; zero counts leave its variance alone
+        pooled = F.try_divide(F.col(f"n{i}") + F.col("n0"), F.col(f"k{i}") + F.col("k0"))
+        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col(f"k{i}")) + F.try_divide(F.lit(1.0), F.col("k0"))))
+        gap = F.abs(F.try_divide(F.col(f"n{i}"), F.col(f"k{i}")) - F.try_divide(F.col("n0"), F.col("k0")))
+        both = (F.col(f"k{i}") > 0) & (F.col("k0") > 0) & (spread > 0)
+        return value, F.when(both, gap / F.when(both, spread)).otherwise(0.0)
+
+    def absent(i: int) -> Column:
+        """Log ratio of the shares of documents that lack a word."""
+        return F.log(1 - (F.col(f"n{i}") + 0.5) / (F.col(f"k{i}") + 1)) - F.log(1 - (F.col("n0") + 0.5) / (F.col("k0") + 1))
+
+    kept = lambda i, c: F.when(ratio(i)[1] >= SIGNIFICANT, c).otherwise(0.0)
     sure = words.select(
-        "h", kept(1).alias("low"), kept(2).alias("toxic"), F.greatest(ratio(1)[1], ratio(2)[1]).alias("z")
+        "h", kept(1, ratio(1)[0] - absent(1)).alias("low"), kept(2, ratio(2)[0] - absent(2)).alias("toxic"),
+        kept(1, absent(1)).alias("no_low"), kept(2, absent(2)).alias("no_toxic"), F.greatest(ratio(1)[1], ratio(2)[1]).alias("z")
     ).filter(F.col("z") >= SIGNIFICANT)
     sure = sure.orderBy(F.col("z").desc(), "h").limit(FEATURES)
     found = sure.agg(
         F.collect_list("h").alias("words"),
         F.map_from_entries(F.collect_list(F.struct("h", F.struct("low", "toxic")))).alias("ratios"),
+        F.coalesce(F.sum("no_low"), F.lit(0.0)).alias("no1"),  # a text that holds none of the words
+        F.coalesce(F.sum("no_toxic"), F.lit(0.0)).alias("no2"),
     )
-    prior = lambda i: F.log((F.col(f"k{i}") + 0.01) / (F.col("k0") + 1))
+    prior = lambda i: F.log((F.col(f"k{i}") + 0.01) / (F.col("k0") + 1)) + F.col(f"no{i}")
     return found.withColumn("one", F.lit(1)).join(known, "one").select(
         "words", "ratios", F.array(prior(1), prior(2)).alias("prior")
     )
