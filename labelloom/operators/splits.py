@@ -61,13 +61,13 @@ def multilabel_stratified_kfold(
 def holdout_split(
     df: DataFrame, key: str, strata: str, share: float = 0.8, seed: int | None = None
 ) -> DataFrame:
-    """(key, strata, part): the first ``share`` of every stratum is training."""
+    """(key, strata, part): the first ``share`` of every stratum is training; null is a stratum too."""
     rows = df.select(key, strata, _tie(key, seed).alias("__h"))
     placed = with_position(rows, [strata, "__h", key], "__pos")
-    bounds = placed.groupBy(strata).agg(
+    bounds = placed.groupBy(F.col(strata).alias("__stratum")).agg(
         F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
-    joined = lookup_join(placed, bounds, strata, "inner")
+    joined = placed.join(bounds, F.col(strata).eqNullSafe(F.col("__stratum")))
     rank = F.col("__pos") - F.col("__first") + 1
     return joined.select(
         key, strata, F.when(rank <= F.lit(share) * F.col("__n"), "train").otherwise("valid").alias("part")

@@ -138,3 +138,11 @@ def test_holdout_keeps_the_share_in_every_stratum(spark):
 def test_bootstrap_draws_with_replacement(spark):
     rows = [r["id"] for r in S.bootstrap_sample(spark.range(3000), 1 / 3, 5).collect()]
     assert 850 < len(rows) < 1150 and len(set(rows)) < len(rows)
+
+
+def test_holdout_keeps_rows_without_stratum(spark):
+    from labelloom.operators.splits import holdout_split
+
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(20)], "k int, s int")
+    parts = holdout_split(df, "k", "s", 0.5).toPandas()
+    assert len(parts) == 20 and (parts[parts.s.isna()].part == "train").sum() == 2
