@@ -33,6 +33,7 @@ TARGETS = (0.985, 0.01, 0.005)
 SAMPLE = 20_000  # labelled documents the classifier is fitted on, chosen by a hash of the id
 SIGNIFICANT = 5.0  # standard errors a word's log ratio must differ from 0
 FEATURES = 4096  # words of the classifier at most, the most significant ones
+SLOTS = 1 << 16  # places for these words; of two in one place the more significant one is a feature
 STEPS = 40
 TOLERANCE = 1e-4  # of the wanted total
 
@@ -41,6 +42,10 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, F.lit(2)).when(quality == 0, F.lit(1)).otherwise(F.lit(0))
 
 
+def slot(h: Column) -> Column:
+    return F.pmod(h, F.lit(SLOTS)).cast("int")
+
+
 def sampled_labels(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """(doc, d) of at most ``limit`` documents; of contradicting labels the worse counts."""
     each = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(
@@ -50,7 +55,7 @@ def sampled_labels(labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
 
 
 def weights(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: ``words`` (hashes), ``ratios`` (word -> log ratios to clean) and ``prior`` (log ratios)."""
+    """One row: ``words`` (the hash in each slot, or null), ``low`` and ``toxic`` (its log ratios to clean), ``prior`` (log ratios)."""
     marked = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(
         F.broadcast(sampled_labels(labels)), "doc"
     )
@@ -88,27 +93,34 @@ def weights(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFram
         kept(1, absent(1)).alias("no_low"), kept(2, absent(2)).alias("no_toxic"), F.greatest(ratio(1)[1], ratio(2)[1]).alias("z")
     ).filter(F.col("z") >= SIGNIFICANT)
     sure = sure.orderBy(F.col("z").desc(), "h").limit(FEATURES)
-    found = sure.agg(
-        F.collect_list("h").alias("words"),
-        F.map_from_entries(F.collect_list(F.struct("h", F.struct("low", "toxic")))).alias("ratios"),
-        F.coalesce(F.sum("no_low"), F.lit(0.0)).alias("no1"),  # a text that holds none of the words
-        F.coalesce(F.sum("no_toxic"), F.lit(0.0)).alias("no2"),
+    sure = sure.groupBy(slot(F.col("h")).alias("slot")).agg(F.max(F.struct("z", "h", "low", "toxic", "no_low", "no_toxic")).alias("w"))
+    dense = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(sure, "slot", "left")
+    found = dense.agg(
+        F.array_sort(F.collect_list(F.struct("slot", "w.h", "w.low", "w.toxic"))).alias("cells"),
+        F.coalesce(F.sum("w.no_low"), F.lit(0.0)).alias("no1"),  # a text that holds none of the words
+        F.coalesce(F.sum("w.no_toxic"), F.lit(0.0)).alias("no2"),
     )
     prior = lambda i: F.log((F.col(f"k{i}") + 0.01) / (F.col("k0") + 1)) + F.col(f"no{i}")
     return found.withColumn("one", F.lit(1)).join(known, "one").select(
-        "words", "ratios", F.array(prior(1), prior(2)).alias("prior")
-    )
+        F.col("cells.h").alias("words"), F.col("cells.low").alias("low"), F.col("cells.toxic").alias("toxic"),
+        F.array(prior(1), prior(2)).alias("prior"),
+    )
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row, n_tokens and p_<domain> of every document."""
     fitted = settle(weights(docs, labels, key, text))
-    t = packed(docs, text).select("row", word_hashes(F.col("text")).alias("h"))
-    held = F.array_intersect("h", fitted.select("words").scalar())
-    t = t.select("row", F.size("h").cast("long").alias("n_tokens"), held.alias("held"))
-    t = t.select("*", fitted.select("ratios").scalar().alias("r"), fitted.select("prior").scalar().alias("prior"))
-    odds = lambda name: F.aggregate("held", F.lit(0.0), lambda a, x: a + F.col("r")[x][name])
-    t = t.select("row", "n_tokens", "prior", odds("low").alias("o1"), odds("toxic").alias("o2"))
+    part = lambda name: fitted.select(name).scalar().alias(f"fitted_{name}")
+    t = packed(docs, text).select("row", word_hashes(F.col("text")).alias("h"), part("words"))
+    held = F.array_distinct(F.filter("h", lambda x: F.col("fitted_words")[slot(x)] == x))
+    # each array is used once, so it is folded into its use and not copied into every row
+    t = t.select(
+        "row", F.size("h").cast("long").alias("n_tokens"), held.alias("held"), part("low"), part("toxic"), part("prior")
+    )
+    odds = lambda name: F.aggregate("held", F.lit(0.0), lambda a, x: a + F.col(f"fitted_{name}")[slot(x)])
+    t = t.select(
+        "row", "n_tokens", F.col("fitted_prior").alias("prior"), odds("low").alias("o1"), odds("toxic").alias("o2")
+    )
     bounded = lambda c: F.greatest(F.lit(-50.0), F.least(F.lit(50.0), c))
     t = t.select(
         "row", "n_tokens", F.exp(bounded(F.col("o1") + F.col("prior")[0])).alias("e1"),
