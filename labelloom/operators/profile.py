@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from labelloom.functions.binomial import bounds_udf
@@ -115,10 +116,17 @@ def constant_check(df: DataFrame, group: str) -> DataFrame:
 
 
 def null_count(df: DataFrame) -> DataFrame:
-    """Missing cells of the whole table, in one pass over all columns."""
-    per_row = reduce(
-        lambda a, b: a + b, [named(c).isNull().cast("bigint") for c in df.columns]
-    )
+    """Missing cells of the whole table, those inside arrays included, in one pass over all columns."""
+
+    def missing(field: T.StructField) -> Column:
+        c = named(field.name)
+        inside = F.lit(0)
+        if isinstance(field.dataType, T.ArrayType):
+            inside = F.size(F.filter(c, lambda x: x.isNull()))
+        return F.when(c.isNull(), F.lit(1)).otherwise(inside).cast("bigint")
+
+    # an array keeps the expression flat, however many columns there are
+    per_row = F.aggregate(F.array(*map(missing, df.schema.fields)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return df.agg(F.sum(per_row).alias("null_cells"))
 
 

@@ -176,6 +176,13 @@ def test_density_integrates_to_one(spark):
         assert abs(area - 1) < 0.01
 
 
+def test_null_count_wide_and_packed(spark):
+    wide = spark.range(3).selectExpr(*[f"if(id = {i % 4}, null, id) as c{i}" for i in range(876)])
+    assert P.null_count(wide).first()[0] == 876 * 3 // 4
+    packed = spark.createDataFrame([([1.0, None, None],), (None,), ([],)], "v array<double>")
+    assert P.null_count(packed).first()[0] == 3
+
+
 def test_profile_counts(spark):
     df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), (None, 3)], "k string, v int")
     assert P.null_count(df).first()[0] == 1
