@@ -147,7 +147,7 @@ def _(spark, d):
     return P.constant_check(both, "x").withColumn("min_sd", r("min_sd", 9))
 
 
-NULL_COLS = ["doc_id", "lang", "quality", "toxic"]
+NULL_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]  # all of both tables
 
 
 @query(
