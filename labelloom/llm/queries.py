@@ -129,6 +129,83 @@ from checked left join answers using (conv_id, turn) left join chain using (conv
 """
 
 
+def op6_chat_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn with its whole text: assistant turns are calls as in ``op6_chat_formatting``, user turns after one
+    are its results, all other turns (system, opening prompts, other roles) are messages, roots of their own."""
+    turns = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    name = F.when(F.col("turn") < 3, F.lit("answer")).otherwise(F.lit("follow_up"))
+    key = lambda kind, t: F.concat(F.lit(kind), F.col("conv_id"), F.lit("-"), t)
+    size = F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars")
+    said = turns.filter("role = 'assistant'")
+    calls = said.select(
+        "conv_id", key("c", F.col("turn")).alias("call_id"), name.alias("name"),
+        F.to_json(F.struct(size, "text", "turn")).alias("arguments"), key("c", F.col("turn") - 2).alias("after"),
+    )
+    answered = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit("user").alias("role")).distinct()
+    messages = turns.filter("not role <=> 'assistant'").join(answered, ["conv_id", "turn", "role"], "left_anti").select(
+        "conv_id", key("m", F.col("turn")).alias("call_id"), F.lit("message").alias("name"),
+        F.to_json(F.struct(size, "role", "text", "turn")).alias("arguments"), F.lit(None).cast("string").alias("after"),
+    )
+    results = turns.filter("role = 'user'").select(
+        key("c", F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
+    )
+    schemas = spark.sql(
+        "select * from values ('answer', 'turn', 'integer', true, 0D, 2D), ('answer', 'n_chars', 'integer', true, 100D, null), "
+        "('answer', 'text', 'string', true, null, null), ('follow_up', 'turn', 'integer', true, 3D, null), "
+        "('follow_up', 'n_chars', 'integer', true, 1D, 1000D), ('follow_up', 'text', 'string', true, null, null), "
+        "('message', 'turn', 'integer', true, 0D, null), ('message', 'n_chars', 'integer', true, null, null), "
+        "('message', 'role', 'string', true, null, null), ('message', 'text', 'string', true, null, null) "
+        "as t(name, field, type, required, low, high)"
+    )
+    return chat.linked(calls.unionByName(messages), results, schemas)
+
+
+CHAT_TEXTS_SQL = """
+with recursive turns as (
+    select *, length(coalesce(text, '')) as n from conversations where conv_id is not null and turn is not null
+), answered as (
+    select distinct conv_id, turn + 1 as turn, 'user' as role from turns where role = 'assistant'
+), said as (
+    select conv_id, turn, role, n, text, 'c' || conv_id || '-' || turn as call_id,
+        case when turn < 3 then 'answer' else 'follow_up' end as name
+    from turns where role = 'assistant'
+    union all
+    select conv_id, turn, role, n, text, 'm' || conv_id || '-' || turn, 'message'
+    from turns anti join answered using (conv_id, turn, role) where role is distinct from 'assistant'
+), written as (
+    select *, '{"n_chars":' || n || case when name = 'message' and role is not null then ',"role":' || to_json(role) else '' end
+        || case when text is not null then ',"text":' || to_json(text) else '' end || ',"turn":' || turn || '}' as args
+    from said
+), every as (
+    select conv_id, turn, call_id, name, count(*) as n_calls, min(args) as args, min_by(n, args) as n,
+        min_by(role is null, args) as no_role, min_by(text is null, args) as no_text
+    from written group by all
+), answers as (
+    select conv_id, turn - 1 as turn, min(text) as content, count(*) as n_results
+    from turns where role = 'user' group by conv_id, turn
+), chain as (
+    select call_id, conv_id, turn, name, 0::bigint as depth from every e where name = 'message'
+        or not exists (from every p where p.conv_id = e.conv_id and p.turn = e.turn - 2 and p.name <> 'message')
+    union all
+    select e.call_id, e.conv_id, e.turn, e.name, depth + 1
+    from chain c join every e on e.conv_id = c.conv_id and e.turn = c.turn + 2 and c.name <> 'message' and e.name <> 'message'
+), checked as (
+    select *, concat_ws('; ',
+        case when name = 'answer' and n < 100 or name = 'follow_up' and (n < 1 or n > 1000)
+            then 'n_chars: out of range' end,
+        case when name = 'message' and no_role then 'role: missing' end,
+        case when no_text then 'text: missing' end,
+        case when turn < 0 then 'turn: out of range' end) as errors
+    from every
+)
+select k.conv_id, k.call_id, k.name, depth, coalesce(n_results, 0) as n_results, n_calls, errors = '' as valid, errors,
+    '{"arguments":' || args || ',"id":"' || k.call_id || '","name":"' || k.name || '"'
+        || case when content is not null then ',"result":' || to_json(content) else '' end || '}' as canonical
+from checked k left join answers a on k.name <> 'message' and a.conv_id = k.conv_id and a.turn = k.turn
+    left join chain c on c.call_id = k.call_id
+"""
+
+
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Hosts of the pages enter and leave lists on dates that follow from their first page; a page's
     number gives its fetch date."""
@@ -212,4 +289,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": CHAT_SQL, "op7_url_filters": URL_SQL, "op10_warc": WARC_SQL}
+    return {"op6_chat_formatting": CHAT_SQL, "op6_chat_texts": CHAT_TEXTS_SQL, "op7_url_filters": URL_SQL, "op10_warc": WARC_SQL}
