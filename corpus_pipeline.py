@@ -8,6 +8,8 @@ from labelloom.llm import jaccard, mixing, pieces, quality
 from labelloom.llm.queries import tokenizer
 from labelloom.session import scratch_path
 
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80  # near copies of the stage; op8's own values bind its query only
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -18,7 +20,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR_PERCENT, NEAR_SHINGLE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

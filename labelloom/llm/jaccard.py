@@ -1,6 +1,6 @@
 """Exact Jaccard self-join on word shingles by rare-first prefix filtering.
 
-A text's set holds its distinct four-word shingles as 64-bit hashes. All sets
+A text's set holds its distinct shingles (of four words unless told otherwise) as 64-bit hashes. All sets
 are ordered alike: first the shingles of one third of the hash space, rarest
 first, then the rest by hash. Two sets at the threshold share one of the first
 ``n - ceil(t n) + 1`` shingles in this (or any) order, so only those are joined,
@@ -21,7 +21,7 @@ tried only between texts that the hubs have not connected yet. So a group of
 thousands of near copies yields a link per text and no list of all pairs.
 
 Defined cases: null or blank texts have the empty set, link with nothing and are
-their own component; below four words the whole sequence is one shingle; rows
+their own component; a text of fewer words than a shingle is one shingle; rows
 that share an id are one node; a row without id takes no part (component null);
 empty tables give no rows; other columns are ignored.
 """
@@ -42,12 +42,19 @@ COUNTED = 3  # one in so many hashes is ranked by frequency
 SLICES = 16
 
 
-def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
+def shingled(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """(doc, s, n): the set and its size per row."""
+    if shingle < 1:
+        raise ValueError("a shingle holds one word at least")
     t = docs.select(F.col(key).alias("doc"), word_hashes(lower_ascii(whole(text))).alias("h"))
-    t = t.select("doc", "h", joined_hashes(F.col("h"), F.col("h"), 1).alias("h2"))
+    t = t.withColumn("run", F.col("h"))
+    length = 1  # words each hash of ``run`` covers; two runs that overlap or touch make a longer one
+    while length < shingle:
+        step = min(length, shingle - length)
+        t = t.select("doc", "h", joined_hashes(F.col("run"), F.col("run"), step).alias("run"))
+        length += step
     s = (
-        F.when(F.size("h") >= SHINGLE, F.array_distinct(joined_hashes(F.col("h2"), F.col("h2"), 2)))
+        F.when(F.size("h") >= shingle, F.array_distinct("run"))
         .when(F.size("h") > 0, F.array(F.xxhash64("h")))
         .otherwise(F.array().cast("array<long>"))
     )
@@ -150,9 +157,11 @@ def classes(sets: DataFrame) -> DataFrame:
     return out.select("doc", "n", own.alias("rep"))
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def linked(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE
+) -> DataFrame:
     """(doc, n, component) for every row."""
-    sets = shingled(docs, key, text)
+    sets = shingled(docs, key, text, shingle)
     member = settle(classes(sets))
     reps = member.filter("n > 0 and doc = rep").select("doc").distinct()
     wide = postings(sets.filter("doc is not null"), percent, COUNTED).join(reps, "doc", "left_semi")
@@ -160,7 +169,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     met = wide.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
     wanted = wide.join(met, "h", "left_semi").select("doc").distinct()
     kept = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
-    kept = settle(shingled(kept, "doc", "text").withColumn("slices", slice_sizes(F.col("s"))))
+    kept = settle(shingled(kept, "doc", "text", shingle).withColumn("slices", slice_sizes(F.col("s"))))
     # only these texts can link: their shingles are now all ranked, by how many of these texts hold them
     posted = settle(postings(kept, percent, 1).distinct())
     several = posted.groupBy("h").agg(F.min(F.struct("alone", "doc", "n", "pos")).alias("hub"), F.count("*").alias("m"))
@@ -191,11 +200,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     )
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The documents without all but one of each group of linked ones: the smallest id stays.
 
     Rows without id stay; of rows that repeat an id, all stay where that id does.
     """
-    found = linked(docs, "doc_id", "text", percent)
+    found = linked(docs, "doc_id", "text", percent, shingle)
     gone = found.filter("doc <> component").select(F.col("doc").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
