@@ -3,19 +3,23 @@
 The standard library's parser streams its events. Block tags cut the page into
 lines; a line's ratio is its characters over the tags around it. The ratios are
 smoothed with a Gaussian, and a threshold between the means of the two clusters
-they fall into (two-means) tells content from the rest. Each content line votes
-with its characters for the region (article, main or other sectioning element)
-it lies in; all lines of the winning region are the text, so that a short
-paragraph between long ones stays. Elements that never hold an article (menus,
-headers, footers, asides, forms, scripts, adverts, notices, comments) are left out.
+they fall into (two-means) tells content from the rest; where the clusters are
+alike, all lines are content. All lines of every region (outermost article or
+main, or other sectioning element outside these) that holds a content line (not
+one that only its neighbours lift) or is an article or main are the text, so that a short paragraph between long ones
+stays. Elements that never hold an article (menus,
+headers, footers, asides, forms, scripts, adverts, notices, comments) are left out; a class or id names one when all its hyphenated
+parts do, so ``has-sidebar`` and ``related-work`` do not.
 
 Defined cases: a null or empty page and one without content have the empty
-text; unclosed and stray tags are tolerated; pages are read whole whatever
+text; an unclosed p, li, dt, dd,
+cell or row ends where HTML ends it, other unclosed and stray tags are tolerated; pages are read whole whatever
 their length; repeated rows give repeated results; other columns are carried along.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 
 SLICE = 1 << 16  # characters fed to the parser at a time
 SIGMA = 1.5  # of the Gaussian, in lines
+LIFTED = 0.25  # a line whose own ratio is below this share of the threshold was lifted over it by its neighbours
+ALIKE = 0.5  # clusters whose means differ by less than this factor are one
 # fixed values: element names and class words
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -41,9 +47,31 @@ WORDS = frozenset(
     "popup modal newsletter subscribe sidebar menu navbar navigation breadcrumb breadcrumbs header footer masthead "
     "comment comments disqus respond replies related share sharing social widget toolbar pagination skip".split()
 )
+PLACES = frozenset("site top bottom left right box bar list links buttons slot unit block area".split())  # say nothing alone
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split()
 )
+# fixed values: what ends an unclosed element, and the elements beyond which it is not looked for
+_CELL, _ROW, _GROUP = ("td", "th"), ("td", "th", "tr"), ("td", "th", "tr", "tbody", "thead", "tfoot", "caption")
+_ENDS_P = (
+    "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr li dt dd main menu nav ol p pre section table tbody td tfoot th thead tr ul"
+).split()
+_LIST_WALLS = ("ul", "ol", "menu", "table", "td", "th", "section", "article", "main", "blockquote", "nav", "aside", "form")
+ENDS: dict[str, list[tuple[tuple[str, ...], frozenset[str]]]] = {
+    tag: [(("p",), frozenset(("td", "th", "caption", "table", "object", "template", "button")))] for tag in _ENDS_P
+}
+ENDS["li"].append((("li",), frozenset(_LIST_WALLS)))
+for _tag in ("dt", "dd"):
+    ENDS[_tag].append((("dt", "dd"), frozenset(("dl", *_LIST_WALLS))))
+for _tag, _ended in {"td": _CELL, "th": _CELL, "tr": _ROW, "tbody": _GROUP, "thead": _GROUP, "tfoot": _GROUP}.items():
+    ENDS[_tag].append((_ended, frozenset(("table", "template"))))
+
+
+def names_boilerplate(name: str) -> bool:
+    """Whether a class or id is one of the words, or made of them and of words for places."""
+    parts = set(name.replace("_", "-").split("-")) - {""}
+    return not WORDS.isdisjoint(parts) and parts <= WORDS | PLACES
 
 
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
@@ -56,9 +84,7 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_article
             continue
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and not WORDS.isdisjoint(
-            value.lower().replace("-", " ").replace("_", " ").split()
-        ):
+        if name in ("class", "id") and any(map(names_boilerplate, value.lower().split())):
             return True
     return any(name == "hidden" for name, _ in attrs)
 
@@ -70,7 +96,9 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, boilerplate, region
         self.buffer: list[str] = []
+        self.count: Counter[str] = Counter()  # open elements per tag
         self.tags, self.regions, self.articles = 0, 0, 0
+        self.main_regions: set[int] = set()  # regions that are an article or main
         self.lines: list[tuple[str, int, int]] = []
 
     def _here(self) -> tuple[bool, int]:
@@ -87,18 +115,44 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
+        self._end_unclosed(tag)
         if tag in VOID:
             if tag == "br":
                 self.buffer.append(" ")
             return
         left_out, region = self._here()
         left_out = left_out or is_boilerplate(tag, attrs, self.articles > 0)
-        if tag in REGIONS and not (self.articles and tag not in ("article", "main")):
+        if tag in REGIONS and not self.articles:
             self.regions += 1
             region = self.regions
+            if tag in ("article", "main"):
+                self.main_regions.add(region)
         self.articles += tag in ("article", "main")
+        self.count[tag] += 1
         self.open.append((tag, left_out, region))
 
+    def _close(self, at: int) -> None:
+        for tag, _, _ in self.open[at:]:
+            self.count[tag] -= 1
+            self.articles -= tag in ("article", "main")
+        del self.open[at:]
+
+    def _end_unclosed(self, tag: str) -> None:
+        for ended, walls in ENDS.get(tag, ()):
+            if not any(self.count[t] for t in ended):
+                continue
+            last = None
+            for at in range(len(self.open) - 1, -1, -1):
+                name = self.open[at][0]
+                if name in ended:
+                    last = at
+                    if len(ended) < 3:  # of rows and row groups the outermost one ends
+                        break
+                elif name in walls:
+                    break
+            if last is not None:
+                self._close(last)
+
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
@@ -110,10 +164,11 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                self.articles -= sum(t in ("article", "main") for t, _, _ in self.open[at:])
-                del self.open[at:]
+                self._close(at)
                 return
 
     def handle_data(self, data):
@@ -129,14 +184,14 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """Midpoint of the two means of a two-means clustering."""
+    """Midpoint of the two means of a two-means clustering; the least value where the means are alike."""
     low, high = float(values.min()), float(values.max())
     while low < high:
         middle = (low + high) / 2
         near = values > middle
         new = (float(values[~near].mean()), float(values[near].mean()))
         if new == (low, high):
-            return middle
+            return float(values.min()) if low > ALIKE * high else middle
         low, high = new
     return low
 
@@ -151,11 +206,12 @@ def main_text(html: str | None) -> str:
         return ""
     texts, tags, regions = zip(*parser.lines, strict=True)
     sizes = np.array([len(t) for t in texts], dtype=float)
-    ratio = smoothed(sizes / np.maximum(1, np.array(tags)))
-    content = ratio >= threshold(ratio)
-    votes = np.bincount(np.array(regions)[content], weights=sizes[content])
-    best = int(votes.argmax())
-    return "\n".join(t for t, r in zip(texts, regions, strict=True) if r == best)
+    own = sizes / np.maximum(1, np.array(tags))
+    ratio = smoothed(own)
+    least = threshold(ratio)
+    content = (ratio >= least) & (own >= LIFTED * least)
+    kept = parser.main_regions | {r for r, c in zip(regions, content, strict=True) if c}
+    return "\n".join(t for t, r in zip(texts, regions, strict=True) if r in kept)
 
 
 def texts_of(html: pd.Series) -> pd.Series:
