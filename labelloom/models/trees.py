@@ -9,6 +9,13 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 MAX_DEPTH = 30  # MLlib's limit
 
 
+def allowed_depth(max_depth: int) -> int:
+    """The depth; one that MLlib cannot train is rejected before any job."""
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {max_depth} is beyond MLlib's limit of {MAX_DEPTH}")
+    return max_depth
+
+
 def forest(
     n_estimators: int = 120,
     max_depth: int = 8,
@@ -26,7 +33,7 @@ def forest(
         featuresCol="features",
         labelCol=label,
         numTrees=n_estimators,
-        maxDepth=min(max_depth, MAX_DEPTH),
+        maxDepth=allowed_depth(max_depth),
         minInstancesPerNode=min_samples_leaf,
         featureSubsetStrategy=max_features,
         seed=seed,
@@ -68,7 +75,7 @@ def boosted(
         labelCol=label,
         stepSize=learning_rate,
         minInfoGain=gamma,
-        maxDepth=min(max_depth, MAX_DEPTH),
+        maxDepth=allowed_depth(max_depth),
         minInstancesPerNode=max(1, int(min_child_weight)),
         subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample_bytree),

@@ -79,7 +79,13 @@ def fit_pca(
 
 
 def fit_pca_folds(
-    df: DataFrame, column: str, k: int = 2, fold: str = "kfold", scaled: bool = True
+    df: DataFrame,
+    column: str,
+    k: int | None = 2,
+    fold: str = "kfold",
+    scaled: bool = True,
+    threshold: float | None = None,
+    center: bool = True,
 ) -> dict[int, PcaFit]:
     """One fit per fold on the other folds, from two passes over all rows."""
     per_fold = fold_moments(df, column, fold)
@@ -89,8 +95,8 @@ def fit_pca_folds(
     for f in per_fold:
         m = train_moments(per_fold, f)
         g = combine_grams(v for i, v in grams.items() if i != f)
-        middle, spread, values, axes = _decompose(m, g, True, scaled, 0, shift)
-        fits[f] = PcaFit(middle, spread, values, axes[:k])
+        middle, spread, values, axes = _decompose(m, g, center, scaled, 0, shift)
+        fits[f] = PcaFit(middle, spread, values, axes[: _cut(values, k, threshold)])
     return fits
 
 

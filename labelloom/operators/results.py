@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.models.trees import allowed_depth
 from labelloom.operators.joins import frozen_if_small
 from labelloom.roles import HIDDEN
 from labelloom.session import settle
@@ -28,6 +29,8 @@ def validate_grid(grid: Mapping[str, Mapping[str, Sequence]]) -> None:
                 raise ValueError(f"{clf}: min_samples_split must be at least 2, got {s}")
             if any(s > 2 * leaf for leaf in leaves):
                 raise ValueError(f"{clf}: min_samples_split {s} is not implied by min_samples_leaf")
+        for depth in params.get("max_depth", []):
+            allowed_depth(depth)
 
 
 def combinations(grid: Mapping[str, Mapping[str, Sequence]]) -> list[tuple[str, int, dict]]:

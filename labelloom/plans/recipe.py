@@ -212,7 +212,12 @@ class Pca:
         )
 
     def fit_folds(self, df: DataFrame, folds: Sequence[int]) -> dict[int, Apply]:
-        by_group = {g: fit_pca_folds(df, g, self.k or 2, scaled=self.scaled) for g in self.groups}
+        by_group = {
+            g: fit_pca_folds(
+                df, g, self.k, scaled=self.scaled, threshold=self.threshold, center=self.center
+            )
+            for g in self.groups
+        }
         return {f: self._apply({g: by_group[g][f] for g in self.groups}) for f in folds}
 
 
