@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, jaccard, mixing, nearest, pages, pieces, quality, tokens, urls, warc
+from labelloom.llm import chat, jaccard, manifest, mixing, nearest, pages, pieces, quality, texts, tokens, urls, warc
 
 
 TOKEN_LIMIT = 2048
@@ -283,10 +283,93 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars")
+    tampered = texts.lower_ascii(F.col("text"))
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    leaves = docs.select(
+        F.col("source").alias("group"), F.col("doc_id").alias("key"),
+        manifest.leaf_of(*map(F.col, fields), F.col("text")).alias("leaf"),
+        F.when(hit, manifest.leaf_of(*map(F.col, fields), tampered)).alias("changed"),
+    )
+    return manifest.manifest(leaves).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"),
+        F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+MERKLE_SQL = """
+with recursive crc_table as (
+    select list(list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, b)
+        order by b) as t
+    from range(256) r(b)
+), fields as (
+    select doc_id, source, doc_id::varchar as d, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-')
+        || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+        || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+        coalesce(strlen(text) || ':' || text, '-') as body,
+        translate(coalesce(strlen(text) || ':' || text, '-'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low_body
+    from documents
+), hashed as (
+    select doc_id, source, sha256(head || body) as leaf, sha256(head || low_body) as low_leaf,
+        xor(4294967295, list_reduce(list_transform(range(1, length(d) + 1), lambda i: ascii(d[i])::bigint),
+            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::bigint)) % 5 = 0 as hit
+    from fields, crc_table
+), leaves as (
+    select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place,
+        coalesce('=' || source, '') as tree
+    from hashed
+), nodes as (
+    select 0 as level, tree, place, leaf as node from leaves
+    union all
+    select level + 1, tree, place // 16, sha256(string_agg(node, '' order by place))
+    from (select *, count(*) over (partition by tree) as n from nodes) where n > 1
+    group by level, tree, place // 16
+), steps as (
+    select a.tree, a.level, a.place, coalesce(string_agg(b.node, '' order by b.place) filter (b.place < a.place), '') as l,
+        coalesce(string_agg(b.node, '' order by b.place) filter (b.place > a.place), '') as r
+    from nodes a join nodes b on a.tree = b.tree and a.level = b.level and a.place // 16 = b.place // 16
+    where a.level < (select max(m.level) from nodes m where m.tree = a.tree)
+    group by a.tree, a.level, a.place
+), subroots as (
+    select tree, max_by(node, level) as subroot from nodes group by tree
+), tops as (
+    select 0 as level, row_number() over (order by tree) - 1 as place, tree, subroot as node from subroots
+    union all
+    select level + 1, place // 16, '', sha256(string_agg(node, '' order by place))
+    from (select *, count(*) over () as n from tops) where n > 1 group by level, place // 16
+), top_steps as (
+    select a.level, a.place, coalesce(string_agg(b.node, '' order by b.place) filter (b.place < a.place), '') as l,
+        coalesce(string_agg(b.node, '' order by b.place) filter (b.place > a.place), '') as r
+    from tops a join tops b on a.level = b.level and a.place // 16 = b.place // 16
+    where a.level < (select max(level) from tops)
+    group by a.level, a.place
+), inside as (
+    select doc_id, leaf, tree, 0 as level, place, case when hit then low_leaf else leaf end as folded, '' as proof from leaves
+    union all
+    select doc_id, leaf, i.tree, i.level + 1, i.place // 16, sha256(l || folded || r), proof || l || r
+    from inside i join steps s on s.tree = i.tree and s.level = i.level and s.place = i.place
+), above as (
+    select doc_id, leaf, i.tree, subroot, 0 as level, t.place, folded, proof
+    from inside i join subroots s on s.tree = i.tree join tops t on t.level = 0 and t.tree = i.tree
+    where i.level = (select max(m.level) from nodes m where m.tree = i.tree)
+    union all
+    select doc_id, leaf, tree, subroot, a.level + 1, a.place // 16, sha256(l || folded || r), proof || l || r
+    from above a join top_steps s on s.level = a.level and s.place = a.place
+)
+select doc_id, leaf, subroot, node as root, sha256(proof) as proof_sha256, folded as folded_root, folded = node as verified
+from above a join (select level as top, node from tops order by level desc limit 1) on a.level = top
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": CHAT_SQL, "op6_chat_texts": CHAT_TEXTS_SQL, "op7_url_filters": URL_SQL, "op10_warc": WARC_SQL}
+    return {
+        "op6_chat_formatting": CHAT_SQL, "op6_chat_texts": CHAT_TEXTS_SQL, "op7_url_filters": URL_SQL, "op10_warc": WARC_SQL,
+        "op13_merkle_manifest": MERKLE_SQL,
+    }
