@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, jaccard, manifest, mixing, nearest, pages, pieces, quality, texts, tokens, urls, warc
+from labelloom.llm import chat, jaccard, manifest, mixing, nearest, pages, pieces, quality, texts, tokens, urls, warc, whitening
 
 
 TOKEN_LIMIT = 2048
@@ -283,6 +283,10 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_read(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     fields = ("doc_id", "source", "lang", "n_chars")
