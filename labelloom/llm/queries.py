@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import chat, jaccard, manifest, mixing, nearest, pages, pieces, quality, texts, tokens, urls, warc, whitening
+from labelloom.llm import (
+    bytepairs, chat, jaccard, manifest, mixing, nearest, pages, pieces, quality, texts, tokens, urls, warc, whitening,
+)
 
 
 TOKEN_LIMIT = 2048
@@ -283,6 +285,17 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    both = bytepairs.decoded(bytepairs.encoded(docs, path).select("doc_id", "ids"), path)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(_read(spark, folder, "embeddings"), "vec_id", "embedding")
 
