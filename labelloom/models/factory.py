@@ -18,11 +18,12 @@ def fit_predict(
     clf: str, params: Mapping, train: DataFrame, valid: DataFrame, key: str, n_rows: int
 ) -> DataFrame:
     """(key, y, p) for ``valid``. Frames hold key, x (array), y (0/1), with one
-    row per key; a training part without positives predicts 0."""
+    row per key; a training part without positives predicts 0, one without negatives 1."""
+    sides = train.agg(F.min("y").alias("least"), F.max("y").alias("most")).first()
+    if sides["least"] is not None and sides["least"] == sides["most"]:
+        return valid.select(key, "y", F.lit(float(sides["most"])).alias("p"))
     if clf == "nb":
         model = fit_bayes(train, "x", "y")
-        if 1 not in model.classes:
-            return valid.select(key, "y", F.lit(0.0).alias("p"))
         at = model.classes.index(1)
         return model.transform(valid).select(key, "y", F.get("probs", F.lit(at)).alias("p"))
     if clf == "knn":

@@ -29,7 +29,8 @@ def neighbours(
     Both sides are hashed into blocks of about ``block_rows`` rows; each pair
     of blocks is one task-sized numpy job that returns k rows per query. No
     pair of rows is ever emitted, memory per task is two blocks and their
-    distance matrix, and the result does not depend on the blocking.
+    distance matrix, and the result does not depend on the blocking. A distance
+    that is not a number counts as infinite, so every query keeps its k rows.
     """
     n_train, n_query = train.count(), queries.count()
     a, b = max(1, ceil(n_train / block_rows)), max(1, ceil(n_query / block_rows))
@@ -50,6 +51,7 @@ def neighbours(
         d = np.zeros((len(y), len(x)))
         for j in range(x.shape[1]):
             d += np.abs(y[:, j, None] - x[None, :, j]) ** p
+        d[np.isnan(d)] = np.inf  # a row with NaN is as far as can be; ties by key
         kk = min(k, len(x))
         limit = np.partition(d, kk - 1, axis=1)[:, kk - 1]
         qi, ti = np.nonzero(d <= limit[:, None])

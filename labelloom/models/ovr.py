@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.models.linear import logistic
+from labelloom.models.batched import Linear, fit_logistic, packed, scored
 from labelloom.roles import named
 
 WORKERS = 8  # jobs in flight; each one still spreads over the whole cluster
@@ -31,26 +32,22 @@ def in_pool(spark, tasks: Sequence[Callable[[], object]], workers: int = WORKERS
         return list(pool.map(run, enumerate(tasks)))
 
 
-def fit_ovr(
-    train: DataFrame, classes: Sequence[str], strengths: Sequence[float], n_rows: int, tol: float = 1e-6
-) -> list:
-    """One logistic model per class column; ``train`` should be persisted."""
+def fit_ovr(train: DataFrame, classes: Sequence[str], strengths: Sequence[float], tol: float = 1e-8) -> Linear:
+    """A logistic model per 0/1 class column of ``train`` (features, classes), each with its own strength; all are
+    fitted by the same passes."""
+    rows = train.select(F.lit(0).alias("part"), vector_to_array("features").alias("x"), *[named(c) for c in classes])
+    blocks = packed(rows, classes).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit_logistic(blocks, len(classes), [[s] for s in strengths], tol)
+    finally:
+        blocks.unpersist()
 
-    def task(c: str, strength: float):
-        target = train.select("features", named(c).cast("double").alias("y"))
-        return lambda: logistic(strength, n_rows, tol=tol).fit(target)
 
-    return in_pool(train.sparkSession, [task(c, s) for c, s in zip(classes, strengths)])
-
-
-def score_ovr(df: DataFrame, models: Sequence, name: str = "probs") -> DataFrame:
-    """P(class) of all models as one array: a single projection over the rows."""
-    out = df
-    for i, m in enumerate(models):
-        m = m.copy().setProbabilityCol(f"__p{i}").setRawPredictionCol("").setPredictionCol("")
-        out = m.transform(out)
-    probs = F.array(*[vector_to_array(f"__p{i}")[1] for i in range(len(models))])
-    return out.select(*[named(c) for c in df.columns], probs.alias(name))
+def score_ovr(df: DataFrame, model: Linear, name: str = "probs") -> DataFrame:
+    """P(class) of all classes as one array: one matrix product per batch of rows."""
+    kept = F.struct(*[named(c) for c in df.columns if c != "features"]).alias("row")
+    rows = df.select(kept, F.lit(0).alias("part"), vector_to_array("features").alias("x"))
+    return scored(rows, model, "p").select("row.*", F.col("p").alias(name))
 
 
 def predictions_long(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.operators.joins import lookup_join
+from labelloom.operators.joins import group_join
 from labelloom.operators.ordering import quantiles
 
 
@@ -31,13 +31,13 @@ def density_grid(df: DataFrame, by: Sequence[str], value: str, points: int = 512
         F.least("sd", spread) > 0, F.least("sd", spread)
     ).otherwise(F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)))
     shape = (
-        stats.join(iqr, by)
+        group_join(stats, iqr, by, "inner")
         .withColumn("bw", 0.9 * width * F.pow(F.col("n"), F.lit(-0.2)))
         .withColumn("start", F.col("lo") - 3 * F.col("bw"))
         .withColumn("step", (F.col("hi") - F.col("lo") + 6 * F.col("bw")) / (points - 1))
         .select(*by, "n", "bw", "start", "step")
     )
-    placed = lookup_join(df.filter(F.col(value).isNotNull()).select(*by, value), shape, by, "inner")
+    placed = group_join(df.filter(F.col(value).isNotNull()).select(*by, value), shape, by, "inner")
     bin_no = F.floor((F.col(value) - F.col("start")) / F.col("step") + 0.5)
     bins = placed.groupBy(*by, bin_no.alias("bin")).agg(
         F.count(F.lit(1)).alias("c"),

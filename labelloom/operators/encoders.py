@@ -38,17 +38,17 @@ def category_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
 def one_hot(df: DataFrame, levels: dict[str, list], strict: bool = True) -> DataFrame:
     """Full indicator set ``<col>_<level>`` first, all other columns after it.
 
-    A level that was not seen at fit time fails the job (``strict``).
+    A level that was not seen at fit time (null is none) fails the job
+    (``strict``), whichever columns are used later.
     """
     flags = []
     for c, found in levels.items():
         text = named(c).cast("string")
-        for i, level in enumerate(found):
-            flag = F.when(text == F.lit(level), 1).otherwise(0)
-            if strict and i == 0:
-                unknown = F.raise_error(F.concat(F.lit(f"unknown level of {c}: "), text)).cast("int")
-                flag = F.when(text.isin(*found), flag).otherwise(unknown)
-            flags.append(flag.alias(f"{c}_{level}"))
+        flags += [F.when(text == F.lit(level), 1).otherwise(0).alias(f"{c}_{level}") for level in found]
+        if strict:
+            shown = F.coalesce(text, F.lit("null"))
+            unknown = F.raise_error(F.concat(F.lit(f"unknown level of {c}: "), shown)).cast("boolean")
+            df = df.filter(F.when(text.isin(*found), F.lit(True)).otherwise(unknown))
     return df.select(*flags, *[named(c) for c in df.columns if c not in levels])
 
 

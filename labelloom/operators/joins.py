@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,15 @@ def lookup_join(
     return df.join(table if small is None else F.broadcast(small), on, how)
 
 
+def group_join(df: DataFrame, table: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """As ``lookup_join`` for a table with one row per group, where the null group is a group too."""
+    small = frozen_if_small(table)
+    right = table if small is None else F.broadcast(small)
+    right = right.withColumnsRenamed({c: f"__of_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by])
+    return df.join(right, same, how).drop(*[f"__of_{c}" for c in by])
+
+
 def join_targets(
     features: DataFrame, labels: DataFrame, key: str, prefix: str = "target_"
 ) -> DataFrame:
@@ -52,20 +62,16 @@ def missing_keys(features: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def concat_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Columns of both frames side by side, matched by key instead of row order.
 
-    A key present on one side only fails the job: the check rides on the same
-    join, so it costs no further pass.
+    A key present on one side only fails the job, whichever columns are used
+    later: the check is a filter on the same join, so it costs no further pass.
     """
     r = right.withColumnRenamed(key, "__key")
     both = left.join(r, left[key] == F.col("__key"), "full_outer")
-    checked = F.when(
-        left[key].isNull() | F.col("__key").isNull(),
-        F.raise_error(F.lit("concat_by_key: the frames do not hold the same keys")).cast(
-            left.schema[key].dataType
-        ),
-    ).otherwise(left[key])
+    alone = left[key].isNull() | F.col("__key").isNull()
+    failed = F.raise_error(F.lit("concat_by_key: the frames do not hold the same keys")).cast("boolean")
     cols = [left[c] for c in left.columns if c != key]
     cols += [F.col(c) for c in right.columns if c != key]
-    return both.select(checked.alias(key), *cols)
+    return both.filter(F.when(alone, failed).otherwise(F.lit(True))).select(left[key], *cols)
 
 
 def semi_join_members(df: DataFrame, members: DataFrame, on: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.arrays import let, total
-from labelloom.operators.joins import lookup_join
+from labelloom.operators.joins import group_join
 from labelloom.operators.ordering import running_total
 
 EPS = 1e-15  # fixed value: stands in for a probability of exactly 0
@@ -105,7 +105,7 @@ def auc(df: DataFrame, by: Sequence[str], score: str, y: str) -> DataFrame:
     start = ranked.groupBy(*keys).agg(F.min(below).alias("__start"))
     pairs = F.col("__p") * (below - F.col("__start") + F.col("__n") / 2)
     out = (
-        lookup_join(ranked, start, keys, "inner")
+        group_join(ranked, start, keys, "inner")
         .groupBy(*keys)
         .agg(F.sum(pairs).alias("__u"), F.sum("__p").alias("__np"), F.sum("__n").alias("__nn"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelloom.operators.joins import lookup_join
+from labelloom.operators.joins import group_join
 from labelloom.session import settle
 
 SLOT_BITS = 33  # monotonically_increasing_id: slice number above, row number below
@@ -82,7 +82,7 @@ def quantiles(
     ranked = running_total(counts, [*keys, value], ["__cnt"])
     first = F.col("cum___cnt") - F.col("__cnt")
     groups = ranked.groupBy(*keys).agg(F.min(first).alias("__start"), F.sum("__cnt").alias("__total"))
-    inside = lookup_join(ranked, groups, keys, "inner")
+    inside = group_join(ranked, groups, keys, "inner")
     low_rank = first - F.col("__start")
     high_rank = F.col("cum___cnt") - F.col("__start") - 1
 

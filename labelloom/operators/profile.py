@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from labelloom.functions.binomial import bounds_udf
-from labelloom.operators.joins import lookup_join
+from labelloom.operators.joins import group_join, lookup_join
 from labelloom.operators.ordering import quantiles
 from labelloom.roles import named
 
@@ -103,7 +103,7 @@ def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.max(value).alias("max"),
     )
     quart = quantiles(df, by, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return basic.join(quart, list(by), "left")
+    return group_join(basic, quart, by) if by else basic.crossJoin(quart)  # one row each
 
 
 def constant_check(df: DataFrame, group: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +25,9 @@ def _score(
 ) -> DataFrame:
     fitted = recipe.fit(train)
     frame = recipe.matrix(fitted.transform(train), [key, *classes])
-    frame = frame.withColumn("features", array_to_vector("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    models = fit_ovr(frame, classes, strengths, frame.count(), tol)
-    frame.unpersist()
+    model = fit_ovr(frame.withColumn("features", array_to_vector("x")), classes, strengths, tol)
     rows = recipe.matrix(fitted.transform(test), [key])
-    return score_ovr(rows.withColumn("features", array_to_vector("x")), models)
+    return score_ovr(rows.withColumn("features", array_to_vector("x")), model)
 
 
 def score_baseline(
@@ -39,7 +36,7 @@ def score_baseline(
     key: str,
     classes: Sequence[str],
     recipe: Recipe,
-    tol: float = 1e-6,
+    tol: float = 1e-8,
 ) -> DataFrame:
     """Sparse predictions (key, label, p): only the largest probability of a row
     survives, the hidden class is dropped."""
@@ -55,7 +52,7 @@ def score_tuned(
     classes: Sequence[str],
     recipe: Recipe,
     strengths: dict[str, float],
-    tol: float = 1e-6,
+    tol: float = 1e-8,
 ) -> DataFrame:
     """As the baseline with one strength per class, matched by name, no masking."""
     scored = _score(train, test, key, classes, recipe, [strengths[c] for c in classes], tol)

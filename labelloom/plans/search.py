@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.rowstats import keep_argmax
+from labelloom.models.batched import Linear, fit_bayes_ovr, fit_logistic, packed, scored
 from labelloom.models.factory import fit_predict
 from labelloom.models.neighbours import neighbours
-from labelloom.models.ovr import WORKERS, fit_ovr, in_pool, predictions_long, score_ovr
-from labelloom.operators.metrics import cell_loss, class_log_loss, multilabel_log_loss
+from labelloom.models.ovr import WORKERS, in_pool, predictions_long
+from labelloom.operators.metrics import auc, cell_loss, class_log_loss, multilabel_log_loss
 from labelloom.operators.results import combinations, fold_mean, params_text, validate_grid
 from labelloom.plans.recipe import Recipe
 from labelloom.roles import HIDDEN, named
+from labelloom.session import settle
 
 RESULT_SCHEMA = "class string, clf string, ordinal int, params string, fold int, score double"
 
@@ -69,16 +71,18 @@ def grid_search(
         n = sum(sizes.values())
         fitted = recipe.fit_folds(df, folds)
         for at in range(0, len(folds), folds_at_once):
-            frames, tasks = [], []
+            frames, tasks, together = {}, [], []
             for f in folds[at : at + folds_at_once]:
                 frame = recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes])
-                frames.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+                frames[f] = frame.persist(StorageLevel.MEMORY_AND_DISK)
                 todo = [
                     (clf, ordinal, params, c)
                     for clf, ordinal, params in combinations(grid)
                     for c in classes
                     if (c, clf, params_text(params), f) not in known
                 ]
+                together += [(*t, f) for t in todo if t[0] in TOGETHER]
+                todo = [t for t in todo if t[0] not in TOGETHER]
                 near = [t for t in todo if t[0] == "knn"]
                 for p in {t[2].get("p", 2) for t in near}:
                     group = [t for t in near if t[2].get("p", 2) == p]
@@ -87,11 +91,14 @@ def grid_search(
                     if clf != "knn":
                         n_train = n - sizes.get(f, 0)
                         tasks.append(_fold_task(frame, key, c, clf, ordinal, params, f, n_train))
+            for clf in TOGETHER:
+                if group := [t for t in together if t[0] == clf]:
+                    tasks.insert(0, _together_task(frames, key, classes, clf, group))
             found = [row for rows in in_pool(spark, tasks, workers) for row in rows]
             if results_path and found:
                 spark.createDataFrame(found, RESULT_SCHEMA).write.mode("append").parquet(results_path)
             out += found
-            for frame in frames:
+            for frame in frames.values():
                 frame.unpersist()
     return spark.createDataFrame(out, RESULT_SCHEMA)
 
@@ -99,6 +106,55 @@ def grid_search(
 RESULT_COLUMNS = ("class", "clf", "ordinal", "params", "fold", "score")
 
 
+TOGETHER = ("log_reg", "nb")  # fitted for all classes, parameters and folds by the same passes
+
+
+def _fitted_together(frames: Mapping[int, DataFrame], classes: Sequence[str], clf: str, strengths: Sequence[float]):
+    """One model of every fold (``part``), class and strength; fold f is trained on the other rows of ``frames[f]``."""
+    parts = [
+        d.filter(F.col("kfold") != f).select(F.lit(f).alias("part"), "x", *[named(c) for c in classes])
+        for f, d in frames.items()
+    ]
+    blocks = packed(reduce(DataFrame.unionByName, parts), classes).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return fit_bayes_ovr(blocks, len(classes)) if clf == "nb" else fit_logistic(blocks, len(classes), strengths)
+    finally:
+        blocks.unpersist()
+
+
+def _scored_together(frames: Mapping[int, DataFrame], key: str, classes: Sequence[str], model) -> DataFrame:
+    """(fold, key, at, y, p) of the held-out rows, ``at`` counting classes and within them strengths."""
+    parts = [
+        d.filter(F.col("kfold") == f).select(
+            F.lit(f).alias("part"), key, "x", F.array(*[named(c).cast("int") for c in classes]).alias("y")
+        )
+        for f, d in frames.items()
+    ]
+    out = scored(reduce(DataFrame.unionByName, parts), model)
+    out = out.select(F.col("part").alias("fold"), key, "y", F.posexplode("p").alias("at", "p"))
+    width = len(next(iter(model.weights.values()))[0]) // len(classes) if isinstance(model, Linear) else 1
+    return out.select("fold", key, "at", F.get("y", F.floor(F.col("at") / width).cast("int")).alias("y"), "p")
+
+
+def _together_task(frames, key, classes, clf, todo):
+    strengths = sorted({params["C"] for _, _, params, _, _ in todo}) if clf == "log_reg" else [None]
+
+    def run():
+        model = _fitted_together(frames, classes, clf, strengths)
+        cells = _scored_together(frames, key, classes, model)
+        losses = class_log_loss(cells, ["fold", "at"]).collect()  # result rows only
+        loss = {(r["fold"], r["at"]): r["log_loss"] for r in losses}
+        return [
+            (
+                c, clf, ordinal, params_text(params), int(f),
+                loss.get((f, classes.index(c) * len(strengths) + strengths.index(params.get("C")))),
+            )
+            for _, ordinal, params, c, f in todo
+        ]
+
+    return run
+
+
 def _fold_task(frame, key, c, clf, ordinal, params, fold, n_train):
     rows = frame.select(key, "kfold", "x", named(c).alias("y"))
     train, valid = rows.filter(F.col("kfold") != fold), rows.filter(F.col("kfold") == fold)
@@ -144,14 +200,74 @@ def _neighbour_task(frame, key, todo, p, fold):
     return run
 
 
+def out_of_fold(
+    df: DataFrame, key: str, classes: Sequence[str], recipe: Recipe, clf: str, params: Mapping,
+    folds: Sequence[int] = range(5),
+) -> DataFrame:
+    """(class, fold, key, y, p): every row's probability from the model that has not seen its fold.
+
+    Written once to the shared folder, so any metric is an aggregation of it.
+    """
+    validate_grid({clf: {k: [v] for k, v in params.items()}})
+    folds, classes = list(folds), list(classes)
+    first, recipe = recipe.leading()
+    with _persisted(first.fit(df).transform(df)) as df:
+        fitted = recipe.fit_folds(df, folds)
+        frames = {f: recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes]) for f in folds}
+        if clf in TOGETHER:
+            model = _fitted_together(frames, classes, clf, [params.get("C")])
+            cells = _scored_together(frames, key, classes, model)
+            names = F.array(*[F.lit(c) for c in classes])
+            return settle(cells.select(F.get(names, F.col("at")).alias("class"), "fold", key, "y", "p"))
+        sizes = {r["kfold"]: r["count"] for r in df.groupBy("kfold").count().collect()}
+        tasks = [
+            _written_scores(frames[f], key, c, clf, params, f, sum(sizes.values()) - sizes.get(f, 0))
+            for f in folds for c in classes
+        ]
+        return reduce(DataFrame.unionByName, in_pool(df.sparkSession, tasks))
+
+
+def _written_scores(frame, key, c, clf, params, fold, n_train):
+    rows = frame.select(key, "kfold", "x", named(c).alias("y"))
+    train, valid = rows.filter(F.col("kfold") != fold), rows.filter(F.col("kfold") == fold)
+
+    def run():
+        found = fit_predict(clf, params, train, valid, key, n_train)
+        return settle(found.select(F.lit(c).alias("class"), F.lit(fold).alias("fold"), key, F.col("y").cast("int"), "p"))
+
+    return run
+
+
+def evaluated(scores: DataFrame, metrics: Sequence[str] = ("log_loss",), by: Sequence[str] = ("class", "fold")) -> DataFrame:
+    """(by..., a column per metric) of a score table with y and p.
+
+    ``log_loss``, ``accuracy`` (p beyond one half) and ``auc``; an AUC without
+    both classes is null, as no pair of rows can be ranked.
+    """
+    if not metrics or (unknown := set(metrics) - set(METRICS)):
+        raise ValueError(f"metrics are some of {METRICS}, got {sorted(unknown) if metrics else 'none'}")
+    plain = {
+        "log_loss": F.avg(cell_loss(F.col("y"), F.col("p"))).alias("log_loss"),
+        "accuracy": F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int")).alias("accuracy"),
+    }
+    out = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *[plain[m] for m in metrics if m in plain])
+    if "auc" in metrics:
+        areas = auc(scores, by, "p", "y").withColumnsRenamed({b: f"__{b}" for b in by})
+        same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by])
+        out = out.join(areas, same, "left")
+    return out.select(*by, *metrics)
+
+
+METRICS = ("log_loss", "auc", "accuracy")
+
+
 def cv_run(
     df: DataFrame, key: str, classes: Sequence[str], recipe: Recipe, clf: str, params: Mapping,
-    folds: Sequence[int] = range(5), folds_at_once: int = 2,
+    folds: Sequence[int] = range(5), metric: str = "log_loss",
 ) -> DataFrame:
     """One classifier and one parameter set over all folds: (class, fold, score)."""
-    grid = {clf: {k: [v] for k, v in params.items()}}
-    found = grid_search(df, key, classes, recipe, grid, folds, folds_at_once=folds_at_once)
-    return found.select("class", "fold", "score")
+    found = evaluated(out_of_fold(df, key, classes, recipe, clf, params, folds), [metric])
+    return found.withColumnRenamed(metric, "score")
 
 
 def multilabel_cv(
@@ -161,31 +277,28 @@ def multilabel_cv(
     positives: DataFrame,
     n_labels: int,
     recipe: Recipe,
-    strength: float = 1.0,
+    strength: float | Mapping[str, float] = 1.0,
     folds: Sequence[int] = range(5),
-    folds_at_once: int = 2,
 ) -> DataFrame:
-    """(fold, score): all classes fitted one-vs-rest, the row maximum kept, the
-    hidden class dropped, then the multilabel log-loss over all labels."""
+    """(fold, score): all classes fitted one-vs-rest (``strength``: for all, or per class), the row maximum kept,
+    the hidden class dropped, then the multilabel log-loss over all labels."""
     first, recipe = recipe.leading()
+    folds, classes = list(folds), list(classes)
+    given = [[strength[c] if isinstance(strength, Mapping) else strength] for c in classes]
     with _persisted(first.fit(df).transform(df)) as df:
-        fitted = recipe.fit_folds(df, list(folds))
-
-        def one_fold(f: int):
-            frame = recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes])
-            frame = frame.withColumn("features", array_to_vector("x"))
-            with _persisted(frame):
-                train, valid = frame.filter(F.col("kfold") != f), frame.filter(F.col("kfold") == f)
-                models = fit_ovr(train, classes, [strength] * len(classes), train.count())
-                scored = score_ovr(valid.select(key, "features"), models)
-                kept = scored.withColumn("probs", keep_argmax(F.col("probs")))
-                p = predictions_long(kept, key, classes).filter(F.col("label") != HIDDEN)
-                truth = positives.join(valid.select(key), key, "left_semi")
-                loss = multilabel_log_loss(p, truth, key, valid.count(), n_labels)
-                return int(f), loss.first()["log_loss"]
-
-        tasks = [lambda f=f: one_fold(f) for f in folds]
-        out = in_pool(df.sparkSession, tasks, folds_at_once)
+        fitted = recipe.fit_folds(df, folds)
+        frames = {f: recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes]) for f in folds}
+        model = _fitted_together(frames, classes, "log_reg", given)
+        held = [d.filter(F.col("kfold") == f).select(F.lit(f).alias("part"), key, "x") for f, d in frames.items()]
+        probs = settle(scored(reduce(DataFrame.unionByName, held), model, "probs"))
+        kept = probs.withColumn("probs", keep_argmax(F.col("probs")))
+        p = predictions_long(kept, key, classes).filter(F.col("label") != HIDDEN)
+        out = []
+        for f in folds:
+            rows = probs.filter(F.col("part") == f).select(key)
+            truth = positives.join(rows, key, "left_semi")
+            loss = multilabel_log_loss(p.join(rows, key, "left_semi"), truth, key, rows.count(), n_labels)
+            out.append((int(f), loss.first()["log_loss"]))
     return df.sparkSession.createDataFrame(out, "fold int, score double")
 
 
@@ -197,7 +310,6 @@ def greedy_feature_sets(
     clf: str,
     params: Mapping,
     folds: Sequence[int] = range(5),
-    folds_at_once: int = 2,
 ) -> DataFrame:
     """Try feature sets in order, keep one when it lowers the mean score:
     (step, name, mean_score, kept)."""
@@ -205,7 +317,7 @@ def greedy_feature_sets(
     best, rows = float("inf"), []
     with _persisted(df):
         for i, (name, recipe) in enumerate(candidates):
-            scores = cv_run(df, key, classes, recipe, clf, params, folds, folds_at_once)
+            scores = cv_run(df, key, classes, recipe, clf, params, folds)
             mean = fold_mean(scores, []).first()["mean_score"]
             kept = mean < best
             best = min(best, mean)

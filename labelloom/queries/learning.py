@@ -19,7 +19,7 @@ from labelloom.operators.splits import multilabel_stratified_kfold, train_valid_
 from labelloom.plans import scoring as P
 from labelloom.plans.project import feature_recipes
 from labelloom.plans.recipe import OneHot, Recipe, Scale
-from labelloom.plans.search import cv_run, greedy_feature_sets, grid_search, multilabel_cv
+from labelloom.plans.search import METRICS, evaluated, greedy_feature_sets, grid_search, multilabel_cv, out_of_fold
 from labelloom.queries.features import LEVELS, feature_folds
 from labelloom.queries.frames import (
     CELLS,
@@ -43,13 +43,15 @@ from labelloom.queries.frames import (
     samples,
     table,
     text_features,
+    vocabulary,
     with_,
 )
-from labelloom.queries.logistic import logistic_sql, proba, softmax_sql
+from labelloom.queries.logistic import logistic_many_sql, logistic_sql, proba, softmax_sql
 from labelloom.queries.profiles import CATS, NUMS, TOPK_SQL, TOTALS, top_classes
 from labelloom.queries.registry import query
 from labelloom.queries.rows import SIGNATURES
 from labelloom.roles import HIDDEN, Roles
+from labelloom.session import settle
 
 # ---- models: embedding label 0 against the rest, fitted outside fold 0, applied to fold 0
 
@@ -221,22 +223,20 @@ def _(spark, d):
             FEATURES,
             FOLDS,
             EMBEDDED,
-            "strength as (select model, 1.0::double as c from (values ('0'), ('1'), ('2')) t(model))",
-            "train as materialized (select model, x, (label = model::int)::int as y from embedded, strength where kfold <> 0)",
-            logistic_sql(64, 80),
+            "models as materialized (select i::varchar as model, 0 as part, i + 1 as k, 1.0::double as c from range(10) t(i))",
+            "train as materialized (select 0 as part, x, [(label = i)::int for i in range(10)] as ys from embedded where kfold <> 0)",
+            logistic_many_sql(64, 120),
         ]
     )
     + f"select vec_id, model as label, round({proba('w', 'x')}, 4) as p from embedded, weights where kfold = 0",
 )
 def _(spark, d):
-    classes = [str(i) for i in range(3)]
+    classes = [str(i) for i in range(10)]
     rows = assemble_vector(feature_folds(spark, d), ["c", "g"])
     rows = rows.withColumns({c: (F.col("label") == int(c)).cast("int") for c in classes})
     train, valid = train_valid_split(rows, 0)
-    train = train.select("features", *classes).persist()
-    models = fit_ovr(train, classes, [1.0] * 3, train.count(), tol=1e-9)
-    train.unpersist()
-    scored = score_ovr(valid.select("vec_id", "features"), models)
+    model = fit_ovr(train.select("features", *classes), classes, [1.0] * len(classes))
+    scored = score_ovr(valid.select("vec_id", "features"), model)
     return _rounded(predictions_long(scored, "vec_id", classes))
 
 
@@ -407,9 +407,8 @@ def _(spark, d):
     return R.param_grid(top_classes(spark, d).select(F.col("label").alias("class")), SEARCH_GRID)
 
 
-def order_cv(spark, d, classes):
+def order_cv(spark, d, classes, pos):
     """Samples with balanced folds and one 0/1 column per class."""
-    pos = positives(spark, d)
     folds = multilabel_stratified_kfold(keys(spark, d), pos, "o_orderkey")
     y = T.ovr_targets(keys(spark, d), pos, "o_orderkey", classes)
     return samples(spark, d).join(folds, "o_orderkey").join(y, "o_orderkey")
@@ -425,45 +424,51 @@ CV_SQL = [
     TOTALS,
     TOPK_SQL,
     SIGNATURES,
-    "top as (select label as class from topk order by n desc, pos limit 1)",
-    "truth as (select s.o_orderkey, kfold, class, case when class = 'hidden_class' then (p.n is null)::int else "
-    "coalesce(list_contains(p.labels, class), false)::int end as y, s.* exclude (o_orderkey) from samples s "
-    "join label_folds using (o_orderkey) left join (select o_orderkey, count(*) as n, list(label) as labels from positives "
-    "group by 1) p using (o_orderkey), top)",
+    "top as (select label as class, row_number() over (order by n desc, pos) as k from topk)",
+    "held as (select o_orderkey, list(label) as labels from positives group by 1)",
+    "targets as (select o_orderkey, list(case when class = 'hidden_class' then (labels is null)::int else "
+    "coalesce(list_contains(labels, class), false)::int end order by k) as ys "
+    "from samples left join held using (o_orderkey), top group by 1)",
+    "truth as (select s.*, kfold, ys from samples s join label_folds using (o_orderkey) join targets using (o_orderkey))",
     "fold as (select distinct kfold as f from label_folds)",
     "fit as (select f, "
     + ", ".join(f"avg({c}) as {c}_m, stddev_pop({c}) as {c}_s" for c in NUMS)
     + " from fold join truth on kfold <> f group by f)",
-    "matrix as materialized (select f, o_orderkey, kfold, class, y, ["
+    "matrix as materialized (select f, o_orderkey, kfold, ys, ["
     + ", ".join(f"({c} = '{v}')::int::double" for c, vs in LEVELS.items() for v in vs)
     + ", "
     + ", ".join(f"({c} - {c}_m) / {c}_s" for c in NUMS)
     + ", 1.0::double] as x from truth, fit)",
-    "strength as (select f as model, 1.0::double as c from fold)",
-    "train as materialized (select f as model, x, y from matrix where kfold <> f)",
+    "train as materialized (select f as part, x, ys from matrix where kfold <> f)",
+    "models as materialized (select f || '/' || class as model, f as part, k, 1.0::double as c from fold, top)",
 ]
+AUC_SQL = """(sum(case when y = 1 then rank_mid end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))"""
 
 
 @query(
     "cv_run",
     "with recursive "
-    + ", ".join([*CV_SQL, logistic_sql(17, 60)])
-    + f", scored as (select class, f as fold, y, {proba('w', 'x')} as p from matrix join weights on model = f where kfold = f) "
-    + f"select class, fold, round(avg({LOSS}), 6) as score from scored group by 1, 2",
+    + ", ".join([*CV_SQL, logistic_many_sql(17, 60)])
+    + f", scored as (select class, f as fold, ys[k] as y, {proba('w', 'x')} as p from matrix join weights on part = f "
+    "join top using (k) where kfold = f), ranked as (select *, rank() over (partition by class, fold order by p) + "
+    "(count(*) over (partition by class, fold, p) - 1) / 2.0 as rank_mid from scored) "
+    + f"select class, fold, round(avg({LOSS}), 6) as log_loss, round({AUC_SQL}, 5) as auc, "
+    "round(avg(((p > 0.5)::int = y)::int), 5) as accuracy from ranked group by 1, 2",
 )
 def _(spark, d):
-    """Hidden class among the 13 most frequent, balanced folds, one-hot and
-    scaling per fold, logistic regression, class log-loss per fold."""
-    top = [row["label"] for row in top_classes(spark, d).collect()]
-    best = top[0]
-    df = order_cv(spark, d, [best])
-    found = cv_run(df, "o_orderkey", [best], BASE, "log_reg", {"C": 1.0}, folds_at_once=5)
-    return found.withColumn("score", r("score", 6))
+    """The 12 most frequent classes and the hidden one, balanced folds, one-hot and scaling per fold, logistic
+    regression; three metrics per class and fold from one table of out-of-fold probabilities."""
+    pos = settle(positives(spark, d))  # read by the class choice, the folds and the targets
+    top = T.topk_classes(keys(spark, d), pos, vocabulary(spark, d), "o_orderkey", 12)
+    classes = [row["label"] for row in top.collect()]
+    df = settle(order_cv(spark, d, classes, pos))
+    found = evaluated(out_of_fold(df, "o_orderkey", classes, BASE, "log_reg", {"C": 1.0}), METRICS)
+    return found.withColumns({"log_loss": r("log_loss", 6), "auc": r("auc", 5), "accuracy": r("accuracy", 5)})
 
 
 def embedding_cv(spark, d):
     df = feature_folds(spark, d)
-    classes = ["0", "1"]
+    classes = [str(i) for i in range(10)]
     return df.withColumns({c: (F.col("label") == int(c)).cast("int") for c in classes}), classes
 
 
@@ -481,7 +486,7 @@ SEARCH_SQL = [
     "fit as (select f, pos, avg(v) as m, stddev_pop(v) as s from fold join raw on kfold <> f group by 1, 2)",
     "z as (select f, vec_id, kfold, pos, (v - m) / s as v from raw join fit using (pos))",
     "rows as (select f, vec_id, kfold, list(v order by pos) as x from z group by 1, 2, 3)",
-    "truth as (select vec_id, c as class, (label = c::int)::int as y from embeddings, (values ('0'), ('1')) t(c))",
+    "truth as (select vec_id, c as class, (label = c::int)::int as y from embeddings, (select i::varchar as c from range(10) r(i)) t)",
     "near as (select q.f, q.vec_id, t.vec_id as neighbour, row_number() over (partition by q.vec_id "
     "order by list_distance(q.x, t.x), t.vec_id) as rank from rows q join rows t on q.f = t.f and q.kfold = q.f and t.kfold <> t.f)",
     "knn as (select f, near.vec_id, class, 'knn' as clf, k as ordinal, 'n_neighbors=' || (2 * k + 2) || ',p=2' as params, "
@@ -509,30 +514,39 @@ SCORE_SQL = (
         [
             *SEARCH_SQL,
             "matrix as materialized (select f, vec_id, kfold, list_append(x, 1.0::double) as x from rows)",
-            "combos as (select f || '/' || class || '/' || o as model, f, class, o, c::double as c from fold, "
-            "(values ('0'), ('1')) t(class), (values (0, 0.001), (1, 0.01)) u(o, c))",
-            "strength as (select model, c from combos)",
-            "train as materialized (select model, x, y from combos join matrix using (f) join truth using (vec_id, class) "
-            "where kfold <> f)",
-            logistic_sql(64, 60),
-            "lr as (select f, vec_id, class, 'log_reg' as clf, o as ordinal, 'penalty=l2,C=' || c as params, "
-            f"{proba('w', 'x')} as p from combos join weights using (model) join matrix using (f) where kfold = f)",
-            "scored as (select * from knn where ordinal = 1 union all select * from nb union all select * from lr)",
+            "targets as (select vec_id, list(y order by class) as ys from truth group by 1)",
+            "train as materialized (select f as part, x, ys from matrix join targets using (vec_id) where kfold <> f)",
+            "models as materialized (select f || '/' || k || '/' || o as model, f as part, k, o, c::double as c from fold, "
+            "range(1, 11) t(k), (values (0, 0.001), (1, 0.01)) u(o, c))",
+            logistic_many_sql(64, 60),
+            "lr as (select f, vec_id, (m.k - 1)::varchar as class, 'log_reg' as clf, o as ordinal, 'penalty=l2,C=' || c as params, "
+            f"{proba('w', 'x')} as p from models m join weights using (model) join matrix on matrix.f = m.part where kfold = f)",
+            "scored as (select * from knn union all select * from nb union all select * from lr)",
         ]
     )
-    + SCORE_SQL.replace("ordinal::int as ordinal", "(case clf when 'knn' then 0 else ordinal end)::int as ordinal"),
+    + SCORE_SQL,
 )
 def _(spark, d):
+    """Every class; the combinations whose optimum SQL reaches."""
     df, classes = embedding_cv(spark, d)
     grid = {
         "log_reg": {"penalty": ["l2"], "C": [0.001, 0.01]},
-        "knn": {"n_neighbors": [4], "p": [2]},
+        "knn": {"n_neighbors": [2, 4], "p": [2]},
         "nb": {"dummy_param": [None]},
     }
     found = grid_search(df, "vec_id", classes, SCALED, grid, folds_at_once=5)
     return found.withColumn("score", r("score", 6))
 
 
+@query("grid_search_full")
+def _(spark, d):
+    """Every class with the linear, neighbour and Bayes part of the whole grid."""
+    df, classes = embedding_cv(spark, d)
+    grid = {clf: SEARCH_GRID[clf] for clf in ("log_reg", "knn", "nb")}
+    found = grid_search(df, "vec_id", classes, SCALED, grid, folds_at_once=5)
+    return found.withColumn("score", r("score", 6))
+
+
 @query(
     "grid_search_exact",
     "with "
@@ -589,7 +603,7 @@ def _(spark, d):
     y = T.ovr_targets(ids, truth, "doc_id", classes)
     df = df.drop("quality", "toxic").join(folds, "doc_id").join(y, "doc_id")
     recipe = Recipe([OneHot(["lang"]), Scale(scalars=["n_chars", "n_words"])], ["onehot", "scalars"])
-    found = multilabel_cv(df, "doc_id", classes, truth, 2, recipe, folds_at_once=5)
+    found = multilabel_cv(df, "doc_id", classes, truth, 2, recipe)
     return found.withColumn("score", r("score", 5))
 
 
@@ -650,7 +664,7 @@ def _(spark, d):
     df = df.withColumn("side", F.when(F.get("g", F.lit(0)) > 0, "left").otherwise("right"))
     roles = Roles("vec_id", ("half", "side"), ("c", "g"))
     return greedy_feature_sets(
-        df, "vec_id", classes[:1], feature_recipes(roles), "nb", {"dummy_param": None}, folds_at_once=5
+        df, "vec_id", classes, feature_recipes(roles), "nb", {"dummy_param": None}
     )
 
 

@@ -43,6 +43,36 @@ lr_steps as (
 weights as (select model, w from lr_steps where step = {steps})"""
 
 
+def logistic_many_sql(d: int, steps: int) -> str:
+    """The same for many models that share rows: from train(part, x, ys) and models(model, part, k, c) to
+    weights(model, w); model ``model`` learns ``ys[k]`` on the rows of its part. The bound is inverted once for
+    every (part, c)."""
+    n = d + 1
+    gradient = ", ".join(f"sum(e * x[{i}])" + (f" + w[{i}] / c" if i <= d else "") for i in range(1, n + 1))
+    pairs = ", ".join("[" + ", ".join(f"sum(x[{i}] * x[{j}]) / 4" for j in range(1, n + 1)) + "]" for i in range(1, n + 1))
+    return f"""lm_cross as materialized (select part, [{pairs}] as a from train group by part),
+lm_bound as (
+  select part, c, [[a[i][j] + case when i = j and i <= {d} then 1 / c else 0 end for j in range(1, {n + 1})] for i in range(1, {n + 1})] as a
+  from lm_cross join (select distinct part, c from models) using (part)),
+lm_scaled as materialized (select *, pow(list_max([list_sum([abs(v) for v in r]) for r in a]), 2) as size from lm_bound),
+lm_inverse as (
+  select part, c, 0 as step, a, [[v / size for v in r] for r in a] as b from lm_scaled
+  union all
+  select part, c, step + 1, a, [[b[i][j] + b[j][i] - (list_dot_product(b[i], ab[j]) + list_dot_product(b[j], ab[i])) / 2
+         for j in range(1, {n + 1})] for i in range(1, {n + 1})]
+  from (select part, c, step, a, b, [[list_dot_product(r, s) for r in a] for s in b] as ab from lm_inverse where step < 40)),
+lm_ready as materialized (select part, c, b from lm_inverse where step = 40),
+lm_steps as (
+  select model, part, k, c, 0 as step, [0.0::double for i in range({n})] as w from models
+  union all
+  select model, part, k, c, step + 1, [w[i] - list_dot_product(b[i], g) for i in range(1, {n + 1})]
+  from (select model, part, k, c, step, w, [{gradient}] as g
+        from (select s.*, t.x, 1 / (1 + exp(-list_dot_product(s.w, t.x))) - t.ys[s.k] as e
+              from lm_steps s join train t on t.part = s.part where s.step < {steps})
+        group by model, part, k, c, step, w) join lm_ready using (part, c)),
+weights as (select model, part, k, w from lm_steps where step = {steps})"""
+
+
 def proba(w: str, x: str) -> str:
     return f"(1 / (1 + exp(-list_dot_product({w}, {x}))))"
 

@@ -40,5 +40,5 @@ def test_query_without_sql_gives_rows(spark, name):
 
 def test_entry(spark):
     out = entry_points.entry(spark).collect()
-    assert sorted(r["fold"] for r in out) == [0, 1, 2, 3, 4]
-    assert all(0 < r["score"] < 1 for r in out)
+    assert sorted({r["fold"] for r in out}) == [0, 1, 2, 3, 4] and len(out) == 65
+    assert all(0 < r["log_loss"] < 1 and 0.5 < r["accuracy"] <= 1 and (r["auc"] is None or 0 <= r["auc"] <= 1) for r in out)
