@@ -147,8 +147,14 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def joined_payloads(spark: SparkSession, path: str, torn: DataFrame, known: DataFrame) -> DataFrame:
-    """(file, at, digest) of records whose payload holds magic strings: their cuts put together again."""
-    files = torn.select("file").distinct()
+    """(file, at, digest) of records whose payload holds magic strings: their cuts put together again.
+
+    Only the files that hold such records are read again; their list is written
+    first, so that its size is known before any payload is shuffled.
+    """
+    files = settle(torn.select("file").distinct())
+    if files.isEmpty():
+        return torn.select("file", "at", F.lit(None).cast("string").alias("mended"))
     rows = placed(
         cuts(spark, path).join(files, "file", "left_semi").withColumn("size", F.octet_length("value"))
     ).join(known.withColumn("own", F.lit(True)), ["file", "at"], "left")
