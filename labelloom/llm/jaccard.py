@@ -1,7 +1,7 @@
 """Exact Jaccard self-join on word shingles by rare-first prefix filtering.
 
 A text's set holds its distinct shingles (of four words unless told otherwise) as 64-bit hashes. All sets
-are ordered alike: first the shingles of one third of the hash space, rarest
+are ordered alike: first the shingles of one quarter of the hash space, rarest
 first, then the rest by hash. Two sets at the threshold share one of the first
 ``n - ceil(t n) + 1`` shingles in this (or any) order, so only those are joined,
 and only on shingles that two texts hold. A candidate pair must pass the
@@ -11,7 +11,7 @@ and only on shingles that two texts hold. A candidate pair must pass the
 - suffix filter (the sizes of 16 slices of the token space bound the difference of the sets),
 
 and is then verified once on the whole sets. The filter runs twice. Over all
-texts, frequencies are counted in a third of the space, which keeps the shuffle
+texts, frequencies are counted in a quarter of the space, which keeps the shuffle
 small and loses nothing, as any fixed order is exact. Over the texts that remain,
 every shingle is ranked, so what a text shares with no other one comes first.
 
@@ -38,7 +38,7 @@ from labelloom.session import settle
 
 SHINGLE = 4
 PERCENT = 85
-COUNTED = 3  # one in so many hashes is ranked by frequency
+COUNTED = 4  # one in so many hashes is ranked by frequency
 SLICES = 16
 
 
@@ -72,29 +72,31 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
-def sent_tokens(sets: DataFrame, percent: int, one_in: int) -> DataFrame:
-    """(h, doc, n, r, fixed): counted shingles (one in ``one_in``) (fixed 0) and, where they are fewer than the prefix, the next ones.
-
-    Filters come after the generator only: pushed below it, they would repeat the hashing.
-    """
+def with_tokens(sets: DataFrame, percent: int, one_in: int) -> DataFrame:
+    """``sets`` with r, the number of counted shingles (one in ``one_in``), and ``token``: those (fixed 0) and, where
+    they are fewer than the prefix, the next ones."""
+    own = [c for c in sets.columns if c != "s"]
     counted = F.filter("s", lambda x: F.pmod(x, F.lit(one_in)) == 0)
     prefix = (F.col("n") - needed(F.col("n"), percent) + 1).cast("int")
-    t = sets.select("doc", "s", "n", counted.alias("c"), prefix.alias("p"))
-    t = t.select("doc", "s", "n", "c", F.size("c").alias("r"), (F.col("p") - F.size("c")).alias("lack"))
+    t = sets.select(*own, "s", counted.alias("c"), prefix.alias("p"))
+    t = t.select(*own, "s", "c", F.size("c").alias("r"), (F.col("p") - F.size("c")).alias("lack"))
     others = F.sort_array(F.filter("s", lambda x: F.pmod(x, F.lit(one_in)) != 0))
     more = F.when(F.col("lack") > 0, F.slice(others, F.lit(1), F.greatest("lack", F.lit(0))))
-    t = t.select("doc", "n", "c", "r", F.coalesce(more, F.array().cast("array<long>")).alias("more"))
+    t = t.select(*own, "c", "r", F.coalesce(more, F.array().cast("array<long>")).alias("more"))
     token = F.concat(
         F.transform("c", lambda x: F.struct(x.alias("h"), F.lit(0).alias("fixed"))),
         F.transform("more", lambda x, k: F.struct(x.alias("h"), (F.col("r") + k + 1).alias("fixed"))),
     )
-    t = t.select("doc", "n", "r", F.explode_outer(token).alias("token"))
-    return t.select("token.h", "doc", "n", "r", "token.fixed").filter("h is not null")
+    return t.select(*own, "r", token.alias("token"))
+
 
+def postings(held: DataFrame, percent: int) -> DataFrame:
+    """(h, doc, n, pos): prefix shingles that at least two texts hold, at their places in the order.
 
-def postings(sets: DataFrame, percent: int, one_in: int) -> DataFrame:
-    """(h, doc, n, pos): prefix shingles that at least two texts hold, at their places in the order."""
-    tokens = sent_tokens(sets, percent, one_in)
+    Filters come after the generator only: pushed below it, they would repeat what made ``held``.
+    """
+    t = held.select("doc", "n", "r", F.explode_outer("token").alias("token"))
+    tokens = t.select("token.h", "doc", "n", "r", "token.fixed").filter("h is not null")
     shared = settle(
         tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     )
@@ -144,13 +146,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("i") >= percent * (F.col("a_n") + F.col("b_n") - F.col("i"))).select("a", "b")
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """(doc, n, rep): rep is the smallest id with the same set (the id itself for empty sets)."""
+def signed(sets: DataFrame) -> DataFrame:
+    """``sets`` with two hashes of the whole set."""
     s = F.sort_array("s")
-    marked = sets.select(
-        "doc", "n", F.xxhash64(s).alias("s1"), F.xxhash64(F.lit(1), s, F.col("n")).alias("s2")
-    )
-    marked = settle(marked)
+    return sets.select("*", F.xxhash64(s).alias("s1"), F.xxhash64(F.lit(1), s, F.col("n")).alias("s2"))
+
+
+def classes(marked: DataFrame) -> DataFrame:
+    """(doc, n, rep): rep is the smallest id with the same set (the id itself for empty sets)."""
     reps = marked.filter("n > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("rep"))
     out = marked.join(reps, ["s1", "s2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("rep")).otherwise(F.col("doc"))
@@ -161,17 +164,18 @@ def linked(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE
 ) -> DataFrame:
     """(doc, n, component) for every row."""
-    sets = shingled(docs, key, text, shingle)
-    member = settle(classes(sets))
+    # the only pass over all texts: hashes of the sets and the counted shingles are kept
+    held = settle(with_tokens(signed(shingled(docs, key, text, shingle)), percent, COUNTED))
+    member = settle(classes(held.select("doc", "n", "s1", "s2")))
     reps = member.filter("n > 0 and doc = rep").select("doc").distinct()
-    wide = postings(sets.filter("doc is not null"), percent, COUNTED).join(reps, "doc", "left_semi")
+    wide = postings(held.filter("doc is not null"), percent).join(reps, "doc", "left_semi")
     wide = settle(wide.select("h", "doc"))
     met = wide.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
     wanted = wide.join(met, "h", "left_semi").select("doc").distinct()
     kept = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
     kept = settle(shingled(kept, "doc", "text", shingle).withColumn("slices", slice_sizes(F.col("s"))))
     # only these texts can link: their shingles are now all ranked, by how many of these texts hold them
-    posted = settle(postings(kept, percent, 1).distinct())
+    posted = settle(postings(with_tokens(kept, percent, 1), percent).distinct())
     several = posted.groupBy("h").agg(F.min(F.struct("alone", "doc", "n", "pos")).alias("hub"), F.count("*").alias("m"))
     hubs = several.filter("m > 1").select("h", "hub.doc", "hub.n", "hub.pos")
     first = posted.alias("x").join(hubs.alias("y"), "h").filter(may_link("x", "y", percent))
