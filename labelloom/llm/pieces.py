@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.texts import numbered
-
 SAMPLES = 2
-CHUNK_CHARS = 3_000_000  # texts that share a lattice
+CHUNK_CHARS = 600_000  # texts that share a lattice
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "key long, sample int, ids array<int>, log_prob double, value double, log_inclusion double"
@@ -49,12 +48,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mixed(seeds: np.ndarray, *counters) -> np.ndarray:
+    for c in counters:
+        seeds = mix(seeds + np.atleast_1d(np.asarray(c)).astype(np.uint64) * BASE + BASE)
+    return seeds
+
+
 def uniform(seeds: np.ndarray, *counters) -> np.ndarray:
     """Numbers in (0, 1) that depend on the arguments only."""
-    z = seeds
-    for c in counters:
-        z = mix(z + np.atleast_1d(np.asarray(c)).astype(np.uint64) * BASE + BASE)
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return ((mixed(seeds, *counters) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Vocabulary:
@@ -72,18 +74,22 @@ class Vocabulary:
         self.byte_log = float(logs[-1]) - 2.0
         self.byte_id = np.array([self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int32)
         self.chars = [self.model.id_to_piece(i) for i in range(n)]
-        by_size: dict[int, list] = {}
+        # per length the pieces and the beginnings of longer ones (id -1): a look-up ends where nothing goes on
+        by_size: dict[int, dict[str, tuple[int, float]]] = {}
         for rank, i in enumerate(plain):
-            by_size.setdefault(len(self.chars[i]), []).append((i, logs[rank]))
+            piece = self.chars[i]
+            for size in range(1, len(piece)):
+                by_size.setdefault(size, {}).setdefault(piece[:size], (-1, 0.0))
+            by_size.setdefault(len(piece), {})[piece] = (i, float(logs[rank]))
         self.tables = {}
         for size, found in sorted(by_size.items()):
-            codes = np.array([[ord(c) for c in self.chars[i]] for i, _ in found], dtype=np.uint64)
+            codes = np.frombuffer("".join(found).encode("utf-32-le"), dtype=np.uint32).reshape(-1, size)
             h = np.zeros(len(found), dtype=np.uint64)
             for k in range(size):
                 h = h * BASE + codes[:, k]
             order = np.argsort(h)
-            ids = np.array([i for i, _ in found])[order]
-            self.tables[size] = (h[order], ids, np.array([p for _, p in found])[order])
+            ids = np.array([i for i, _ in found.values()], dtype=np.int32)[order]
+            self.tables[size] = (h[order], ids, np.array([p for _, p in found.values()])[order])
 
 
 class Lattice:
@@ -94,39 +100,48 @@ class Lattice:
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         owner = np.repeat(np.arange(len(words)), sizes)
         ends = np.cumsum(sizes)
-        left = ends[owner] - np.arange(len(code))  # characters from here to the word's end
+        left = (ends[owner] - np.arange(len(code))).astype(np.int32)  # characters from here to the word's end
         self.root = ends - sizes + np.arange(len(words))
         node = np.arange(len(code)) + owner  # one more node per word, its end
-        hashes = np.zeros(len(code), dtype=np.uint64)
-        sources, spans, pieces, logs = [], [], [], []
+        sources, spans, pieces, logs, slots = [], [], [], [], []
         single = np.zeros(len(code), dtype=bool)
-        for size in range(1, max(vocabulary.tables) + 1):
-            at = np.flatnonzero(left >= size)
+        degree = np.zeros(len(code), dtype=np.int32)  # edges that start here so far
+        at, hashes = np.arange(len(code)), np.zeros(len(code), dtype=np.uint64)
+        for size, (keys, ids, p) in vocabulary.tables.items():  # 1, 2, ... without a gap
+            if size > 1:
+                longer = left[at] >= size
+                at, hashes = at[longer], hashes[longer]
             if not len(at):
                 break
-            hashes[at] = hashes[at] * BASE + code[at + size - 1]
-            if size not in vocabulary.tables:
-                continue
-            keys, ids, p = vocabulary.tables[size]
-            k = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
-            hit = keys[k] == hashes[at]
-            at, k = at[hit], k[hit]
+            hashes = hashes * BASE + code[at + size - 1]
+            k = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hit = keys[k] == hashes
+            at, hashes, k = at[hit], hashes[hit], k[hit]
+            whole = ids[k] >= 0
+            start, k = at[whole], k[whole]
             if size == 1:
-                single[at] = True
-            sources.append(at), spans.append(np.full(len(at), size)), pieces.append(ids[k]), logs.append(p[k])
+                single[start] = True
+            slots.append(degree[start])
+            degree[start] += 1
+            sources.append(start), spans.append(np.full(len(start), size)), pieces.append(ids[k]), logs.append(p[k])
         alone = np.flatnonzero(~single)  # characters spelt in bytes
         c = code[alone]
         n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
         sources.append(alone), spans.append(np.ones(len(alone), dtype=np.int64))
-        pieces.append(-1 - c.astype(np.int64)), logs.append(n_bytes * vocabulary.byte_log)
-        source, span, piece, log = map(np.concatenate, (sources, spans, pieces, logs))
-        order = np.argsort(source, kind="stable")
+        pieces.append(-1 - c.astype(np.int32)), logs.append(n_bytes * vocabulary.byte_log)
+        slots.append(degree[alone])
+        degree[alone] += 1
+        source, span, piece, log, slot = map(np.concatenate, (sources, spans, pieces, logs, slots))
+        at = (np.cumsum(degree) - degree)[source] + slot  # by source, then in the order of their lengths
+        order = np.empty_like(at)
+        order[at] = np.arange(len(at))
         source, span, self.piece, log = source[order], span[order], piece[order].astype(np.int64), log[order]
         self.source, self.target = node[source], node[source] + span
         # backward sums, from the word ends to the starts
         mass = np.zeros(len(code) + len(words))
         distance = left[source]
-        by_distance = np.argsort(distance, kind="stable")
+        short = distance.astype(np.uint16) if len(distance) and distance.max() < 1 << 16 else distance
+        by_distance = np.argsort(short, kind="stable")
         cuts = np.searchsorted(distance[by_distance], np.arange(1, int(sizes.max(initial=0)) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             e = by_distance[a:b]
@@ -151,8 +166,9 @@ class Lattice:
         items, edges, active, step = [], [], np.arange(len(nodes)), 0
         nodes = nodes.copy()
         active = active[nodes != final]
+        drawn = mixed(seeds, place, np.int64(sample))
         while len(active):
-            u = uniform(seeds[active], place[active], np.int64(sample), np.int64(step))
+            u = uniform(drawn[active], np.int64(step))
             e = np.searchsorted(self.key, nodes[active] + u, side="right")
             items.append(active), edges.append(e)
             nodes[active] = self.target[e]
@@ -197,7 +213,7 @@ class Search:
         with np.errstate(divide="ignore"):
             rest = before[since:] + np.log1p(-np.minimum(taken, 1.0))
         rest[taken > 1 - 1e-12] = -np.inf
-        u = uniform(np.full(len(rest), self.seed), np.arange(len(rest)), np.int64(number), np.int64(1 << 40))
+        u = uniform(mixed(np.array([self.seed]), np.int64(number), np.int64(1 << 40)), np.arange(len(rest)))
         values = cut_off(rest, value, u)
         best = np.argpartition(-values, min(self.k, len(values) - 1))[: self.k + 1]  # more are never taken
         for s in best:
@@ -223,7 +239,10 @@ def segment(vocabulary: Vocabulary, texts: list[str], seeds: np.ndarray, k: int)
     cutter = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
     split = [cutter.findall(vocabulary.model.normalize(t)) if t else [] for t in texts]
     sizes = np.array([len(s) for s in split], dtype=np.int64)
-    codes, kinds = numbered(w for s in split for w in s)
+    kinds = dict.fromkeys(chain.from_iterable(split))
+    kinds = dict(zip(kinds, range(len(kinds))))
+    codes = np.fromiter(map(kinds.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+    kinds = list(kinds)
     lattice = Lattice(vocabulary, kinds)
     length = np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds))
     roots = lattice.root[codes]
