@@ -33,8 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CHUNK_CHARS = 2_000_000  # texts worked on together
-CHUNK_IDS = 1_000_000
+CHUNK_CHARS = 1_000_000  # texts worked on together
+CHUNK_IDS = 500_000
 WORDS = 40_000  # words of one recursive query
 MEMO = 500_000  # words whose ids are remembered
 LONG = 48
@@ -42,18 +42,19 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 PAIRED = """
     select s.*, rank, early, (rank << 32) | pos as code
-    from (select *, lead(token) over (partition by word order by pos) as following from step) s
+    from (select *, lead(token) over (partition by word order by pos) as following from step where not done) s
     left join merges on pair = (token << 20) | following
 """
 ONE_BY_ONE = f"""
 with recursive step(word, pos, token, done) as (
-    select word, pos, token, false from start_rows
+    select word::int, pos::smallint, token, false from start_rows
     union all
     select word, pos, case when code = least_code then rank else token end, least_code is null
     from (
         select *, lag(code) over (partition by word order by pos) as before,
-            min(code) over (partition by word) as least_code
-        from ({PAIRED}) where not done
+            min(code) over (partition by word order by pos rows between unbounded preceding and unbounded following)
+                as least_code
+        from ({PAIRED})
     ) where least_code is null or before is distinct from least_code
 )
 select word, token from step where done order by word, pos
@@ -73,7 +74,7 @@ with recursive step(word, pos, token, done) as (
                     from (
                         select *, coalesce(rank = least_code >> 32, false) as lowest,
                             row_number() over (partition by word order by pos) as place
-                        from (select *, min(code) over (partition by word) as least_code from ({PAIRED}) where not done)
+                        from (select *, min(code) over (partition by word) as least_code from ({PAIRED}))
                     )
                 )
             )
