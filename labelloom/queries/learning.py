@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelloom.functions.arrays import total
 from labelloom.models.bayes import fit_bayes
 from labelloom.models.linear import fit_margin, logistic, multinomial
+from labelloom.models.lsh import knn_lsh
 from labelloom.models.neighbours import knn_proba, neighbours
 from labelloom.models.ovr import fit_ovr, predictions_long, score_ovr
 from labelloom.models.trees import boosted, forest, single_tree
@@ -173,6 +174,15 @@ def _(spark, d):
     return knn_proba(near, labels, "vec_id", 4)
 
 
+@query("knn_lsh")
+def _(spark, d):
+    train, valid = train_valid_split(feature_folds(spark, d), 0)
+    x = F.concat("c", "g").alias("x")
+    near = knn_lsh(train.select("vec_id", x), valid.select("vec_id", x), "vec_id", "x", 4)
+    labels = train.select("vec_id", F.col("label").cast("string").alias("label"))
+    return knn_proba(near, labels, "vec_id", 4)
+
+
 @query(
     "knn_neighbours_p3",
     with_(
