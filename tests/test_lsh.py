@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.models.lsh import buckets, knn_lsh
+from labelloom.models.lsh import buckets, cell_width, knn_lsh
 from labelloom.models.neighbours import neighbours
 from labelloom.queries import queries
 
@@ -40,11 +40,11 @@ def test_recall_and_visited_share(spark, grouped):
     assert np.allclose(both["distance"], both["distance_exact"], rtol=1e-12)
 
 
-def test_buckets_hold_what_is_near(grouped):
-    """A narrow cell is looked up in few rows, and the probes find what fell over a border."""
+def test_buckets_hold_what_is_near(spark, grouped):
+    """The width fitted to the sample meets few rows, and the probes find what fell over a border."""
     x, q = grouped[200:], grouped[:200]
     squares = ((q[:, None] - x[None]) ** 2).sum(axis=2)
-    width = 2 * float(np.median(np.sqrt(squares.min(axis=1))))
+    width = cell_width(frame(spark, x), 1, 0.95, 8, 10, 30, 0)
     own = buckets(x, width, 8, 10)
     shares = []
     for probes in (0, 30):
