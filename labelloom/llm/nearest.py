@@ -12,7 +12,8 @@ exactly. Largest inner product is turned into smallest distance by one more
 coordinate that gives all vectors the same norm.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part; rows equal in id and vector count once; a row whose id
+components take no part; lengths whose squares over- or underflow are scaled first (a product beyond the
+doubles is infinite, one of infinities of both signs comes last); rows equal in id and vector count once; a row whose id
 is the query's is no candidate; vectors only meet those of their dimension; ties
 go to the smaller id; fewer candidates than k are all returned; no vectors, no rows.
 """
@@ -49,10 +50,11 @@ class Block:
     """The sorted arrays over one block of vectors."""
 
     def __init__(self, vectors: np.ndarray):
-        norms = np.linalg.norm(vectors, axis=1)
+        scaled = vectors / np.abs(vectors).max()  # no square overflows; what underflows is next to zero here
+        norms = np.linalg.norm(scaled, axis=1)
         top = norms.max()
         rest = np.sqrt(np.maximum(0, 1 - (norms / top) ** 2))
-        values = np.column_stack([vectors / top, rest]) @ directions(vectors.shape[1] + 1)
+        values = np.column_stack([scaled / top, rest]) @ directions(vectors.shape[1] + 1)
         self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(values.T, self.order, 1)
         self.width = START * float(values.std(axis=0).mean()) or 1.0
@@ -68,7 +70,8 @@ class Block:
         """Yields (query, positions of its candidates)."""
         n, total = len(self.vectors), PROJECTIONS
         need, wanted = int(np.ceil(SHARE * total)), min(n, max(LEAST, int(np.ceil(VERIFIED * n))))
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         at = np.column_stack([unit, np.zeros(len(queries))]) @ directions(queries.shape[1] + 1)
         active, half = np.arange(len(queries)), self.width
         low, high = self.windows(at, half)
@@ -103,7 +106,9 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFr
             part = wanted[start : start + step]
             for q, hit in block.candidates(part):
                 hit = hit[ids[hit] != qids[start + q]]
-                score = np.einsum("ij,j->i", vectors[hit], part[q])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = np.einsum("ij,j->i", vectors[hit], part[q])
+                score[np.isnan(score)] = -np.inf
                 best = np.lexsort((ids[hit], -score))[:k]
                 out.append((np.full(len(best), qids[start + q]), ids[hit][best], score[best]))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]

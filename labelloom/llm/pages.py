@@ -8,13 +8,15 @@ alike, all lines are content. All lines of every region (outermost article or
 main, or other sectioning element outside these) that holds a content line (not
 one that only its neighbours lift) or is an article or main are the text, so that a short paragraph between long ones
 stays. Elements that never hold an article (menus,
-headers, footers, asides, forms, scripts, adverts, notices, comments) are left out; a class or id names one when all its hyphenated
-parts do, so ``has-sidebar`` and ``related-work`` do not.
+headers, footers, asides, scripts, adverts, notices, comments) are left out, and so are forms, but one outside
+articles that holds an article, main, nav or footer, as server pages do. A class or id names one when all its hyphenated
+parts do (holders such as container or section at the end do not matter), so ``has-sidebar`` and ``related-work`` do not.
 
 Defined cases: a null or empty page and one without content have the empty
 text; an unclosed p, li, dt, dd,
 cell or row ends where HTML ends it, other unclosed and stray tags are tolerated; pages are read whole whatever
-their length; repeated rows give repeated results; other columns are carried along.
+their length; repeated rows give repeated results; other columns are carried along,
+a column named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -38,16 +40,21 @@ BLOCKS = frozenset(
 )
 REGIONS = frozenset("article main section div td body".split())
 NEVER = frozenset(
-    "nav footer aside form script style noscript template button select option textarea input label iframe object "
-    "svg canvas head title dialog menu audio video map math datalist fieldset".split()
+    "nav footer aside script style noscript template button select option textarea input label iframe object "
+    "svg canvas head title dialog menu audio video map annotation annotation-xml datalist fieldset".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo cookie cookies consent notice alert "
-    "popup modal newsletter subscribe sidebar menu navbar navigation breadcrumb breadcrumbs header footer masthead "
+    "popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer masthead "
     "comment comments disqus respond replies related share sharing social widget toolbar pagination skip".split()
 )
-PLACES = frozenset("site top bottom left right box bar list links buttons slot unit block area".split())  # say nothing alone
+PLACES = frozenset(
+    "site top bottom left right box bar list links buttons slot unit block area main user reader global primary secondary".split()
+)  # say nothing alone
+HOLDERS = frozenset("section container wrapper wrap inner outer holder panel thread".split())  # nor do these, as the last part
+REMARKS = frozenset("comment comments disqus respond replies reply ad ads advert advertisement sponsored".split())  # of an article
+SERVED = frozenset("article main nav footer".split())  # a form that holds one is the page's own
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split()
 )
@@ -68,29 +75,32 @@ for _tag, _ended in {"td": _CELL, "th": _CELL, "tr": _ROW, "tbody": _GROUP, "the
     ENDS[_tag].append((_ended, frozenset(("table", "template"))))
 
 
-def names_boilerplate(name: str) -> bool:
-    """Whether a class or id is one of the words, or made of them and of words for places."""
-    parts = set(name.replace("_", "-").split("-")) - {""}
-    return not WORDS.isdisjoint(parts) and parts <= WORDS | PLACES
+def names_boilerplate(name: str, words: frozenset[str] = WORDS) -> bool:
+    """Whether a class or id is one of the words, or made of them and of words for places and holders."""
+    parts = [p for p in name.replace("_", "-").split("-") if p]
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    return not words.isdisjoint(parts) and words | WORDS | PLACES >= set(parts)
 
 
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
     if tag in NEVER or (tag == "header" and not inside_article):
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
+    words = REMARKS if tag == "article" else WORDS
     for name, value in attrs:
         if not value:
             continue
-        if name == "role" and value.strip().lower() in ROLES:
+        if name == "role" and tag != "article" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and any(map(names_boilerplate, value.lower().split())):
+        if name in ("class", "id") and any(names_boilerplate(v, words) for v in value.lower().split()):
             return True
-    return any(name == "hidden" for name, _ in attrs)
+    return tag != "article" and any(name == "hidden" for name, _ in attrs)
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags around it, region) per line."""
+    """Collects (text, tags around it, region, form) per line; form 0 is none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -99,7 +109,10 @@ class Lines(HTMLParser):
         self.count: Counter[str] = Counter()  # open elements per tag
         self.tags, self.regions, self.articles = 0, 0, 0
         self.main_regions: set[int] = set()  # regions that are an article or main
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.form, self.forms = 0, 0  # forms do not nest: a form inside one is no element
+        self.inside = False  # whether the open form is inside an article
+        self.served: set[int] = set()  # forms that hold the page
 
     def _here(self) -> tuple[bool, int]:
         return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
@@ -108,7 +121,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.buffer).split())
         self.buffer.clear()
         if text:
-            self.lines.append((text, self.tags, self._here()[1]))
+            self.lines.append((text, self.tags, self._here()[1], self.form))
             self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -121,6 +134,11 @@ class Lines(HTMLParser):
                 self.buffer.append(" ")
             return
         left_out, region = self._here()
+        if tag == "form" and not self.form:
+            self.forms += 1
+            self.form, self.inside = self.forms, self.articles > 0
+        elif tag in SERVED and self.form and not left_out and not self.inside:
+            self.served.add(self.form)
         left_out = left_out or is_boilerplate(tag, attrs, self.articles > 0)
         if tag in REGIONS and not self.articles:
             self.regions += 1
@@ -135,6 +153,8 @@ class Lines(HTMLParser):
         for tag, _, _ in self.open[at:]:
             self.count[tag] -= 1
             self.articles -= tag in ("article", "main")
+            if tag == "form" and not self.count[tag]:
+                self.form = 0
         del self.open[at:]
 
     def _end_unclosed(self, tag: str) -> None:
@@ -202,9 +222,16 @@ def main_text(html: str | None) -> str:
         parser.feed(html[start : start + SLICE])
     parser.close()
     parser.cut()
-    if not parser.lines:
+    lines, skipped = [], 0
+    for text, n, region, form in parser.lines:
+        if form and form not in parser.served:
+            skipped += n  # the tags of what is left out are around the next line
+        else:
+            lines.append((text, n + skipped, region))
+            skipped = 0
+    if not lines:
         return ""
-    texts, tags, regions = zip(*parser.lines, strict=True)
+    texts, tags, regions = zip(*lines, strict=True)
     sizes = np.array([len(t) for t in texts], dtype=float)
     own = sizes / np.maximum(1, np.array(tags))
     ratio = smoothed(own)
@@ -219,7 +246,5 @@ def texts_of(html: pd.Series) -> pd.Series:
 
 
 def with_text(df, html: str = "html", name: str = "text"):
-    """``df`` with the column ``name`` added (it must not exist yet)."""
-    if name in df.columns:
-        raise ValueError(f"the table already has a column {name}")
+    """``df`` with the column ``name`` added; one of that name is replaced."""
     return df.withColumn(name, F.pandas_udf(texts_of, "string")(F.col(html)))

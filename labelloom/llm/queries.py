@@ -237,10 +237,10 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 URL_SQL = """
 with captures as (
     select distinct page_id, url, date '2024-01-01' + (page_id % 360)::int as fetched,
-        lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as host
+        lower(regexp_extract(url, '^\\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/:?#@]*[^/:?#@.])', 1)) as host
     from pages
 ), hosts as (
-    select lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) as pattern,
+    select lower(regexp_extract(url, '^\\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/:?#@]*[^/:?#@.])', 1)) as pattern,
         date '2024-01-01' + (min(page_id) % 180)::int as day, count(*) as n
     from pages group by 1 having pattern <> ''
 ), spam as (

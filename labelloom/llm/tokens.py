@@ -156,8 +156,6 @@ def token_counts(path: str):
 
 
 def with_tokens(df, path: str, text: str = "text", name: str = "n_tokens"):
-    """``df`` with the column ``name`` added (it must not exist yet)."""
-    if name in df.columns:
-        raise ValueError(f"the table already has a column {name}")
+    """``df`` with the column ``name`` added; one of that name is replaced."""
     counted: Column = token_counts(path)(F.col(text))
     return df.withColumn(name, counted)

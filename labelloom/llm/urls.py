@@ -4,9 +4,11 @@ A list is a log of dated entries (pattern, action, since). Per pattern an entry
 holds until the next one; ``remove`` ends it without a successor. A capture is
 looked up under all keys its URL has: the host and its parent domains (``host``
 patterns), and the host with each leading part of the path (``host/path/``).
-The longest active pattern decides, ``block`` before ``allow`` on a tie.
+Only keys of a length that some pattern has are built, so a long path costs no more than
+the list asks for. The longest active pattern decides, ``block`` before ``allow`` on a tie.
 
-Defined cases: a null URL, one without a host and a null fetch time match
+Defined cases: user names, ports, trailing dots of the host, blanks before the URL and a
+missing scheme (``//host/``) do not hide a host; a null URL, one without a host and a null fetch time match
 nothing; of entries of one pattern and date the greatest action name counts;
 captures equal in id, URL and time give one row; an empty list leaves all
 captures undecided; further columns of either table are ignored.
@@ -18,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelloom.llm.texts import index_range
+_START = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+HOST = _START + r"(?:[^/?#]*@)?([^/:?#@]*[^/:?#@.])"
+PATH = _START + r"[^/?#]+/([^?#]*)"
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -33,20 +37,33 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1))
+    """Lower-case host without user, port and trailing dots; the scheme may be missing."""
+    return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def keys(url: Column) -> Column:
-    """All patterns that would cover the URL."""
+def depths(patterns: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of labels of the host patterns and of path parts of the others: as many numbers
+    as the longest pattern has parts, at most."""
+    parts = F.size(F.split("pattern", "/"))
+    path = parts > 1
+    n = F.when(path, parts - 2).otherwise(F.size(F.split("pattern", "\\.")))
+    found = patterns.select(path.alias("path"), n.alias("n")).distinct().filter("n > 0").collect()
+    return tuple(sorted(r["n"] for r in found if r["path"] == p) for p in (False, True))
+
+
+def keys(url: Column, host_depths: list[int], path_depths: list[int]) -> Column:
+    """The patterns of these depths that would cover the URL."""
+    numbers = lambda ns: F.array(*[F.lit(n) for n in ns]).cast("array<int>")
     name = host(url)
     labels = F.split(name, "\\.")
     domains = F.transform(
-        index_range(F.size(labels)), lambda i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")
+        F.filter(numbers(host_depths), lambda n: n <= F.size(labels)),
+        lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."),
     )
-    path = F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1))
-    parts = F.split(path, "/")
+    parts = F.split(F.lower(F.regexp_extract(url, PATH, 1)), "/")
     prefixes = F.transform(
-        index_range(F.size(parts) - 1), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, 1, i + 1), "/"), F.lit("/"))
+        F.filter(numbers(path_depths), lambda n: n < F.size(parts)),
+        lambda n: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")),
     )
     return F.when(name != "", F.concat(domains, prefixes))
 
@@ -56,8 +73,8 @@ def decided(captures: DataFrame, entries: DataFrame, key: str, url: str, fetched
     seen = captures.select(
         F.col(key).alias("id"), F.col(url).alias("url"), F.col(fetched).alias("fetched")
     ).distinct()
-    looked = seen.select("*", F.explode_outer(keys(F.col("url"))).alias("pattern"))
     active = intervals(entries)
+    looked = seen.select("*", F.explode_outer(keys(F.col("url"), *depths(active))).alias("pattern"))
     met = looked.join(
         active,
         (looked.pattern == active.pattern)

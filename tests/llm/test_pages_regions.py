@@ -42,3 +42,38 @@ def test_class_names():
         assert pages.is_boilerplate("div", [("class", f"x {name}")], False)
     for name in ("has-sidebar", "related-work", "no-comments", "address", "top-left"):
         assert not pages.is_boilerplate("div", [("class", f"x {name}")], False)
+
+
+@pytest.mark.parametrize(
+    "name", ["comments-section", "user-comments", "ad-container", "cookie-wrapper", "main-nav", "nav", "comment-list-inner"]
+)
+def test_holders_of_boilerplate_inside_main(name):
+    page = f"<main><h1>T</h1><p>{A}</p><div class='{name}'><p>hidden words of some length here</p></div><p>{B}</p></main>"
+    assert pages.main_text(page) == f"T\n{A}\n{B}"
+    assert pages.main_text(page.replace("class", "id")) == f"T\n{A}\n{B}"
+
+
+def test_holders_alone_say_nothing():
+    for name in ("section", "container", "main", "user", "wrapper", "content-wrapper", "main-content", "article-section"):
+        assert pages.main_text(f"<main><div class='{name}'><p>{A}</p></div></main>") == A
+
+
+def test_remarks_as_articles():
+    page = f"<article class=post><p>{A}</p></article><article class='comment'><p>{B}</p></article><article id=reply><p>{B}</p></article>"
+    assert pages.main_text(page) == A
+    assert pages.main_text(f"<article class='notice header'><p>{A}</p></article>") == A
+
+
+def test_forms():
+    fields = "<label>hidden</label><p>hidden text of the form</p><button>hidden</button>"
+    served = f"<body><form action=x><nav>hidden</nav><div><p>{A}</p><p>{B}</p></div><footer>hidden</footer></form>"
+    assert pages.main_text(served) == f"{A}\n{B}"
+    assert pages.main_text(f"<form><article><p>{A}</p><label>hidden</label></article></form>") == A
+    assert pages.main_text(f"<article><p>{A}</p><form>{fields}<footer>hidden</footer></form><p>{B}</p></article>") == f"{A}\n{B}"
+    assert pages.main_text(f"<div><p>{A}</p></div><form>{fields}</form>") == A
+    assert pages.main_text(f"<form>{fields}</form>") == ""
+
+
+def test_formula_in_a_sentence():
+    formula = "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x hidden</annotation></math>"
+    assert pages.main_text(f"<p>So {formula} holds, {A}</p>") == f"So x=1 holds, {A}"
