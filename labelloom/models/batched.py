@@ -26,6 +26,7 @@ BLOCK_ROWS = 8192
 FAN = 64  # partial sums the driver adds up at once
 MEMORY = 12  # steps the quasi-Newton method remembers
 CURVATURE_NUMBERS = 2_000_000  # second derivatives of a part that one pass may return
+FLAT = 1e-12  # relative difference of two objectives that rounding of their sums may hide
 BLOCKS = "part int, n long, x binary, y binary"
 
 
@@ -133,7 +134,9 @@ class Descent:
     limited-memory quasi-Newton steps whose metric is the inverse of a fixed
     bound of the curvature (a quarter of the features' cross products plus the
     penalty), so a plain step in it always descends. Steps that do not lower
-    the objective enough are halved.
+    the objective enough are halved. Where two values differ by less than the
+    rounding of their sums, the slope at the trial decides instead: it is exact
+    to many more digits, and a value's noise would halve steps without end.
     """
 
     def __init__(self, start: np.ndarray, metric: np.ndarray, ridge: np.ndarray, tol: float):
@@ -148,7 +151,11 @@ class Descent:
         value = loss + 0.5 * float(self.ridge @ self.trial**2)
         gradient = gradient + self.ridge * self.trial
         if self.at is not None:
-            if value > self.value + 1e-4 * self.step * self.slope + 4e-16 * abs(self.value):
+            if abs(value - self.value) <= FLAT * abs(self.value):
+                short = gradient @ self.direction > (2e-4 - 1) * self.slope
+            else:
+                short = value > self.value + 1e-4 * self.step * self.slope
+            if short:
                 if self.step < 0.1 and self.pairs:
                     self.pairs.clear()  # the plain step, which descends
                     self._aim(1.0)

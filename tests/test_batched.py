@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.models import batched as B
+from labelloom.models.batched import Descent
 from labelloom.models.factory import fit_predict
 from labelloom.models.neighbours import neighbours
 from labelloom.operators import metrics as M
@@ -174,3 +175,18 @@ def test_a_query_with_nan_keeps_its_neighbours(spark):
     query = spark.createDataFrame([(50, [float("nan"), 1.0]), (51, [8.0, 0.0])], "id int, x array<double>")
     near = neighbours(train, query, "id", "x", 3, 2, 4).orderBy("id", "rank").collect()
     assert [(r["id"], r["neighbour"]) for r in near] == [(50, 0), (50, 1), (50, 2), (51, 8), (51, 7), (51, 6)]
+
+
+def test_rounding_of_the_objective_does_not_stop_a_model():
+    model = Descent(np.array([1.0 + 5e-8]), np.eye(1), np.zeros(1), 1e-8)
+    for noise in (0.0, 3e-15):  # the second value is rounded up, though the gradient is 0 there
+        model.told(0.3 + noise, model.trial - 1.0)
+    assert model.done and model.at[0] == 1.0
+
+
+def test_steep_directions_are_still_halved():
+    model = Descent(np.array([3.0]), np.full((1, 1), 4.0), np.zeros(1), 1e-8)
+    for _ in range(200):
+        if not model.done:
+            model.told(0.5 * float(model.trial @ model.trial), model.trial)
+    assert model.done and abs(model.at[0]) < 1e-8
