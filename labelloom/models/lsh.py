@@ -217,5 +217,5 @@ def knn_lsh(
     rest = given[1].join(full, "id", "left_anti")
     if rest.isEmpty():
         return out
-    exact = neighbours(given[0], rest, "id", "x", k, 2, block_rows)
+    exact = neighbours(given[0], rest, "id", "x", k, 2)
     return out.unionByName(exact.withColumnRenamed("id", key))
