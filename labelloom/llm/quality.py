@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.texts import SPACE_CHARS, joined_hashes, packed, whole, word_hashes, words
+from labelloom.operators.joins import lookup_join
+from labelloom.operators.ordering import running_total
 from labelloom.session import settle
 
 BUCKETS = 1 << 14  # size of both multinomials, whatever the corpus
-TRUSTED_DOCS = 20_000  # trusted texts the target is fitted on, chosen by a hash of the id
 PRIOR = 1_000.0  # pseudo-counts that pull the target towards the corpus
 THRESHOLD = -0.25  # mean log ratio a kept document reaches, where the labels are too few to derive one
 LEAST_LABELLED = 20  # documents of either label that a derived threshold needs
-LABELLED_DOCS = 20_000  # documents of each label it is derived from, chosen by a hash of the id
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -76,17 +76,16 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return t.select("*", ((F.col("n_words") < MIN_WORDS) | repeats).alias("base_failed"))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_DOCS) -> DataFrame:
-    """At most ``limit`` distinct ids of documents labelled good, in the order of a hash."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The distinct ids of all documents labelled good."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row: ``ratio``, the log ratio of each bucket (0 where the corpus has none)."""
+    good = trusted.select(F.col("doc_id").alias("doc"), F.lit(1).alias("good"))
     marked = (
-        docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-        .join(F.broadcast(trusted.select(F.col("doc_id").alias("doc"), F.lit(1).alias("good"))), "doc", "left")
+        lookup_join(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), good, "doc")
         .select(F.coalesce("good", F.lit(0)).alias("good"), word_hashes(whole("text")).alias("h"))
         .select("good", "h", joined_hashes(F.col("h"), F.col("h"), 1).alias("h2"))
     )
@@ -144,19 +143,42 @@ def least_error_cut(junk: np.ndarray, good: np.ndarray) -> float:
     return float(cuts[np.lexsort((cuts, -gaps, errors))[0]])
 
 
+def least_error_threshold(rows: DataFrame) -> float | None:
+    """``least_error_cut`` of any number of rows (label, score), by running counts over the distributed order of scores;
+    None where fewer than ``LEAST_LABELLED`` have either label."""
+    counts = rows.groupBy("score").agg(
+        F.sum((F.col("label") == 0).cast("long")).alias("junk"),
+        F.sum((F.col("label") == 1).cast("long")).alias("good"),
+        F.lit(1).cast("long").alias("at"),
+    )
+    ranked = running_total(counts, ["score"], ["junk", "good", "at"])
+    sums = ranked.agg(F.sum("junk").alias("junk"), F.sum("good").alias("good"), F.min("score").alias("least")).first()
+    if min(sums["junk"] or 0, sums["good"] or 0) < LEAST_LABELLED:
+        return None
+    # cuts above a score and not above the next one: junk beyond it is kept, good up to it is dropped
+    errors = F.lit(sums["junk"]) - F.col("cum_junk") + F.col("cum_good")
+    above = ranked.select("score", errors.alias("errors"), "cum_at")
+    fewest = above.agg(F.min("errors")).first()[0]
+    if sums["junk"] < fewest:
+        return sums["least"]  # everything is kept
+    following = ranked.select((F.col("cum_at") - 1).alias("cum_at"), F.col("score").alias("high"))
+    cuts = above.filter(F.col("errors") == fewest).join(following, "cum_at", "left")
+    best = cuts.orderBy(F.coalesce(F.col("high") - F.col("score"), F.lit(0.0)).desc(), "score").first()
+    if best["high"] is None:  # only the cut beyond the last score
+        return sums["least"] if sums["junk"] == fewest else float(np.nextafter(best["score"], np.inf))
+    middle = (best["score"] + best["high"]) / 2
+    return middle if middle > best["score"] else best["high"]
+
+
 def fit_threshold(docs: DataFrame, labels: DataFrame, ratio: DataFrame, key: str = "doc_id", text: str = "text") -> float:
-    """The least-error cut between the labels; of contradicting labels the worse counts. Only scores reach the driver."""
+    """The least-error cut between all labelled documents; of contradicting labels the worse counts."""
     each = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     each = each.groupBy(F.col("doc_id").alias("doc")).agg(F.min("quality").alias("label"))
-    order = (F.xxhash64("doc"), F.col("doc"))
-    some = [each.filter(F.col("label") == x).orderBy(*order).limit(LABELLED_DOCS) for x in (0, 1)]
-    chosen = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(F.broadcast(some[0].unionByName(some[1])), "doc")
-    # no filter here: pushed below the measures, it would repeat them
-    rows = scored(chosen, ratio).select(F.col("row.label").alias("label"), "base_failed", "score").collect()
-    junk, good = (
-        np.array([r["score"] for r in rows if r["label"] == x and not r["base_failed"]], dtype=float) for x in (0, 1)
-    )
-    return least_error_cut(junk, good) if min(len(junk), len(good)) >= LEAST_LABELLED else THRESHOLD
+    chosen = lookup_join(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), each, "doc", "inner")
+    # written before the filter: pushed below the measures, it would repeat them
+    rows = settle(scored(chosen, ratio).select(F.col("row.label").alias("label"), "base_failed", "score"))
+    found = least_error_threshold(rows.filter(~F.col("base_failed")))
+    return THRESHOLD if found is None else found
 
 
 def judge(
