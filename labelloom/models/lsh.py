@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelloom.models.neighbours import BLOCK_ROWS, neighbours
+from labelloom.models.neighbours import BLOCK_ROWS, nearest_rows, neighbours
 from labelloom.operators.joins import lookup_join
 from labelloom.roles import named
 from labelloom.session import settle
@@ -21,6 +21,7 @@ ASKED = 256  # of them are queries
 WIDTHS = (0.5, 0.75, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0)  # over the median distance to the k-th neighbour
 PAIRS = 1 << 20  # distances held at a time; one bucket of one query may exceed it by block_rows
 CHUNK = 1024  # vectors probed at a time
+DENSE = 4096  # pairs of a bucket from which on it is searched by matrix products
 
 
 @lru_cache(maxsize=4)
@@ -114,18 +115,31 @@ def _first_per_query(found: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def _nearest_of_cell(t: pd.DataFrame, q: pd.DataFrame, k: int) -> pd.DataFrame:
     """(key, neighbour, squared distance): the k nearest of every query among the rows of this cell
-    that share one of its buckets. About ``PAIRS`` distances are held at a time."""
+    that share one of its buckets. Buckets of ``DENSE`` pairs are searched by matrix products, the pairs of
+    smaller ones are measured together, about ``PAIRS`` distances at a time."""
     kept = pd.DataFrame({"key": q["id"].iloc[:0], "neighbour": q["id"].iloc[:0], "distance": np.zeros(0)})
     if t.empty or q.empty:
         return kept
-    t = t.sort_values("bucket", kind="stable")
+    t, q = t.sort_values(["bucket", "id"]), q.sort_values("bucket", kind="stable")
     held, wanted = t["bucket"].to_numpy(), q["bucket"].to_numpy()
     low, high = np.searchsorted(held, wanted, "left"), np.searchsorted(held, wanted, "right")
-    x, y = np.vstack(t["x"].to_numpy()).T.copy(), np.vstack(q["x"].to_numpy()).T.copy()
+    x, y = np.vstack(t["x"].to_numpy()), np.vstack(q["x"].to_numpy())
     t_id, q_id = t["id"].to_numpy(), q["id"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1]]))
+    stops = np.concatenate([starts[1:], [len(wanted)]])
+    large = np.flatnonzero((stops - starts) * (high - low)[starts] >= DENSE)
+    parts, small = [], np.ones(len(q), dtype=bool)
+    for a, b in zip(starts[large], stops[large], strict=True):
+        qi, ti, d = nearest_rows(x[low[a] : high[a]], y[a:b], k, 2)
+        parts.append(pd.DataFrame({"key": q_id[a + qi], "neighbour": t_id[low[a] + ti], "distance": d}))
+        small[a:b] = False
+    if parts:
+        kept = _first_per_query(pd.concat(parts), k)
+    q_id, low, high, y = q_id[small], low[small], high[small], y[small]
+    x, y = x.T.copy(), y.T.copy()
     ends = np.cumsum(high - low)
     start = 0
-    while start < len(q):
+    while start < len(q_id):
         done = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
         n = (high - low)[start:stop]
