@@ -4,8 +4,10 @@ Rows are packed once into blocks of numbers, one block table for all folds
 (``part``). A pass over the blocks takes the coefficients of every model still
 at work, one matrix per part, and returns loss and gradient of all of them: the
 number of jobs is that of the slowest model and does not grow with classes,
-strengths or folds. Only coefficients, gradients and cross products of the
-features meet the driver, never rows.
+strengths or folds. Where the features of two folds differ by an affine map
+only, the rows are packed once for all folds (``views``) and their products are
+formed once for all models. Only coefficients, gradients and cross products of
+the features meet the driver, never rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from labelloom.models.bayes import SMOOTHING
 from labelloom.roles import named
 
 BLOCK_ROWS = 8192
+PIECE = 512  # rows whose products are formed at a time
+NARROW = 64  # columns up to which the products of all pairs of columns are formed once for all models
 FAN = 64  # partial sums the driver adds up at once
 MEMORY = 12  # steps the quasi-Newton method remembers
 CURVATURE_NUMBERS = 2_000_000  # second derivatives of a part that one pass may return
@@ -68,8 +72,8 @@ def packed(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
     return given.mapInArrow(pack, BLOCKS)
 
 
-def summed(blocks: DataFrame, measure: Callable[[int, np.ndarray, np.ndarray], np.ndarray], classes: int, tasks: int) -> dict:
-    """part -> sum over its blocks of ``measure(part, x, y)``.
+def summed(blocks: DataFrame, measure: Callable[[int, np.ndarray, np.ndarray], Mapping], classes: int, tasks: int) -> dict:
+    """Sums over all blocks of ``measure(part, x, y)``, which gives a value per part that the block counts for.
 
     A task adds up its own blocks; beyond ``FAN`` tasks groups of them are added up before the driver does.
     """
@@ -80,8 +84,9 @@ def summed(blocks: DataFrame, measure: Callable[[int, np.ndarray, np.ndarray], n
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "x", "y"))):
-                value = measure(p, np.frombuffer(x).reshape(n, -1), np.frombuffer(y, np.uint8).reshape(n, classes))
-                sums[p] = sums[p] + value if p in sums else value
+                found = measure(p, np.frombuffer(x).reshape(n, -1), np.frombuffer(y, np.uint8).reshape(n, classes))
+                for of, value in found.items():
+                    sums[of] = sums[of] + value if of in sums else value
         if sums:
             yield pa.RecordBatch.from_pydict(
                 {
@@ -111,16 +116,32 @@ def summed(blocks: DataFrame, measure: Callable[[int, np.ndarray, np.ndarray], n
 def loss_and_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, curved: bool) -> np.ndarray:
     """Rows: summed loss, its gradient and, if ``curved``, its second derivatives, of every column of ``w`` (last
     row: intercepts)."""
-    z = x @ w[:-1] + w[-1]
-    e = np.exp(-np.abs(z))
-    p = np.where(z >= 0, 1.0, e) / (1.0 + e)
-    loss = np.log1p(e) + np.maximum(z, 0.0) - y * z
-    gap = p - y
-    out = [loss.sum(axis=0), x.T @ gap, gap.sum(axis=0)]
-    if curved:
-        one, v = np.hstack([x, np.ones((len(x), 1))]), p * (1.0 - p)
-        out.append(np.column_stack([((one * v[:, j, None]).T @ one).ravel() for j in range(w.shape[1])]))
-    return np.vstack(out)
+    d = len(w)
+    out = np.zeros((1 + d + (d * d if curved else 0), w.shape[1]))
+    upper = np.triu_indices(d)
+    pairs = np.zeros((len(upper[0]), w.shape[1])) if curved and d <= NARROW else None
+    for at in range(0, len(x), PIECE):
+        part, truth = x[at : at + PIECE], y[at : at + PIECE]
+        one = np.vstack([part.T, np.ones(len(part))])
+        z = one.T @ w
+        e = np.exp(-np.abs(z))
+        p = 1.0 / (1.0 + e)
+        p = np.where(z >= 0, p, e * p)
+        out[0] += (np.log1p(e) + np.maximum(z, 0.0) - truth * z).sum(axis=0)
+        out[1 : d + 1] += one @ (p - truth)
+        if not curved:
+            continue
+        v = p * (1.0 - p)
+        if pairs is not None:  # every product of two columns, as the upper triangle has them
+            pairs += np.vstack([one[i] * one[i:] for i in range(d)]) @ v
+        else:
+            out[d + 1 :] += np.column_stack([((one * v[:, j]) @ one.T).ravel() for j in range(w.shape[1])])
+    if pairs is not None:
+        full = np.zeros((d, d, w.shape[1]))
+        full[upper] = pairs
+        full[upper[::-1]] = pairs
+        out[d + 1 :] = full.reshape(d * d, -1)
+    return out
 
 
 def inverse(bound: np.ndarray) -> np.ndarray:
@@ -207,21 +228,29 @@ class Linear:
 
 
 def fit_logistic(
-    blocks: DataFrame, classes: int, strengths: Sequence[float] | np.ndarray, tol: float = 1e-8, passes: int = 2000
+    blocks: DataFrame, classes: int, strengths: Sequence[float] | np.ndarray, tol: float = 1e-8, passes: int = 2000,
+    views: Mapping[int, np.ndarray] | None = None,
 ) -> Linear:
     """Minimises C * sum(loss) + |w|^2 / 2 for every part, class and strength C; intercepts are free.
 
     ``strengths`` holds the values of C for all classes, or a row of them per
     class. ``tol`` bounds the gradient in the metric of the curvature bound. A
     model that is not there after ``passes`` raises, so none is returned unfinished.
+
+    With ``views`` the part of a block is the fold of its rows: the models of
+    fold f see the blocks of all others, with (x, 1) @ views[f] as features.
     """
     c = np.asarray(strengths, dtype=float)
     c = np.tile(c, (classes, 1)) if c.ndim == 1 else c
     tasks = blocks.rdd.getNumPartitions()
 
-    def moments(_, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def seen(part: int, among: Iterable[int]) -> list[int]:
+        return [p for p in among if (p == part if views is None else p != part)]
+
+    def moments(part: int, x: np.ndarray, y: np.ndarray) -> Mapping[int, np.ndarray]:
         one = np.hstack([x, np.ones((len(x), 1))])
-        return np.concatenate([(one.T @ one).ravel(), y.sum(axis=0, dtype=float)])
+        found = np.concatenate([(one.T @ one).ravel(), y.sum(axis=0, dtype=float)])
+        return dict.fromkeys(seen(part, [part] if views is None else views), found)
 
     sums = summed(blocks, moments, classes, tasks)
     models: dict[tuple[int, int], Descent] = {}
@@ -230,6 +259,8 @@ def fit_logistic(
         width = int(round(np.sqrt(len(found) - classes)))
         cross, ones = found[: width * width].reshape(width, width), found[width * width :]
         n = sizes[part] = cross[-1, -1]
+        if views is not None:
+            cross = views[part].T @ cross @ views[part]
         weights[part] = np.zeros((width, c.size))
         metrics: dict[float, np.ndarray] = {}
         for k in range(c.size):
@@ -250,20 +281,28 @@ def fit_logistic(
             break
         trial = {p: np.column_stack([models[m].trial for m in todo if m[0] == p]) for p in {p for p, _ in todo}}
         which = {p: np.array([k // c.shape[1] for q, k in todo if q == p]) for p in trial}
-
         curved = {p: len(w) * w.size <= CURVATURE_NUMBERS for p, w in trial.items()}
-
-        def measure(part: int, x: np.ndarray, y: np.ndarray, trial=trial, which=which, curved=curved) -> np.ndarray:
-            if part not in trial:
-                return np.zeros(0)
-            return loss_and_gradient(x, y[:, which[part]], trial[part], curved[part]).ravel()
+        if views is not None:
+            curved = dict.fromkeys(trial, all(curved.values()))
+        at = {p: w if views is None else views[p] @ w for p, w in trial.items()}  # on the features of the blocks
+
+        def measure(part: int, x: np.ndarray, y: np.ndarray, at=at, which=which, curved=curved) -> Mapping[int, np.ndarray]:
+            of = seen(part, at)
+            if not of:
+                return {}
+            w, truth = np.hstack([at[p] for p in of]), y[:, np.concatenate([which[p] for p in of])]
+            found = loss_and_gradient(x, truth, w, curved[of[0]])
+            cuts = np.cumsum([at[p].shape[1] for p in of])[:-1]
+            return {p: v.ravel() for p, v in zip(of, np.split(found, cuts, axis=1), strict=True)}
 
         found = summed(blocks, measure, classes, tasks)
         for p, w in trial.items():
             told = found[p].reshape(-1, w.shape[1]) / sizes[p]
             d = len(w)
+            view = np.eye(d) if views is None else views[p]
             for j, m in enumerate([m for m in todo if m[0] == p]):
-                models[m].told(told[0, j], told[1 : d + 1, j], told[d + 1 :, j].reshape(d, d) if curved[p] else None)
+                curvature = view.T @ told[d + 1 :, j].reshape(d, d) @ view if curved[p] else None
+                models[m].told(told[0, j], view.T @ told[1 : d + 1, j], curvature)
         todo = [m for m in todo if not models[m].done]
     if todo:
         raise RuntimeError(f"{len(todo)} of {len(models)} models have not converged in {passes} passes")
@@ -293,13 +332,13 @@ def fit_bayes_ovr(blocks: DataFrame, classes: int) -> Bayes:
     The second pass is centred at the part's mean, so large offsets of a feature do not cancel.
     """
     tasks = blocks.rdd.getNumPartitions()
-    first = summed(blocks, lambda _, x, y: np.concatenate([x.sum(axis=0), [len(x)]]), classes, tasks)
+    first = summed(blocks, lambda p, x, y: {p: np.concatenate([x.sum(axis=0), [len(x)]])}, classes, tasks)
     centre = {p: s[:-1] / s[-1] for p, s in first.items()}
 
-    def moments(part: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def moments(part: int, x: np.ndarray, y: np.ndarray) -> Mapping[int, np.ndarray]:
         z = x - centre[part]
         sides = np.hstack([y, np.ones((len(y), 1), np.uint8)]).astype(float)  # the last column: all rows
-        return np.vstack([sides.sum(axis=0), z.T @ sides, (z * z).T @ sides]).ravel()
+        return {part: np.vstack([sides.sum(axis=0), z.T @ sides, (z * z).T @ sides]).ravel()}
 
     tables = {}
     for part, found in summed(blocks, moments, classes, tasks).items():

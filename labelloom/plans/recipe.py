@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,12 +261,7 @@ class Scale:
         return [*self.groups, *(["scalars"] if self.scalars else [])]
 
     def _apply(self, fits: dict[str, Moments]) -> Apply:
-        def apply(d: DataFrame) -> DataFrame:
-            return self._packed(d).withColumns(
-                {g: scale(named(g), m.mean, m.spread(self.ddof)) for g, m in fits.items()}
-            )
-
-        return apply
+        return Scaled(self, {g: (m.mean, m.spread(self.ddof)) for g, m in fits.items()})
 
     def fit(self, df: DataFrame) -> Apply:
         packed = self._packed(df)
@@ -279,6 +275,17 @@ class Scale:
         }
 
 
+@dataclass(frozen=True)
+class Scaled:
+    """A fitted :class:`Scale`: mean and spread per column."""
+
+    step: Scale
+    fits: Mapping[str, tuple[np.ndarray, np.ndarray]]
+
+    def __call__(self, d: DataFrame) -> DataFrame:
+        return self.step._packed(d).withColumns({g: scale(named(g), *fit) for g, fit in self.fits.items()})
+
+
 @dataclass(frozen=True)
 class FittedRecipe:
     applies: list[Apply] = field(default_factory=list)
@@ -342,6 +349,31 @@ class Recipe:
             dirty |= step.writes
         return {f: FittedRecipe(a) for f, a in applies.items()}
 
+    def views(self, df: DataFrame, fitted: Mapping[int, FittedRecipe]) -> dict[int, np.ndarray] | None:
+        """Per fold the matrix that turns (x, 1) of the first fold's features into that fold's, or None where more
+        than one scaling per column is between them."""
+        first, *_ = folds = list(fitted)
+        fits: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+        for applies in zip(*(fitted[f].applies for f in folds), strict=True):
+            if all(a is applies[0] for a in applies) and not fits:
+                continue
+            if not all(isinstance(a, Scaled) for a in applies) or set(fits) & set(applies[0].fits):
+                return None
+            for name in applies[0].fits:
+                fits[name] = {f: a.fits[name] for f, a in zip(folds, applies, strict=True)}
+        sizes = fitted[first].transform(df).select(*[F.size(named(c)) for c in self.features]).first()
+        if sizes is None or None in sizes or -1 in sizes:
+            return None
+        out = {}
+        for f in folds:
+            ratio, shift = [], []
+            for c, size in zip(self.features, sizes, strict=True):
+                (m0, s0), (m, s) = (fits[c][first], fits[c][f]) if c in fits else [(np.zeros(size), np.ones(size))] * 2
+                ratio.append(s0 / s), shift.append((m0 - m) / s)
+            out[f] = np.diag([*np.concatenate(ratio), 1.0])
+            out[f][-1, :-1] = np.concatenate(shift)
+        return out
+
     def matrix(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """``keep`` plus one array column ``x``."""
         x = F.concat(*[named(c) for c in self.features])

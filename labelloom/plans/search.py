@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,7 +94,8 @@ def grid_search(
                         tasks.append(_fold_task(frame, key, c, clf, ordinal, params, f, n_train))
             for clf in TOGETHER:
                 if group := [t for t in together if t[0] == clf]:
-                    tasks.insert(0, _together_task(frames, key, classes, clf, group))
+                    views = recipe.views(df, {f: fitted[f] for f in frames}) if clf == "log_reg" else None
+                    tasks.insert(0, _together_task(frames, key, classes, clf, group, views))
             found = [row for rows in in_pool(spark, tasks, workers) for row in rows]
             if results_path and found:
                 spark.createDataFrame(found, RESULT_SCHEMA).write.mode("append").parquet(results_path)
@@ -109,8 +111,22 @@ RESULT_COLUMNS = ("class", "clf", "ordinal", "params", "fold", "score")
 TOGETHER = ("log_reg", "nb")  # fitted for all classes, parameters and folds by the same passes
 
 
-def _fitted_together(frames: Mapping[int, DataFrame], classes: Sequence[str], clf: str, strengths: Sequence[float]):
-    """One model of every fold (``part``), class and strength; fold f is trained on the other rows of ``frames[f]``."""
+def _fitted_together(
+    frames: Mapping[int, DataFrame], classes: Sequence[str], clf: str, strengths: Sequence[float],
+    views: Mapping[int, np.ndarray] | None = None,
+):
+    """One model of every fold (``part``), class and strength; fold f is trained on the other rows of ``frames[f]``.
+
+    With ``views`` (see ``Recipe.views``) the rows of the first frame serve the linear models of all folds.
+    """
+    if clf == "log_reg" and views is not None:
+        rows = next(iter(frames.values())).filter(F.col("kfold").isNotNull())
+        rows = rows.select(F.col("kfold").alias("part"), "x", *[named(c) for c in classes])
+        blocks = packed(rows, classes).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return fit_logistic(blocks, len(classes), strengths, views=views)
+        finally:
+            blocks.unpersist()
     parts = [
         d.filter(F.col("kfold") != f).select(F.lit(f).alias("part"), "x", *[named(c) for c in classes])
         for f, d in frames.items()
@@ -122,25 +138,41 @@ def _fitted_together(frames: Mapping[int, DataFrame], classes: Sequence[str], cl
         blocks.unpersist()
 
 
-def _scored_together(frames: Mapping[int, DataFrame], key: str, classes: Sequence[str], model) -> DataFrame:
-    """(fold, key, at, y, p) of the held-out rows, ``at`` counting classes and within them strengths."""
+def _held_out(
+    frames: Mapping[int, DataFrame], key: str, classes: Sequence[str], model, views: Mapping[int, np.ndarray] | None = None
+) -> DataFrame:
+    """(part, key, y, p) of the held-out rows, y with an entry per class and p per class and strength."""
+    if views is not None:  # the rows of the first frame, and weights for them
+        weights = {}
+        for f, w in model.weights.items():
+            weights[f], sure = views[f] @ np.where(np.isinf(w), 0.0, w), np.isinf(w[-1])
+            weights[f][:, sure] = w[:, sure]
+        model = Linear(weights)
+        rows = next(iter(frames.values())).filter(F.col("kfold").isin(list(frames)))
+        y = F.array(*[named(c).cast("int") for c in classes]).alias("y")
+        return scored(rows.select(F.col("kfold").cast("int").alias("part"), key, "x", y), model)
     parts = [
         d.filter(F.col("kfold") == f).select(
             F.lit(f).alias("part"), key, "x", F.array(*[named(c).cast("int") for c in classes]).alias("y")
         )
         for f, d in frames.items()
     ]
-    out = scored(reduce(DataFrame.unionByName, parts), model)
+    return scored(reduce(DataFrame.unionByName, parts), model)
+
+
+def _scored_together(frames: Mapping[int, DataFrame], key: str, classes: Sequence[str], model) -> DataFrame:
+    """(fold, key, at, y, p) of the held-out rows, ``at`` counting classes and within them strengths."""
+    out = _held_out(frames, key, classes, model)
     out = out.select(F.col("part").alias("fold"), key, "y", F.posexplode("p").alias("at", "p"))
     width = len(next(iter(model.weights.values()))[0]) // len(classes) if isinstance(model, Linear) else 1
     return out.select("fold", key, "at", F.get("y", F.floor(F.col("at") / width).cast("int")).alias("y"), "p")
 
 
-def _together_task(frames, key, classes, clf, todo):
+def _together_task(frames, key, classes, clf, todo, views=None):
     strengths = sorted({params["C"] for _, _, params, _, _ in todo}) if clf == "log_reg" else [None]
 
     def run():
-        model = _fitted_together(frames, classes, clf, strengths)
+        model = _fitted_together(frames, classes, clf, strengths, views)
         cells = _scored_together(frames, key, classes, model)
         losses = class_log_loss(cells, ["fold", "at"]).collect()  # result rows only
         loss = {(r["fold"], r["at"]): r["log_loss"] for r in losses}
@@ -202,12 +234,16 @@ def _neighbour_task(frame, key, todo, p, fold):
 
 def out_of_fold(
     df: DataFrame, key: str, classes: Sequence[str], recipe: Recipe, clf: str, params: Mapping,
-    folds: Sequence[int] = range(5),
+    folds: Sequence[int] = range(5), wide: bool = False,
 ) -> DataFrame:
     """(class, fold, key, y, p): every row's probability from the model that has not seen its fold.
 
     Written once to the shared folder, so any metric is an aggregation of it.
+    With ``wide`` one row per key, y and p as arrays in the order of the
+    classes: (fold, key, y, p), for linear models and naive Bayes.
     """
+    if wide and clf not in TOGETHER:
+        raise ValueError(f"only {TOGETHER} give all classes of a row at once, got {clf}")
     validate_grid({clf: {k: [v] for k, v in params.items()}})
     folds, classes = list(folds), list(classes)
     first, recipe = recipe.leading()
@@ -215,10 +251,10 @@ def out_of_fold(
         fitted = recipe.fit_folds(df, folds)
         frames = {f: recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes]) for f in folds}
         if clf in TOGETHER:
-            model = _fitted_together(frames, classes, clf, [params.get("C")])
-            cells = _scored_together(frames, key, classes, model)
-            names = F.array(*[F.lit(c) for c in classes])
-            return settle(cells.select(F.get(names, F.col("at")).alias("class"), "fold", key, "y", "p"))
+            views = recipe.views(df, fitted) if clf == "log_reg" else None
+            model = _fitted_together(frames, classes, clf, [params.get("C")], views)
+            found = settle(_held_out(frames, key, classes, model, views).withColumnRenamed("part", "fold"))
+            return found if wide else _by_class(found, classes)
         sizes = {r["kfold"]: r["count"] for r in df.groupBy("kfold").count().collect()}
         tasks = [
             _written_scores(frames[f], key, c, clf, params, f, sum(sizes.values()) - sizes.get(f, 0))
@@ -227,6 +263,14 @@ def out_of_fold(
         return reduce(DataFrame.unionByName, in_pool(df.sparkSession, tasks))
 
 
+def _by_class(found: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """The rows of a wide score table, one per class."""
+    names = F.array(*[F.lit(c) for c in classes])
+    key = next(c for c in found.columns if c not in ("fold", "y", "p"))
+    cells = found.select("fold", key, F.posexplode(F.arrays_zip("y", "p")).alias("at", "cell"))
+    return cells.select(F.get(names, F.col("at")).alias("class"), "fold", key, "cell.y", "cell.p")
+
+
 def _written_scores(frame, key, c, clf, params, fold, n_train):
     rows = frame.select(key, "kfold", "x", named(c).alias("y"))
     train, valid = rows.filter(F.col("kfold") != fold), rows.filter(F.col("kfold") == fold)
@@ -238,8 +282,11 @@ def _written_scores(frame, key, c, clf, params, fold, n_train):
     return run
 
 
-def evaluated(scores: DataFrame, metrics: Sequence[str] = ("log_loss",), by: Sequence[str] = ("class", "fold")) -> DataFrame:
-    """(by..., a column per metric) of a score table with y and p.
+def evaluated(
+    scores: DataFrame, metrics: Sequence[str] = ("log_loss",), by: Sequence[str] = ("class", "fold"),
+    classes: Sequence[str] | None = None,
+) -> DataFrame:
+    """(by..., a column per metric) of a score table with y and p; a wide one if its ``classes`` are given.
 
     ``log_loss``, ``accuracy`` (p beyond one half) and ``auc``; an AUC without
     both classes is null, as no pair of rows can be ranked.
@@ -250,9 +297,10 @@ def evaluated(scores: DataFrame, metrics: Sequence[str] = ("log_loss",), by: Seq
         "log_loss": F.avg(cell_loss(F.col("y"), F.col("p"))).alias("log_loss"),
         "accuracy": F.avg(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int")).alias("accuracy"),
     }
-    out = scores.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *[plain[m] for m in metrics if m in plain])
+    cells = scores if classes is None else _by_class(scores, classes)
+    out = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *[plain[m] for m in metrics if m in plain])
     if "auc" in metrics:
-        areas = auc(scores, by, "p", "y").withColumnsRenamed({b: f"__{b}" for b in by})
+        areas = auc(scores, by, "p", "y", classes).withColumnsRenamed({b: f"__{b}" for b in by})
         same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by])
         out = out.join(areas, same, "left")
     return out.select(*by, *metrics)
@@ -266,7 +314,9 @@ def cv_run(
     folds: Sequence[int] = range(5), metric: str = "log_loss",
 ) -> DataFrame:
     """One classifier and one parameter set over all folds: (class, fold, score)."""
-    found = evaluated(out_of_fold(df, key, classes, recipe, clf, params, folds), [metric])
+    wide = clf in TOGETHER
+    scores = out_of_fold(df, key, classes, recipe, clf, params, folds, wide)
+    found = evaluated(scores, [metric], classes=list(classes) if wide else None)
     return found.withColumnRenamed(metric, "score")
 
 
@@ -288,7 +338,7 @@ def multilabel_cv(
     with _persisted(first.fit(df).transform(df)) as df:
         fitted = recipe.fit_folds(df, folds)
         frames = {f: recipe.matrix(fitted[f].transform(df), [key, "kfold", *classes]) for f in folds}
-        model = _fitted_together(frames, classes, "log_reg", given)
+        model = _fitted_together(frames, classes, "log_reg", given, recipe.views(df, fitted))
         held = [d.filter(F.col("kfold") == f).select(F.lit(f).alias("part"), key, "x") for f, d in frames.items()]
         probs = settle(scored(reduce(DataFrame.unionByName, held), model, "probs"))
         kept = probs.withColumn("probs", keep_argmax(F.col("probs")))

@@ -472,7 +472,7 @@ def _(spark, d):
     top = T.topk_classes(keys(spark, d), pos, vocabulary(spark, d), "o_orderkey", 12)
     classes = [row["label"] for row in top.collect()]
     df = settle(order_cv(spark, d, classes, pos))
-    found = evaluated(out_of_fold(df, "o_orderkey", classes, BASE, "log_reg", {"C": 1.0}), METRICS)
+    found = evaluated(out_of_fold(df, "o_orderkey", classes, BASE, "log_reg", {"C": 1.0}, wide=True), METRICS, classes=classes)
     return found.withColumns({"log_loss": r("log_loss", 6), "auc": r("auc", 5), "accuracy": r("accuracy", 5)})
 
 
