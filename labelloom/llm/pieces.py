@@ -2,7 +2,7 @@
 
 A text's segmentations are the paths of a lattice of vocabulary pieces; pieces
 never cross a word start, so the lattice is a chain of word lattices, each built
-once per batch for every distinct word. A path's probability is the product of
+once for every distinct word that a worker keeps. A path's probability is the product of
 its pieces' probabilities (Zipf's law over the vocabulary's ranks, single bytes
 for characters without a piece). Every set of paths has one perturbed value, the
 maximum over its paths of log probability plus Gumbel noise. The search starts
@@ -23,34 +23,45 @@ rows with equal keys and texts get equal samples; a null key is a key of its own
 from __future__ import annotations
 
 import heapq
+import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLES = 2
-CHUNK_CHARS = 600_000  # texts that share a lattice
+CHUNK_CHARS = 600_000  # texts worked on together
+LATTICE_CHARS = 1_800_000  # characters of the distinct words that a worker keeps in its lattice
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+FULL = (1 << 64) - 1
+FIRST_STEPS, FAR_STEPS = 96, 1024  # steps of a path that are looked at first for the sets that leave it, and at a time
+MOST_NOISE = 38.0  # above the largest Gumbel noise: -log(-log(1 - 2**-53)) = 36.7
 SCHEMA = "key long, sample int, ids array<int>, log_prob double, value double, log_inclusion double"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
 def mixed(seeds: np.ndarray, *counters) -> np.ndarray:
     for c in counters:
-        seeds = mix(seeds + np.atleast_1d(np.asarray(c)).astype(np.uint64) * BASE + BASE)
+        if isinstance(c, int):
+            seeds = mix(seeds + np.uint64((c + 1) * int(BASE) & FULL))
+        else:
+            seeds = mix(seeds + c.astype(np.uint64) * BASE + BASE)
     return seeds
 
 
@@ -59,6 +70,20 @@ def uniform(seeds: np.ndarray, *counters) -> np.ndarray:
     return ((mixed(seeds, *counters) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def one_mixed(x: int, *counters: int) -> int:
+    """``mixed`` of a single seed."""
+    for c in counters:
+        x = (x + (c + 1) * int(BASE)) & FULL
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & FULL
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & FULL
+        x ^= x >> 31
+    return x
+
+
+def one_uniform(seed: int, *counters: int) -> float:
+    return ((one_mixed(seed, *counters) >> 11) + 0.5) * 2.0**-53
+
+
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -86,99 +111,197 @@ class Vocabulary:
             codes = np.frombuffer("".join(found).encode("utf-32-le"), dtype=np.uint32).reshape(-1, size)
             h = np.zeros(len(found), dtype=np.uint64)
             for k in range(size):
-                h = h * BASE + codes[:, k]
+                h = (h + codes[:, k]) * BASE
             order = np.argsort(h)
             ids = np.array([i for i, _ in found.values()], dtype=np.int32)[order]
-            self.tables[size] = (h[order], ids, np.array([p for _, p in found.values()])[order])
+            self.tables[size] = (h[order], ids, np.array([p for _, p in found.values()])[order], Places(h[order]))
+        self.lattice = Lattice(self)
+
+    def known(self, words: list[str]) -> tuple[Lattice, np.ndarray]:
+        """The lattice with all these words, and the number each has there; it starts anew when it is full."""
+        if len(self.lattice.begin) > LATTICE_CHARS:
+            self.lattice.clear()
+        codes = np.fromiter(map(self.lattice.numbers.__getitem__, words), dtype=np.int32, count=len(words))
+        self.lattice.grow()
+        return self.lattice, codes
+
+
+class Places:
+    """Where 64-bit keys are in their sorted array: a start by their first bits, then a few steps on."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4 * len(keys), 2).bit_length()
+        self.shift = np.uint64(64 - bits)
+        buckets = (keys >> self.shift).view(np.int64)
+        self.steps = int(np.bincount(buckets).max())
+        self.start = np.searchsorted(buckets, np.arange(1 << bits)).astype(np.int32)
+        self.keys = np.append(keys, np.uint64(FULL))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether the key is there)."""
+        k = self.start[(wanted >> self.shift).view(np.int64)]
+        for _ in range(self.steps):
+            behind = self.keys[k] < wanted
+            if not behind.any():
+                break
+            k += behind
+        return k, self.keys[k] == wanted
 
 
-class Lattice:
-    """The word lattices of distinct words, laid out as one graph; edges are sorted by source node."""
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Growing:
+    """An array with room at its end."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.empty(1024, dtype=dtype), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.room):
+            room = np.empty(max(end, len(self.room) * 3 // 2), dtype=self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : end] = values
+        self.n = end
 
-    def __init__(self, vocabulary: Vocabulary, words: list[str]):
+
+NAMES = ("begin", "root", "source", "after", "piece", "share", "low")
+
+
+class Lattice:
+    """The word lattices of distinct words, laid out as one graph that grows by words; edges are sorted by source
+    character, then by length. Per edge: its piece, log probability at its source (``share``), the probability of
+    the edges before it there (``low``) and the last edge of its target, -1 at the word's end (``after``)."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.tables, self.byte_log = vocabulary.tables, vocabulary.byte_log
+        self._begin, self._root, self._source, self._after, self._piece = (Growing(np.int32) for _ in range(5))
+        self._share, self._low = Growing(np.float64), Growing(np.float64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = Numbers()
+        for name in NAMES:
+            getattr(self, f"_{name}").n = 0
+        self._show()
+
+    def _show(self) -> None:
+        for name in NAMES:
+            held = getattr(self, f"_{name}")
+            setattr(self, name, held.room[: held.n])
+
+    def grow(self) -> None:
+        """Adds the words that were numbered since."""
+        words = list(islice(reversed(self.numbers), len(self.numbers) - len(self._root)))[::-1]
+        if not words:
+            return
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        owner = np.repeat(np.arange(len(words)), sizes)
         ends = np.cumsum(sizes)
-        left = (ends[owner] - np.arange(len(code))).astype(np.int32)  # characters from here to the word's end
-        self.root = ends - sizes + np.arange(len(words))
-        node = np.arange(len(code)) + owner  # one more node per word, its end
+        left = (np.repeat(ends, sizes) - np.arange(len(code))).astype(np.int32)  # characters from here to the word's end
         sources, spans, pieces, logs, slots = [], [], [], [], []
         single = np.zeros(len(code), dtype=bool)
         degree = np.zeros(len(code), dtype=np.int32)  # edges that start here so far
-        at, hashes = np.arange(len(code)), np.zeros(len(code), dtype=np.uint64)
-        for size, (keys, ids, p) in vocabulary.tables.items():  # 1, 2, ... without a gap
+        at, hashes = np.arange(len(code), dtype=np.int32), np.zeros(len(code), dtype=np.uint64)
+        for size, (_, ids, p, places) in self.tables.items():  # 1, 2, ... without a gap
             if size > 1:
                 longer = left[at] >= size
                 at, hashes = at[longer], hashes[longer]
             if not len(at):
                 break
-            hashes = hashes * BASE + code[at + size - 1]
-            k = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            hit = keys[k] == hashes
+            hashes += code[at + (size - 1)]
+            hashes *= BASE
+            k, hit = places.find(hashes)
             at, hashes, k = at[hit], hashes[hit], k[hit]
-            whole = ids[k] >= 0
-            start, k = at[whole], k[whole]
+            piece = ids[k]
+            whole = piece >= 0
+            start = at[whole]
             if size == 1:
                 single[start] = True
             slots.append(degree[start])
             degree[start] += 1
-            sources.append(start), spans.append(np.full(len(start), size)), pieces.append(ids[k]), logs.append(p[k])
-        alone = np.flatnonzero(~single)  # characters spelt in bytes
+            sources.append(start), spans.append(np.full(len(start), size, dtype=np.int32))
+            pieces.append(piece[whole]), logs.append(p[k[whole]])
+        alone = np.flatnonzero(~single).astype(np.int32)  # characters spelt in bytes
         c = code[alone]
         n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-        sources.append(alone), spans.append(np.ones(len(alone), dtype=np.int64))
-        pieces.append(-1 - c.astype(np.int32)), logs.append(n_bytes * vocabulary.byte_log)
+        sources.append(alone), spans.append(np.ones(len(alone), dtype=np.int32))
+        pieces.append(-1 - c.astype(np.int32)), logs.append(n_bytes * self.byte_log)
         slots.append(degree[alone])
         degree[alone] += 1
-        source, span, piece, log, slot = map(np.concatenate, (sources, spans, pieces, logs, slots))
-        at = (np.cumsum(degree) - degree)[source] + slot  # by source, then in the order of their lengths
-        order = np.empty_like(at)
-        order[at] = np.arange(len(at))
-        source, span, self.piece, log = source[order], span[order], piece[order].astype(np.int64), log[order]
-        self.source, self.target = node[source], node[source] + span
-        # backward sums, from the word ends to the starts
+        begin = np.cumsum(degree) - degree
+        place = np.concatenate(slots)  # by source, then in the order of their lengths
+        place += begin[np.concatenate(sources)]
+        piece, span, log = (np.empty(len(place), dtype=x[0].dtype) for x in (pieces, spans, logs))
+        piece[place], span[place], log[place] = map(np.concatenate, (pieces, spans, logs))
+        source = np.repeat(np.arange(len(code), dtype=np.int32), degree)
+        # backward sums, from the word ends to the starts; one more node per word, its end
+        node = np.arange(len(code), dtype=np.int32) + np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         mass = np.zeros(len(code) + len(words))
         distance = left[source]
-        short = distance.astype(np.uint16) if len(distance) and distance.max() < 1 << 16 else distance
+        own = node[source]
+        target = own + span
+        short = distance.astype(np.uint16) if distance.max() < 1 << 16 else distance
         by_distance = np.argsort(short, kind="stable")
-        cuts = np.searchsorted(distance[by_distance], np.arange(1, int(sizes.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            e = by_distance[a:b]
-            if not len(e):
+        cuts = np.searchsorted(short[by_distance], np.arange(1, int(sizes.max()) + 2).astype(short.dtype))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
                 continue
-            first = np.flatnonzero(np.append(True, np.diff(self.source[e]) != 0))
-            mass[self.source[e[first]]] = np.logaddexp.reduceat(log[e] + mass[self.target[e]], first)
-        self.log, self.mass = log, mass
-        self.share = log + mass[self.target] - mass[self.source]  # log probability of an edge at its source
-        p = np.exp(self.share)
-        first = np.append(True, np.diff(self.source) != 0) if len(p) else np.array([], dtype=bool)
-        total = np.cumsum(p)
-        starts = np.flatnonzero(first)
-        before = np.repeat((total - p)[starts], np.diff(np.append(starts, len(p))))
-        self.key = self.source + np.minimum(total - before, 1.0)
-        last = np.append(first[1:], True) if len(p) else first
-        self.key[last] = self.source[last] + 1.0
-        self.first = starts
-
-    def walk(self, nodes: np.ndarray, final: np.ndarray, seeds: np.ndarray, place: np.ndarray, sample: int):
-        """(item, edge) in item order: a path drawn from each node to its word's end."""
-        items, edges, active, step = [], [], np.arange(len(nodes)), 0
-        nodes = nodes.copy()
-        active = active[nodes != final]
-        drawn = mixed(seeds, place, np.int64(sample))
+            e = by_distance[a:b]
+            from_ = own[e]
+            first = np.flatnonzero(np.append(True, from_[1:] != from_[:-1]))
+            mass[from_[first]] = np.logaddexp.reduceat(log[e] + mass[target[e]], first)
+        share = log + mass[target] - mass[own]
+        p = np.exp(share)
+        low = np.zeros(len(p))
+        several = begin
+        for slot in range(1, int(degree.max())):
+            several = begin[degree > slot] + slot
+            low[several] = low[several - 1] + p[several - 1]
+        edges, chars = len(self._share), len(self._begin)
+        last = (begin + degree + (edges - 1)).astype(np.int32)
+        goes_on = span < distance
+        after = np.full(len(p), -1, dtype=np.int32)
+        after[goes_on] = last[(source + span)[goes_on]]
+        self._root.extend(last[ends - sizes])
+        self._begin.extend(begin + edges)
+        self._source.extend(source + np.int32(chars))
+        self._after.extend(after), self._piece.extend(piece), self._share.extend(share), self._low.extend(low)
+        self._show()
+
+    def walk(self, at: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edges in item order, how many each item has): a path drawn from the node with the last edge ``at`` to its
+        word's end, without a step where that is -1."""
+        sizes, active = np.zeros(len(at), dtype=np.int64), np.flatnonzero(at >= 0)
+        at, seeds = at[active], seeds[active]
+        taken = []
         while len(active):
-            u = uniform(drawn[active], np.int64(step))
-            e = np.searchsorted(self.key, nodes[active] + u, side="right")
-            items.append(active), edges.append(e)
-            nodes[active] = self.target[e]
-            active = active[nodes[active] != final[active]]
-            step += 1
-        if not items:
-            return np.array([], dtype=np.int64), np.array([], dtype=np.int64)
-        item, edge = np.concatenate(items), np.concatenate(edges)
-        order = np.argsort(item, kind="stable")
-        return item[order], edge[order]
+            u = uniform(seeds, len(taken))
+            edge = at.astype(np.int64)
+            before = np.flatnonzero(u < self.low[edge])
+            while len(before):
+                edge[before] -= 1
+                before = before[u[before] < self.low[edge[before]]]
+            taken.append((active, edge))
+            at = self.after[edge]
+            on = at >= 0
+            sizes[active[~on]] = len(taken)
+            active, at, seeds = active[on], at[on], seeds[on]
+        edges = np.empty(int(sizes.sum()), dtype=np.int32)
+        starts = np.cumsum(sizes) - sizes
+        for step, (items, edge) in enumerate(taken):
+            edges[starts[items] + step] = edge
+        return edges, sizes
 
 
 def cut_off(log_mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
@@ -190,122 +313,147 @@ def cut_off(log_mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
 class Search:
     """Samples of one text, best first. A set is (value, path, step, edges it must not take there)."""
 
-    def __init__(self, lattice: Lattice, seed: np.uint64, roots: np.ndarray, finals: np.ndarray, k: int):
-        self.lattice, self.seed, self.roots, self.finals, self.k = lattice, np.uint64(seed), roots, finals, k
-        self.paths: list[tuple[np.ndarray, np.ndarray, float]] = []  # edges, words, value
+    def __init__(self, lattice: Lattice, seed: int, begin: int, end: int, k: int):
+        self.lattice, self.seed, self.begin, self.end, self.k = lattice, seed, begin, end, k  # words from begin to end
+        self.paths: list[tuple[np.ndarray, np.ndarray, float]] = []  # edges, where each word's edges end, value
         self.heap: list[tuple] = []
 
-    def _u(self, *counters) -> float:
-        return float(uniform(np.array([self.seed]), *[np.int64(c) for c in counters])[0])
-
-    def add(self, edges: np.ndarray, words: np.ndarray, value: float, since: int, banned: tuple[int, ...]) -> None:
+    def add(self, edges: np.ndarray, ends: np.ndarray, value: float, since: int, banned: tuple[int, ...]) -> None:
         """A path drawn from a set: splits the rest of the set at every step from ``since`` on."""
         number = len(self.paths)
-        self.paths.append((edges, words, value))
+        self.paths.append((edges, ends, value))
         if len(edges) <= since:
             return
-        share = self.lattice.share[edges]
-        before = np.cumsum(share) - share
-        taken = np.exp(share[since:])
-        if banned:
-            taken = taken.copy()
-            taken[0] += np.exp(self.lattice.share[list(banned)]).sum()
-        with np.errstate(divide="ignore"):
-            rest = before[since:] + np.log1p(-np.minimum(taken, 1.0))
-        rest[taken > 1 - 1e-12] = -np.inf
-        u = uniform(mixed(np.array([self.seed]), np.int64(number), np.int64(1 << 40)), np.arange(len(rest)))
-        values = cut_off(rest, value, u)
-        best = np.argpartition(-values, min(self.k, len(values) - 1))[: self.k + 1]  # more are never taken
-        for s in best:
-            if values[s] > -np.inf:
-                own = (*banned, int(edges[since])) if s == 0 else (int(edges[since + s]),)
-                heapq.heappush(self.heap, (-float(values[s]), number, since + int(s), own))
+        state = np.uint64(one_mixed(self.seed, number, 1 << 40))
+        reached = np.cumsum(self.lattice.share[edges[:since]])[-1] if since else 0.0
+        found: list[tuple[float, int]] = []  # the best sets, more are never taken
+        at, size = since, FIRST_STEPS
+        while at < len(edges):
+            # a set that leaves the path here or later holds at most the mass reached: few can still be among the best
+            bar = found[self.k][0] if len(found) > self.k else -np.inf
+            if reached + MOST_NOISE < bar:
+                break
+            share = self.lattice.share[edges[at : at + size]]
+            sums = share.copy()
+            sums[0] += reached
+            before = np.cumsum(sums, out=sums) - share
+            u = np.minimum(uniform(state, np.arange(at - since, at - since + len(share))), 1 - 2.0**-53)
+            least = 0.0 if bar == -np.inf else math.exp(-math.exp(min(reached - bar + 0.01, 7.0)))
+            some = np.flatnonzero(u >= least)
+            taken = np.exp(share[some])
+            if banned and at == since and len(some) and some[0] == 0:
+                taken[0] += np.exp(self.lattice.share[list(banned)]).sum()
+            with np.errstate(divide="ignore"):
+                rest = before[some] + np.log1p(-np.minimum(taken, 1.0))
+            rest[taken > 1 - 1e-12] = -np.inf
+            values = cut_off(rest, value, u[some])
+            best = np.argpartition(-values, self.k)[: self.k + 1] if len(values) > self.k else np.arange(len(values))
+            found += zip(values[best].tolist(), (some[best] + at).tolist())
+            found = sorted(found, reverse=True)[: self.k + 1]
+            reached, at, size = sums[-1], at + size, FAR_STEPS
+        for v, s in found:
+            if v > -np.inf:
+                own = (*banned, int(edges[since])) if s == since else (int(edges[s]),)
+                heapq.heappush(self.heap, (-v, number, s, own))
 
     def branch(self):
-        """Takes the best set: (value, prefix edges, prefix words, word, first edge, step, banned)."""
+        """Takes the best set: (value, path's edges, path's word ends, word, first edge, step, banned)."""
         value, number, step, banned = heapq.heappop(self.heap)
-        edges, words, _ = self.paths[number]
-        source = self.lattice.source[edges[step]]
-        a, b = np.searchsorted(self.lattice.source, [source, source + 1])
+        edges, ends, _ = self.paths[number]
+        source, begin = int(self.lattice.source[edges[step]]), self.lattice.begin
+        a, b = int(begin[source]), int(begin[source + 1]) if source + 1 < len(begin) else len(self.lattice.share)
         free = np.array([e for e in range(a, b) if e not in banned])
         p = np.exp(self.lattice.share[free])
-        at = np.searchsorted(np.cumsum(p), self._u(step, number, len(banned), 1 << 41) * p.sum(), side="right")
+        u = one_uniform(self.seed, step, number, len(banned), 1 << 41)
+        at = np.searchsorted(np.cumsum(p), u * p.sum(), side="right")
         edge = int(free[min(at, len(free) - 1)])
-        return -value, edges[:step], words[:step], int(words[step]), edge, step, banned
+        return -value, edges, ends, int(np.searchsorted(ends, step, side="right")), edge, step, banned
+
+
+def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, each with the marks before it, the words of normalised texts as their numbers, how many each has)."""
+    odd = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+    if any(" " in t for t in texts):
+        found = pa.array([odd.findall(t) for t in texts], pa.list_(pa.string()))
+    else:
+        spaced = [" ".join(odd.findall(t)) if MARK + MARK in t else t.replace(MARK, f" {MARK}") for t in texts]
+        found = pc.split_pattern(pa.array([t[t[0] == " " :] if t else None for t in spaced], pa.string()), " ")
+    words = found.flatten().dictionary_encode()
+    kinds = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return kinds, words.indices.to_numpy(), found.value_lengths().fill_null(0).to_numpy().astype(np.int64)
 
 
 def segment(vocabulary: Vocabulary, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple]]:
     """Per text its samples (edges' ids, log probability, perturbed value, log inclusion score)."""
-    cutter = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-    split = [cutter.findall(vocabulary.model.normalize(t)) if t else [] for t in texts]
-    sizes = np.array([len(s) for s in split], dtype=np.int64)
-    kinds = dict.fromkeys(chain.from_iterable(split))
-    kinds = dict(zip(kinds, range(len(kinds))))
-    codes = np.fromiter(map(kinds.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
-    kinds = list(kinds)
-    lattice = Lattice(vocabulary, kinds)
-    length = np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds))
-    roots = lattice.root[codes]
-    finals = roots + length[codes]
+    words, codes, sizes = split_words([vocabulary.model.normalize(t) if t else "" for t in texts])
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(owner)) - starts[owner]
-    item, edge = lattice.walk(roots, finals, seeds[owner], place, 0)
-    at = np.searchsorted(owner[item], np.arange(len(texts) + 1)) if len(item) else np.zeros(len(texts) + 1, dtype=int)
+    lattice, numbers = vocabulary.known(words)
+    roots = lattice.root[numbers][codes]
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    own = mixed(np.repeat(seeds, sizes), place)
+    edge, sizes = lattice.walk(roots, mixed(own, 0))
+    stop = np.append(0, np.cumsum(sizes))
     searches = []
-    for d in range(len(texts)):
-        part = slice(at[d], at[d + 1])
-        s = Search(lattice, seeds[d], roots[starts[d] : ends[d]], finals[starts[d] : ends[d]], k)
-        top = -np.log(-np.log(s._u(0, 0, 0, 1 << 42)))
-        s.add(edge[part], place[item[part]], top, 0, ())
+    for seed, a, b in zip(seeds.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        s = Search(lattice, seed, a, b, k)
+        top = -math.log(-math.log(one_uniform(seed, 0, 0, 0, 1 << 42)))
+        s.add(edge[stop[a] : stop[b]], stop[a + 1 : b + 1] - stop[a], top, 0, ())
         searches.append(s)
     for sample in range(1, k):
-        taken = [(s, s.branch()) for s in searches if len(s.paths) == sample and s.heap]
+        taken = [(s, *s.branch()) for s in searches if len(s.paths) == sample and s.heap]
         if not taken:
             break
-        nodes, final, seed, where, which = [], [], [], [], []
-        for n, (s, (_, _, _, word, first, _, _)) in enumerate(taken):
-            begin = s.roots[word:].copy()
-            begin[0] = lattice.target[first]
-            nodes.append(begin), final.append(s.finals[word:]), where.append(np.arange(word, len(s.roots)))
-            seed.append(np.full(len(begin), s.seed)), which.append(np.full(len(begin), n))
-        which, where = np.concatenate(which), np.concatenate(where)
-        item, edge = lattice.walk(np.concatenate(nodes), np.concatenate(final), np.concatenate(seed), where, sample)
-        at = np.searchsorted(which[item], np.arange(len(taken) + 1))
-        for n, (s, (value, edges, words, word, first, step, banned)) in enumerate(taken):
-            part = slice(at[n], at[n + 1])
-            path = np.concatenate([edges, [first], edge[part]])
-            s.add(path, np.concatenate([words, [word], where[item[part]]]), value, step, banned)
-    return [finished(vocabulary, lattice, s) for s in searches]
-
-
-def spelt(vocabulary: Vocabulary, piece: np.ndarray) -> np.ndarray:
-    """Ids with the bytes of characters that have no piece (negative entries) in their places."""
+        nodes, seed = [], []
+        for s, _, _, _, word, first, _, _ in taken:
+            nodes.append(roots[s.begin + word : s.end].copy())
+            nodes[-1][0] = lattice.after[first]
+            seed.append(own[s.begin + word : s.end])
+        edge, sizes = lattice.walk(np.concatenate(nodes), mixed(np.concatenate(seed), sample))
+        stop = np.append(0, np.cumsum(sizes))
+        b = 0
+        for s, value, edges, word_ends, word, first, step, banned in taken:
+            a, b = b, b + s.end - s.begin - word
+            path = np.concatenate([edges[:step], [first], edge[stop[a] : stop[b]]], dtype=np.int32)
+            s.add(path, np.append(word_ends[:word], stop[a + 1 : b + 1] + (step + 1 - stop[a])), value, step, banned)
+    return finished(vocabulary, lattice, searches)
+
+
+def spelt(vocabulary: Vocabulary, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with the bytes of characters that have no piece (negative entries) in their places, how many each has)."""
+    sizes = np.ones(len(piece), dtype=np.int64)
     odd = np.flatnonzero(piece < 0)
+    if not len(odd):
+        return piece, sizes
     kinds, which = np.unique(piece[odd], return_inverse=True)
     coded = [vocabulary.byte_id[list(chr(-1 - p).encode("utf-8", "replace"))] for p in kinds.tolist()]
-    n_bytes = np.array([len(c) for c in coded])
-    sizes = np.ones(len(piece), dtype=np.int64)
-    sizes[odd] = n_bytes[which]
+    sizes[odd] = np.array([len(c) for c in coded])[which]
+    table = np.array([np.resize(c, 4) for c in coded])
     ids = np.repeat(piece, sizes)
     starts = (np.cumsum(sizes) - sizes)[odd]
-    for n, c in enumerate(coded):
-        for k, b in enumerate(c):
-            ids[starts[which == n] + k] = b
-    return ids
-
-
-def finished(vocabulary: Vocabulary, lattice: Lattice, s: Search) -> list[tuple]:
-    bar = -s.heap[0][0] if s.heap else -np.inf  # the first value that was not taken
-    out = []
-    for edges, _, value in s.paths:
-        log_prob = float(lattice.share[edges].sum())
-        gap = log_prob - bar
-        score = 0.0 if bar == -np.inf else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(min(gap, 700.0)))))
-        piece = lattice.piece[edges]
-        ids = spelt(vocabulary, piece) if (piece < 0).any() else piece
-        out.append((ids.astype(np.int32), log_prob, float(value), score))
+    for k in range(4):
+        some = sizes[odd] > k
+        ids[starts[some] + k] = table[which[some], k]
+    return ids, sizes
+
+
+def finished(vocabulary: Vocabulary, lattice: Lattice, searches: list[Search]) -> list[list[tuple]]:
+    paths = [edges for s in searches for edges, _, _ in s.paths]
+    edges = np.concatenate(paths) if paths else np.zeros(0, dtype=np.int32)
+    ids, sizes = spelt(vocabulary, lattice.piece[edges])
+    share = lattice.share[edges]
+    at, stop, begin, out = iter(paths), np.append(0, np.cumsum(sizes)), 0, []
+    for s in searches:
+        bar = -s.heap[0][0] if s.heap else -np.inf  # the first value that was not taken
+        samples = []
+        for _, _, value in s.paths:
+            end = begin + len(next(at))
+            log_prob = float(share[begin:end].sum())
+            gap = log_prob - bar
+            score = 0.0 if bar == -np.inf else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(min(gap, 700.0)))))
+            samples.append((ids[stop[begin] : stop[end]], log_prob, float(value), score))
+            begin = end
+        out.append(samples)
     return out
 
 
