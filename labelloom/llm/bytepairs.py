@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -37,7 +38,7 @@ CHUNK_CHARS = 1_000_000  # texts worked on together
 CHUNK_IDS = 500_000
 WORDS = 40_000  # words of one recursive query
 MEMO = 500_000  # words whose ids are remembered
-LONG = 48
+LONG = 48  # less than 64
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # the rank files' own pattern
 
 PAIRED = """
@@ -45,20 +46,25 @@ PAIRED = """
     from (select *, lead(token) over (partition by word order by pos) as following from step where not done) s
     left join merges on pair = (token << 20) | following
 """
-ONE_BY_ONE = f"""
-with recursive step(word, pos, token, done) as (
-    select word::int, pos::smallint, token, false from start_rows
-    union all
-    select word, pos, case when code = least_code then rank else token end, least_code is null
-    from (
-        select *, lag(code) over (partition by word order by pos) as before,
-            min(code) over (partition by word order by pos rows between unbounded preceding and unbounded following)
-                as least_code
-        from ({PAIRED})
-    ) where least_code is null or before is distinct from least_code
+ONE_BY_ONE = """
+with recursive step(place, token, done) as (
+    select (word << 6) | pos, token, false from start_rows
+    union all (
+        with paired as materialized (
+            select s.*, place >> 6 as word, rank, (rank << 32) | ((place & 63) << 6) | (next_place & 63) as code
+            from (
+                select *, lead(token) over in_order as following, lead(place) over in_order as next_place
+                from step where not done window in_order as (order by place)
+            ) s left join merges on pair = case when next_place >> 6 = place >> 6 then (token << 20) | following end
+        ), least as (
+            select word, min(code) as least_code from paired group by word
+        )
+        select place, case when code = least_code then rank else token end, least_code is null
+        from paired join least using (word) where least_code is null or place & 63 <> least_code & 63
+    )
 )
-select word, token from step where done order by word, pos
-"""
+select place >> 6 as word, token from step where done order by place
+"""  # the place in a word of at most LONG bytes takes six bits; a code holds the rank, the pair's place and its second token's
 ALL_AT_ONCE = f"""
 with recursive step(word, pos, token, done) as (
     select word, pos, token, false from start_rows
@@ -178,18 +184,21 @@ class Coder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, and how many each has."""
         found = [self.words.findall(t) for t in texts]
-        fresh = {w for ws in found for w in ws if w not in self.memo}
+        counts = [0, *map(len, found)]
+        words = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+        del found
+        kinds = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in kinds if w not in self.memo]
         if len(self.memo) + len(fresh) > MEMO:
             self.forget()
-            fresh = {w for ws in found for w in ws}
+            fresh = kinds
         if fresh:
-            self.learn(list(fresh))
-        known = self.memo
-        slots = np.fromiter((known[w] for ws in found for w in ws), dtype=np.int64)
+            self.learn(fresh)
+        slots = np.fromiter(map(self.memo.__getitem__, kinds), dtype=np.int64, count=len(kinds))[words.indices.to_numpy()]
         starts = np.cumsum(self.sizes) - self.sizes
         n = self.sizes[slots]
         ids = self.flat[np.repeat(starts[slots] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, found)])]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
         return ids, np.diff(ends)
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:

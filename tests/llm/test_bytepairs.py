@@ -101,3 +101,29 @@ def test_unknown_id_raises():
 
     with pytest.raises(ValueError):
         bytepairs.coder(PATH).decode(np.array([50_300], dtype=np.int32), np.array([1]))
+
+
+def test_longest_short_words_and_equal_runs(library):
+    """Places up to the last one before ``LONG``, in many words of one query."""
+    coder = bytepairs.Coder(PATH)
+    words = [b"a" * n for n in range(2, bytepairs.LONG + 1)] + [b"-=" * (bytepairs.LONG // 2), b"qzxj" * (bytepairs.LONG // 4)]
+    ids, sizes = coder.merged(words)
+    want = [leftmost(w, coder.ranks) for w in words]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_each_distinct_word_is_looked_up_once():
+    """Words are numbered before they are looked up, so repeats in a chunk cost no look-up."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    coder = bytepairs.Coder(PATH)
+    coder.memo = Counted()
+    ids, sizes = coder.encode(["the cat the cat the cat", "", " cat the" * 50, "the\0 cat"])
+    assert coder.memo.asked == len(coder.memo) == 4 and sizes.sum() == len(ids)
+    assert coder.decode(ids, sizes) == [b"the cat the cat the cat", b"", b" cat the" * 50, b"the\0 cat"]
