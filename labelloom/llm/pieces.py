@@ -37,8 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLES = 2
-CHUNK_CHARS = 600_000  # texts worked on together
-LATTICE_CHARS = 1_800_000  # characters of the distinct words that a worker keeps in its lattice
+CHUNK_CHARS = 300_000  # texts worked on together
+LATTICE_CHARS = 1_000_000  # characters of the distinct words that a worker keeps in its lattice
 MARK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FULL = (1 << 64) - 1
@@ -117,6 +117,11 @@ class Vocabulary:
             self.tables[size] = (h[order], ids, np.array([p for _, p in found.values()])[order], Places(h[order]))
         self.lattice = Lattice(self)
 
+    def forget(self) -> None:
+        """Gives the memory of the lattice back: workers outlive their tasks, and other stages run beside them."""
+        self.lattice = Lattice(self)
+        pa.default_memory_pool().release_unused()
+
     def known(self, words: list[str]) -> tuple[Lattice, np.ndarray]:
         """The lattice with all these words, and the number each has there; it starts anew when it is full."""
         if len(self.lattice.begin) > LATTICE_CHARS:
@@ -483,20 +488,24 @@ def sampled(rows: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 names=["key", "sample", "ids", "log_prob", "value", "log_inclusion"],
             )
 
-        for batch in batches:
-            held: tuple[list, list, list] = ([], [], [])
-            chars = 0
-            for one in zip(*[batch.column(c) for c in range(3)], strict=True):
-                row = [x.as_py() for x in one]
-                row[1] = row[1] or ""
-                for h, x in zip(held, row, strict=True):
-                    h.append(x)
-                chars += len(row[1])
-                if chars > CHUNK_CHARS:
+        try:
+            for batch in batches:
+                held: tuple[list, list, list] = ([], [], [])
+                chars = 0
+                for one in zip(*[batch.column(c) for c in range(3)], strict=True):
+                    row = [x.as_py() for x in one]
+                    row[1] = row[1] or ""
+                    for h, x in zip(held, row, strict=True):
+                        h.append(x)
+                    chars += len(row[1])
+                    if chars > CHUNK_CHARS:
+                        yield out(*held)
+                        held, chars = ([], [], []), 0
+                if held[0]:
                     yield out(*held)
-                    held, chars = ([], [], []), 0
-            if held[0]:
-                yield out(*held)
+        finally:
+            batch = None  # the last one, which would be held until the worker's next task
+            v.forget()
 
     given = rows.select(
         F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.lit(seed), F.col(key)).alias("seed")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from labelloom.llm import pieces
@@ -49,6 +50,33 @@ def test_full_lattice_starts_anew(whole, monkeypatch):
     assert all(a[1:] == pytest.approx(b[1:]) for s, t in zip(alone, whole) for a, b in zip(s, t))
 
 
+class Caught:
+    """Takes the place of a frame: gives what would run in a worker."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("whole_partition", [True, False])
+def test_a_worker_keeps_no_words_between_partitions(spark, whole_partition):
+    run, v = pieces.sampled(Caught(), SP), pieces.vocabulary(SP)
+    columns = [pa.array(range(len(TEXTS)), pa.int64()), pa.array(TEXTS, pa.string()), pa.array(SEEDS.view(np.int64))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "text", "seed"])
+    found = run(iter([batch, batch]))
+    first = next(found)
+    assert first.num_rows and len(v.lattice.numbers)
+    if whole_partition:
+        assert [b.num_rows for b in found] == [first.num_rows]
+    else:
+        found.close()  # a reader that needs no more rows
+    assert len(v.lattice.numbers) == len(v.lattice.share) == 0
+    assert sum(getattr(v.lattice, f"_{name}").room.nbytes for name in pieces.NAMES) < 100_000
+    assert list(run(iter([]))) == [] and next(run(iter([batch]))).equals(first)
+
+
 def test_single_and_many_seeds_agree():
     some = SEEDS[:4]
     many = pieces.uniform(some, 5, np.int64(7) + np.zeros(4, dtype=np.int64), 1 << 41)
