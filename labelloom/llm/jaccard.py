@@ -182,8 +182,7 @@ def linked(
     ends = lambda df: df.select(
         F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")
     ).filter("a < b").distinct()
-    links = settle(verified(ends(first), kept, percent))
-    label = components(links, "a", "b")
+    label = components(verified(ends(first), kept, percent), "a", "b")
     # what the hubs did not connect: all pairs of one shingle that lie in different components
     now = posted.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
         "label", F.coalesce("label", "doc")
@@ -197,7 +196,9 @@ def linked(
         & (F.col("x.label") != F.col("y.label"))
         & may_link("x", "y", percent),
     )
-    links = links.unionByName(verified(ends(apart), kept, percent))
+    # a star for each component found so far joins the same texts as its links, in fewer rounds
+    stars = label.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    links = stars.unionByName(verified(ends(apart), kept, percent))
     label = components(links, "a", "b").withColumnRenamed("node", "rep")
     return member.join(label, "rep", "left").select(
         "doc", "n", F.coalesce("label", "rep").alias("component")

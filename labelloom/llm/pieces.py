@@ -2,7 +2,7 @@
 
 A text's segmentations are the paths of a lattice of vocabulary pieces; pieces
 never cross a word start, so the lattice is a chain of word lattices, each built
-once for every distinct word that a worker keeps. A path's probability is the product of
+once for every distinct word that a worker keeps during a partition. A path's probability is the product of
 its pieces' probabilities (Zipf's law over the vocabulary's ranks, single bytes
 for characters without a piece). Every set of paths has one perturbed value, the
 maximum over its paths of log probability plus Gumbel noise. The search starts

@@ -75,3 +75,26 @@ def test_stage_drops_near_copies_of_five_words_and_eighty_percent(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.one_of_each(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
+
+
+def test_second_contraction_starts_from_one_link_a_text(spark, monkeypatch):
+    given, stars, checked = [], [], []
+    contract, verify = jaccard.components, jaccard.verified
+
+    def counted(links, a, b):
+        given.append(links.count())
+        label = contract(links, a, b)
+        stars.append(label.count())
+        return label
+
+    def noted(pairs, sets, percent):
+        checked.append(verify(pairs, sets, percent))
+        return checked[-1]
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    monkeypatch.setattr(jaccard, "verified", noted)
+    words = [f"w{i}" for i in range(600)]
+    rows = [(k, " ".join(words[10 * k : 10 * k + 300])) for k in range(20)]  # a chain: each text links with the next few
+    found = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, shingle=5).collect()
+    assert {r["component"] for r in found} == {0} and len(found) == len(rows)
+    assert given[0] > stars[0] == given[1] - checked[1].count()
